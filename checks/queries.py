@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from checks.shop_pages import LINE_ORDER, shop_pages
 from offerlake.functions import scalars
+from offerlake.functions.rows import explode_items
 from offerlake.functions.variant import type_names
 from offerlake.operators import extract, ledger, links, merge, quality, stats
 from offerlake.operators.crawl import crawl
@@ -211,14 +212,14 @@ def jsonld_products(spark, sf_dir):
 @query
 def jsonld_graph(spark, sf_dir):
     nodes = extract.with_nodes(rendered(spark, sf_dir))
-    names = F.transform("nodes", lambda n: F.coalesce(F.array_join(type_names(n["type"]), "+"), F.lit("-")))
-    return nodes.select("url", F.array_join(names, "/").alias("types"))
+    names = f"transform(nodes, n -> array_join({type_names('n.type')}, '+'))"
+    return nodes.select("url", F.expr(f"array_join({names}, '/')").alias("types"))
 
 
 @query
 def offers_flat(spark, sf_dir):
     pages = extract.with_variants(rendered(spark, sf_dir))
-    rows = pages.select("url", F.posexplode("variants").alias("pos", "v"))
+    rows = explode_items(pages, "variants", "v", "url")
     return rows.select(
         "url", "pos", "v.name", "v.sku", money(F.col("v.price")).alias("price"), "v.currency", "v.available"
     )
@@ -227,16 +228,14 @@ def offers_flat(spark, sf_dir):
 @query
 def product_rollup(spark, sf_dir):
     pages = extract.with_variants(rendered(spark, sf_dir))
-    price, currency, available = extract.rollup(F.col("variants"))
-    return pages.select(
-        "url", money(price).alias("price"), currency.alias("currency"), available.alias("available")
-    )
+    rolled = pages.select("url", extract.rollup().alias("r"))
+    return rolled.select("url", money(F.col("r.price")).alias("price"), "r.currency", "r.available")
 
 
 @query
 def brand_counts(spark, sf_dir):
     pages = extract.with_product_node(rendered(spark, sf_dir))
-    return pages.select(extract.brand(F.col("node")).alias("brand")).groupBy("brand").agg(
+    return pages.select(extract.brand().alias("brand")).groupBy("brand").agg(
         F.count("*").alias("pages")
     )
 
@@ -253,7 +252,10 @@ def longest_text_first(spark, sf_dir):
 @query
 def characteristics_long(spark, sf_dir):
     products = extract.extract_products(rendered(spark, sf_dir))
-    return products.select("url", F.explode("product.characteristics").alias("name", "value"))
+    entries = F.map_entries("product.characteristics")
+    return explode_items(products, entries, "e", "url").select("url", "e.key", "e.value").toDF(
+        "url", "name", "value"
+    )
 
 
 @query
@@ -442,8 +444,7 @@ def line_pages(lineitem: DataFrame) -> DataFrame:
     )
     again = F.array(variant(supplied, F.col("l_quantity"), ~open_line))
     variants = F.when(F.col("l_linenumber") == 1, F.concat(both, again)).otherwise(both)
-    pages = lineitem.withColumn("variants", variants)
-    price, currency, available = extract.rollup(F.col("variants"))
+    pages = lineitem.withColumn("variants", variants).withColumn("r", extract.rollup())
     return pages.select(
         F.year("l_shipdate").alias("year"),
         seq.alias("seq"),
@@ -453,9 +454,9 @@ def line_pages(lineitem: DataFrame) -> DataFrame:
         F.concat(F.lit("Part "), "l_partkey").alias("name"),
         F.lit(None).cast("string").alias("brand"),
         F.lit("").alias("description"),
-        price.alias("price"),
-        currency.alias("currency"),
-        available.alias("available"),
+        "r.price",
+        "r.currency",
+        "r.available",
         F.create_map().cast("map<string,string>").alias("characteristics"),
         F.lit(None).cast("string").alias("image_url"),
         F.sha2(F.col("l_partkey").cast("string"), 256).alias("content_hash"),

@@ -1,78 +1,80 @@
-"""Helpers for JSON-LD values of unknown shape, held as VARIANT."""
+"""SQL text for JSON-LD values of unknown shape, held as VARIANT.
 
-from __future__ import annotations
+These expressions nest lambdas several levels deep. As SQL text each of them is parsed by
+Spark in one go; built call by call, the plan would take longer than many a query.
+"""
 
-from collections.abc import Callable, Sequence
+from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Sequence
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.get(F.transform(F.array(value), body), 0)
+def let(name: str, value: str, body: str) -> str:
+    """Evaluate ``value`` once and use it as ``name`` in ``body``."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
 def record_type(fields: Sequence[str]) -> str:
     return "struct<" + ",".join(f"`{name}`:variant" for name in fields) + ">"
 
 
-def as_record(value: Column, fields: Sequence[str]) -> Column:
+def as_record(value: str, fields: Sequence[str]) -> str:
     """The named fields of an object; null when the value is no object."""
-    return F.try_variant_get(value, "$", record_type(fields))
+    return f"try_variant_get({value}, '$', '{record_type(fields)}')"
 
 
-def as_records(value: Column, fields: Sequence[str]) -> Column:
+def as_records(value: str, fields: Sequence[str]) -> str:
     """The objects among a scalar-or-list value, in order."""
-    listed = F.try_variant_get(value, "$", f"array<{record_type(fields)}>")
-    return F.filter(
-        F.coalesce(listed, F.array(as_record(value, fields))), lambda r: r.isNotNull()
-    )
+    listed = f"try_variant_get({value}, '$', 'array<{record_type(fields)}>')"
+    single = f"array({as_record(value, fields)})"
+    return f"filter(coalesce({listed}, {single}), item -> item IS NOT NULL)"
 
 
-def as_list(value: Column) -> Column:
+def as_list(value: str) -> str:
     """Null gives the empty list, a list stays, anything else is wrapped."""
-    nothing = value.isNull() | F.is_variant_null(value)
-    return F.when(nothing, F.array().cast("array<variant>")).otherwise(
-        F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array(value))
+    return (
+        f"CASE WHEN {value} IS NULL OR is_variant_null({value}) THEN CAST(array() AS array<variant>) "
+        f"ELSE coalesce(try_variant_get({value}, '$', 'array<variant>'), array({value})) END"
     )
 
 
-def type_names(value: Column) -> Column:
+def type_names(value: str) -> str:
     """The ``@type`` of a node, a scalar or a list, as an array of names."""
-    listed = F.try_variant_get(value, "$", "array<string>")
-    return F.coalesce(listed, F.array(F.try_variant_get(value, "$", "string")))
-
-
-def text_of(value: Column) -> Column:
-    """Text of a scalar. Booleans are capitalised and whole decimals keep their ``.0``."""
-
-    def render(text: Column, kind: Column) -> Column:
-        whole_decimal = kind.startswith("DECIMAL") & text.rlike(r"^-?\d{1,18}$")
-        return (
-            F.when(kind == "BOOLEAN", F.initcap(text))
-            .when(whole_decimal, F.concat(text, F.lit(".0")))
-            .otherwise(text)
-        )
-
-    return render(F.try_variant_get(value, "$", "string"), F.schema_of_variant(value))
-
-
-def truthy_text(value: Column) -> Column:
-    """Text of a value, or null when it is null, empty, zero or false.
-
-    The *text* "0" and "false" count as values, hence the look at the kind.
-    """
-    text = text_of(value)
-    kind = F.schema_of_variant(value)
-    zero = (
-        kind.startswith("BIGINT") | kind.startswith("DECIMAL") | kind.startswith("DOUBLE")
-    ) & (text.try_cast("double") == 0)
-    falsy = (
-        zero
-        | ((kind == "STRING") & (text == ""))
-        | ((kind == "BOOLEAN") & (text == "False"))
-        | (kind.startswith("ARRAY") & (text == "[]"))
-        | (kind.startswith("OBJECT") & (text == "{}"))
+    return (
+        f"coalesce(try_variant_get({value}, '$', 'array<string>'), "
+        f"array(try_variant_get({value}, '$', 'string')))"
     )
-    return F.when(~falsy, text)
+
+
+def _read(value: str) -> str:
+    return (
+        f"named_struct('kind', schema_of_variant({value}), "
+        f"'text', try_variant_get({value}, '$', 'string'))"
+    )
+
+
+# Booleans are capitalised, and a whole decimal keeps the ".0" it was written with.
+_RENDERED = (
+    "CASE WHEN read.kind = 'BOOLEAN' THEN initcap(read.text) "
+    r"WHEN startswith(read.kind, 'DECIMAL') AND read.text RLIKE r'^-?\d{1,18}$' "
+    "THEN concat(read.text, '.0') ELSE read.text END"
+)
+
+# The *text* "0" or "false" is a value like any other, hence the look at the kind.
+_FALSY = (
+    "CASE WHEN read.kind = 'STRING' THEN read.text = '' "
+    "WHEN read.kind = 'BOOLEAN' THEN read.text = 'false' "
+    "WHEN startswith(read.kind, 'ARRAY') THEN read.text = '[]' "
+    "WHEN startswith(read.kind, 'OBJECT') THEN read.text = '{}' "
+    "ELSE try_cast(read.text AS double) = 0 END"
+)
+
+
+def text_of(value: str) -> str:
+    """Text of a scalar."""
+    return let("read", _read(value), _RENDERED)
+
+
+def truthy_text(value: str) -> str:
+    """Text of a value, or null when it is null, empty, zero or false."""
+    return let("read", _read(value), f"CASE WHEN NOT ({_FALSY}) THEN {_RENDERED} END")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from offerlake.functions.rows import explode_items
 from offerlake.session import materialize
 
 # Pages per block when positions are summed up along a walk; bounds every window.
@@ -120,6 +121,6 @@ def crawl(
     """
     order = page_order(pages.select("catalog", "page", "next"), starts, max_pages)
     walked = order.join(pages.select("catalog", "page", "links"), ["catalog", "page"])
-    links = walked.select("catalog", "page_no", F.posexplode("links").alias("pos", "url"))
+    links = explode_items(walked, "links", "url", "catalog", "page_no")
     found = number_products(before_stop(first_occurrences(links), walked))
     return found.where(F.col("seq") <= limit) if limit else found

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from offerlake.functions import scalars
 from offerlake.functions.dom import dom_fields, nodes_of_blocks
 from offerlake.functions.markup import jsonld_blocks
+from offerlake.functions.rows import explode_items
 from offerlake.functions.variant import (
     as_list,
     as_record,
@@ -43,48 +44,33 @@ _NODE_FIELDS = (
 )
 _VARIANT_FIELDS = ("name", "sku", "offers")
 _OFFER_FIELDS = ("price", "priceCurrency", "availability")
+_ENTRIES = "array<struct<name:string,value:string>>"
 
 
-def _children(value: Column, record: Column) -> Column:
-    """Members of a list, or of the ``@graph`` of an object."""
-    graph = record["@graph"]
-    return F.coalesce(
-        F.try_variant_get(value, "$", "array<variant>"),
-        F.try_variant_get(graph, "$", "array<variant>"),
-        F.when(graph.isNotNull(), F.array(graph)),
-        F.array().cast("array<variant>"),
+def _flatten(value: str, depth: int) -> str:
+    """Objects under ``value``, each before the members of its list or ``@graph``."""
+    record, member = f"record{depth}", f"member{depth}"
+    graph = f"{record}.`@graph`"
+    none = f"CAST(array() AS array<{_NODE}>)"
+    own = (
+        f"CASE WHEN {record} IS NOT NULL THEN array(named_struct("
+        f"'node', {value}, 'type', {record}.`@type`, 'more', false)) ELSE {none} END"
     )
-
-
-def _flatten(value: Column, depth: int) -> Column:
-    """Objects under ``value``, each before its members."""
-
-    def body(record: Column) -> Column:
-        own = F.when(
-            record.isNotNull(),
-            F.array(
-                F.struct(
-                    value.alias("node"),
-                    record["@type"].alias("type"),
-                    F.lit(False).alias("more"),
-                ).cast(_NODE)
-            ),
-        ).otherwise(F.array().cast(f"array<{_NODE}>"))
-        members = _children(value, record)
-        if depth:
-            below = F.flatten(F.transform(members, lambda m: _flatten(m, depth - 1)))
-        else:
-            unread = F.struct(
-                F.lit(None).cast("variant").alias("node"),
-                F.lit(None).cast("variant").alias("type"),
-                F.lit(True).alias("more"),
-            ).cast(_NODE)
-            below = F.when(F.size(members) > 0, F.array(unread)).otherwise(
-                F.array().cast(f"array<{_NODE}>")
-            )
-        return F.concat(own, below)
-
-    return let(as_record(value, ("@type", "@graph")), body)
+    members = (
+        f"coalesce(try_variant_get({value}, '$', 'array<variant>'), "
+        f"try_variant_get({graph}, '$', 'array<variant>'), "
+        f"CASE WHEN {graph} IS NOT NULL THEN array({graph}) END, "
+        "CAST(array() AS array<variant>))"
+    )
+    if depth:
+        below = f"flatten(transform({members}, {member} -> {_flatten(member, depth - 1)}))"
+    else:
+        unread = (
+            "array(named_struct('node', CAST(NULL AS variant), "
+            "'type', CAST(NULL AS variant), 'more', true))"
+        )
+        below = f"CASE WHEN size({members}) > 0 THEN {unread} ELSE {none} END"
+    return let(record, as_record(value, ("@type", "@graph")), f"concat({own}, {below})")
 
 
 def with_nodes(pages: DataFrame) -> DataFrame:
@@ -98,39 +84,28 @@ def with_nodes(pages: DataFrame) -> DataFrame:
     blocks = pages.withColumn("blocks", jsonld_blocks(F.col("html"))).drop("html")
     parsed = blocks.withColumn(
         "parsed",
-        F.transform(
-            "blocks",
-            lambda b: F.try_variant_get(
-                F.try_parse_json(F.concat(F.lit("["), b, F.lit("]"))), "$", "array<variant>"
-            ),
+        F.expr(
+            "transform(blocks, b -> "
+            "try_variant_get(try_parse_json(concat('[', b, ']')), '$', 'array<variant>'))"
         ),
     )
     flat = parsed.withColumn(
         "nodes",
-        F.flatten(
-            F.transform("parsed", lambda p: F.flatten(F.transform(p, lambda v: _flatten(v, NESTING))))
+        F.expr(
+            "flatten(transform(flatten(filter(parsed, p -> size(p) = 1)), "
+            f"v -> {_flatten('v', NESTING)}))"
         ),
     )
-    plain = F.forall(
-        "parsed", lambda p: F.coalesce(F.size(p) == 1, F.lit(False))
-    ) & ~F.exists("nodes", lambda n: n["more"])
-    hard = flat.withColumn("plain", plain).withColumn(
+    plain = "forall(parsed, p -> coalesce(size(p) = 1, false)) AND NOT exists(nodes, n -> n.more)"
+    hard = flat.withColumn("plain", F.expr(plain)).withColumn(
         "hard_nodes", nodes_of_blocks(F.when(~F.col("plain"), F.col("blocks")))
     )
-    read = F.filter(
-        F.transform("hard_nodes", lambda text: F.try_parse_json(text)),
-        lambda node: node.isNotNull(),
-    )
-    reread = F.transform(
-        read,
-        lambda node: F.struct(
-            node.alias("node"),
-            F.try_variant_get(node, "$['@type']", "variant").alias("type"),
-            F.lit(False).alias("more"),
-        ).cast(_NODE),
+    reread = (
+        "transform(filter(transform(hard_nodes, t -> try_parse_json(t)), n -> n IS NOT NULL), "
+        "n -> named_struct('node', n, 'type', try_variant_get(n, r'$[\"@type\"]', 'variant'), 'more', false))"
     )
     return hard.withColumn(
-        "nodes", F.when(F.col("plain"), F.col("nodes")).otherwise(reread)
+        "nodes", F.expr(f"CASE WHEN plain THEN nodes ELSE {reread} END")
     ).drop("blocks", "parsed", "plain", "hard_nodes")
 
 
@@ -139,187 +114,175 @@ def with_product_node(pages: DataFrame) -> DataFrame:
 
     Pages without either keep a null node; they are failures to report, not to drop.
     """
-    typed = with_nodes(pages).withColumn(
-        "nodes",
-        F.filter(
-            F.transform(
-                "nodes",
-                lambda n: F.struct(n["node"].alias("node"), type_names(n["type"]).alias("types")),
-            ),
-            lambda n: F.arrays_overlap(
-                n["types"], F.array(F.lit(GROUP_TYPE), F.lit(SINGLE_TYPE))
-            ),
-        ),
+    products = (
+        "filter(transform(nodes, n -> named_struct("
+        f"'node', n.node, 'types', {type_names('n.type')})), "
+        f"n -> arrays_overlap(n.types, array('{GROUP_TYPE}', '{SINGLE_TYPE}')))"
+    )
+    first_group = f"get(filter(products, n -> array_contains(n.types, '{GROUP_TYPE}')), 0)"
+    return (
+        with_nodes(pages)
+        .withColumn("products", F.expr(products))
+        .withColumn("chosen", F.expr(f"coalesce({first_group}, get(products, 0))"))
+        .withColumn("node", F.expr(as_record("chosen.node", _NODE_FIELDS)))
+        .withColumn("types", F.col("chosen.types"))
+        .drop("nodes", "products", "chosen")
     )
-    groups = F.filter("nodes", lambda n: F.array_contains(n["types"], GROUP_TYPE))
-    chosen = typed.withColumn("chosen", F.coalesce(F.get(groups, 0), F.get("nodes", 0)))
-    return chosen.withColumn(
-        "node", as_record(F.col("chosen.node"), _NODE_FIELDS)
-    ).withColumn("types", F.col("chosen.types")).drop("nodes", "chosen")
-
-
-def _offer(variant: Column) -> Column:
-    def body(offer: Column) -> Column:
-        availability = F.coalesce(text_of(offer["availability"]), F.lit(""))
-        return F.struct(
-            truthy_text(variant["name"]).alias("name"),
-            truthy_text(variant["sku"]).alias("sku"),
-            scalars.parse_price(text_of(offer["price"])).alias("price"),
-            truthy_text(offer["priceCurrency"]).alias("currency"),
-            F.endswith(F.rtrim(availability, F.lit("/")), F.lit("InStock")).alias("available"),
-        )
-
-    return let(F.get(as_records(variant["offers"], _OFFER_FIELDS), 0), body)
 
 
 def with_variants(pages: DataFrame) -> DataFrame:
     """Adds ``variants``; a single product without variants is its own variant."""
-    listed = as_records(F.col("node.hasVariant"), _VARIANT_FIELDS)
-    itself = F.array(F.struct(*(F.col(f"node.{f}").alias(f) for f in _VARIANT_FIELDS)))
-    alone = F.col("node").isNotNull() & F.array_contains("types", SINGLE_TYPE)
-    sources = with_product_node(pages).withColumn("listed", listed)
-    chosen = sources.withColumn(
-        "listed", F.when((F.size("listed") == 0) & alone, itself).otherwise(F.col("listed"))
+    itself = ", ".join(f"'{name}', node.{name}" for name in _VARIANT_FIELDS)
+    sources = (
+        "CASE WHEN size(listed) = 0 AND node IS NOT NULL "
+        f"AND array_contains(types, '{SINGLE_TYPE}') THEN array(named_struct({itself})) "
+        "ELSE listed END"
     )
-    return chosen.withColumn("variants", F.transform("listed", _offer)).drop("listed")
+    offer = let(
+        "offer",
+        f"get({as_records('v.offers', _OFFER_FIELDS)}, 0)",
+        "named_struct("
+        f"'name', {truthy_text('v.name')}, "
+        f"'sku', {truthy_text('v.sku')}, "
+        f"'price', {text_of('offer.price')}, "
+        f"'currency', {truthy_text('offer.priceCurrency')}, "
+        "'available', endswith(rtrim('/', "
+        f"coalesce({text_of('offer.availability')}, '')), 'InStock'))",
+    )
+    read = (
+        with_product_node(pages)
+        .withColumn("listed", F.expr(as_records("node.hasVariant", _VARIANT_FIELDS)))
+        .withColumn("listed", F.expr(sources))
+        .withColumn("offers", F.expr(f"transform(listed, v -> {offer})"))
+    )
+    priced = F.transform(
+        "offers", lambda v: v.withField("price", scalars.parse_price(v["price"]))
+    )
+    return read.withColumn("variants", priced.cast(T.ArrayType(VARIANT))).drop("listed", "offers")
 
 
-def rollup(variants: Column) -> tuple[Column, Column, Column]:
-    """Price, currency and availability of a product from its variants.
+def rollup(variants: str = "variants") -> Column:
+    """Price, currency and availability of a product from its variants, as one struct.
 
     The price is the lowest of the available variants, or of all when none of those is
     priced. The currency is the first one named within the same set, not the one of the
     cheapest variant.
     """
-    priced = F.filter(variants, lambda v: v["price"].isNotNull())
-    in_stock = F.filter(priced, lambda v: v["available"])
-
-    def over(choice: Column) -> Column:
-        named = F.filter(F.transform(choice, lambda v: v["currency"]), lambda c: c.isNotNull())
-        return F.struct(
-            F.array_min(F.transform(choice, lambda v: v["price"])).alias("price"),
-            F.get(named, 0).alias("currency"),
+    priced = f"filter({variants}, v -> v.price IS NOT NULL)"
+    in_stock = f"filter({variants}, v -> v.price IS NOT NULL AND v.available)"
+    chosen = f"CASE WHEN exists({variants}, v -> v.price IS NOT NULL AND v.available) THEN {in_stock} ELSE {priced} END"
+    return F.expr(
+        let(
+            "chosen",
+            chosen,
+            "named_struct('price', array_min(chosen.price), "
+            "'currency', get(filter(chosen.currency, c -> c IS NOT NULL), 0), "
+            f"'available', exists({variants}, v -> v.available))",
         )
-
-    picked = let(F.when(F.size(in_stock) > 0, in_stock).otherwise(priced), over)
-    return picked["price"], picked["currency"], F.exists(variants, lambda v: v["available"])
+    )
 
 
-def brand(node: Column) -> Column:
+def brand(node: str = "node") -> Column:
     """Name of a brand object, or the brand itself."""
-    named = as_record(node["brand"], ("name",))
-    return F.when(named.isNotNull(), truthy_text(named["name"])).otherwise(
-        truthy_text(node["brand"])
+    named = as_record(f"{node}.brand", ("name",))
+    return F.expr(
+        f"CASE WHEN {named} IS NOT NULL THEN {truthy_text(named + '.name')} "
+        f"ELSE {truthy_text(node + '.brand')} END"
     )
 
 
-def image(node: Column) -> Column:
-    images = F.transform(as_list(node["image"]), truthy_text)
-    return F.get(F.filter(images, lambda text: text.isNotNull()), 0)
+def image(node: str = "node") -> Column:
+    images = f"transform({as_list(node + '.image')}, i -> {truthy_text('i')})"
+    return F.expr(f"get(filter({images}, i -> i IS NOT NULL), 0)")
 
 
-def longest_first(texts: Column) -> Column:
+def longest_first(texts: str) -> Column:
     """The longest non-empty text of an array, the first one on ties."""
-    ranked = F.transform(
-        texts, lambda text, pos: F.struct((-F.length(text)).alias("rank"), pos.alias("pos"), text.alias("text"))
+    ranked = (
+        f"transform({texts}, (t, pos) -> named_struct('rank', -length(t), 'pos', pos, 'text', t))"
     )
-    return F.array_min(F.filter(ranked, lambda r: r["rank"] < 0))["text"]
+    return F.expr(f"array_min(filter({ranked}, r -> r.rank < 0)).text")
 
 
-def _last_wins(entries: Column) -> Column:
-    """Map of name-value entries; of repeated names the last value stays."""
-    numbered = F.array_sort(
-        F.transform(
-            entries,
-            lambda e, pos: F.struct(e["name"].alias("name"), pos.alias("pos"), e["value"].alias("value")),
-        )
+def last_wins(entries: str) -> Column:
+    """Map of name-value entries without blank ones; of repeated names the last value stays."""
+    numbered = (
+        f"array_sort(transform(filter({entries}, e -> e.name <> '' AND e.value <> ''), "
+        "(e, pos) -> named_struct('name', e.name, 'pos', pos, 'value', e.value)))"
     )
-
-    def keep(all_entries: Column) -> Column:
-        last = F.filter(
-            all_entries,
-            lambda e, i: ~F.coalesce(F.get(all_entries, i + 1)["name"] == e["name"], F.lit(False)),
-        )
-        return F.map_from_entries(
-            F.transform(last, lambda e: F.struct(e["name"], e["value"]))
-        )
-
-    return let(numbered, keep)
-
-
-def _filled(entries: Column) -> Column:
-    return F.filter(entries, lambda e: (e["name"] != "") & (e["value"] != ""))
+    last = "filter(sorted, (e, i) -> NOT coalesce(get(sorted, i + 1).name = e.name, false))"
+    pairs = f"transform({last}, e -> named_struct('name', e.name, 'value', e.value))"
+    return F.expr(let("sorted", numbered, f"map_from_entries({pairs})"))
 
 
-def property_map(node: Column) -> Column:
-    """Characteristics out of ``additionalProperty``."""
-    entries = F.transform(
-        as_records(node["additionalProperty"], ("name", "value")),
+def _property_entries(node: str = "node") -> Column:
+    """Entries of ``additionalProperty``, texts normalised."""
+    raw = F.expr(
+        f"transform({as_records(node + '.additionalProperty', ('name', 'value'))}, "
+        f"p -> named_struct('name', {text_of('p.name')}, 'value', {text_of('p.value')}))"
+    )
+    return F.transform(
+        raw,
         lambda p: F.struct(
-            scalars.normalize_text(F.coalesce(text_of(p["name"]), F.lit(""))).alias("name"),
-            scalars.normalize_text(F.coalesce(text_of(p["value"]), F.lit(""))).alias("value"),
+            *(
+                scalars.normalize_text(F.coalesce(p[n], F.lit(""))).alias(n)
+                for n in ("name", "value")
+            )
         ),
     )
-    return _last_wins(_filled(entries))
-
-
-def with_brand_entry(characteristics: Column, brand_name: Column) -> Column:
-    label = F.lit(BRAND_LABEL)
-    missing = brand_name.isNotNull() & ~F.map_contains_key(characteristics, BRAND_LABEL)
-    return F.when(
-        missing, F.map_concat(F.create_map(label, brand_name), characteristics)
-    ).otherwise(characteristics)
 
 
 def extract_products(pages: DataFrame) -> DataFrame:
     """Products of the pages: ``pages`` without html, plus ``found`` and ``product``.
 
-    ``product`` has the schema :data:`offerlake.schemas.PRODUCT`.
+    ``product`` has the schema :data:`offerlake.schemas.PRODUCT`. Characteristics come from
+    the JSON-LD, or from the specification table when there are none; the brand is added
+    under its label where that is missing. The description is the longest one in the page
+    text, or that of the JSON-LD.
     """
     kept = [name for name in pages.columns if name != "html"]
     dom = dom_fields(F.col("html"), "itemprop", "product-specification")
-    rows = with_variants(pages.withColumn("dom", dom))
-    node = F.col("node")
-    price, currency, available = rollup(F.col("variants"))
-    no_rows = F.array().cast("array<struct<name:string,value:string>>")
-    specification = _last_wins(_filled(F.coalesce("dom.specification", no_rows)))
-    own_text = scalars.normalize_text(F.coalesce(text_of(node["description"]), F.lit("")))
-
-    fields = rows.select(
+    fields = with_variants(pages.withColumn("dom", dom)).select(
         *kept,
         "node",
         "variants",
-        brand(node).alias("brand"),
-        property_map(node).alias("properties"),
-        specification.alias("specification"),
-        F.struct(price.alias("price"), currency.alias("currency"), available.alias("available")).alias("offer"),
-        F.coalesce(longest_first(F.col("dom.descriptions")), own_text).alias("description"),
+        rollup().alias("offer"),
+        brand().alias("brand"),
+        _property_entries().alias("properties"),
+        F.expr(f"coalesce(dom.specification, CAST(array() AS {_ENTRIES}))").alias("table_rows"),
+        longest_first("dom.descriptions").alias("page_text"),
+        F.expr(f"coalesce({text_of('node.description')}, '')").alias("own_text"),
+        F.expr(f"coalesce({text_of('node.name')}, '')").alias("raw_name"),
+        F.expr(f"coalesce({truthy_text('node.url')}, url)").alias("link"),
+        image().alias("image"),
     )
-    characteristics = F.when(F.size("properties") > 0, F.col("properties")).otherwise(
-        F.col("specification")
+    mapped = fields.withColumn("from_node", last_wins("properties")).withColumn(
+        "characteristics",
+        F.when(F.size("from_node") > 0, F.col("from_node")).otherwise(last_wins("table_rows")),
+    )
+    labelled = F.expr(
+        f"CASE WHEN brand IS NOT NULL AND NOT map_contains_key(characteristics, '{BRAND_LABEL}') "
+        f"THEN map_concat(map('{BRAND_LABEL}', brand), characteristics) ELSE characteristics END"
     )
     product = F.struct(
-        scalars.normalize_text(F.coalesce(text_of(node["name"]), F.lit(""))).alias("name"),
-        F.coalesce(truthy_text(node["url"]), F.col("url")).alias("link"),
-        F.col("offer.price").alias("price"),
-        F.col("offer.currency").alias("currency"),
-        F.col("offer.available").alias("available"),
-        F.col("brand").alias("brand"),
-        F.col("description").alias("description"),
-        with_brand_entry(characteristics, F.col("brand")).alias("characteristics"),
-        F.col("variants").cast(T.ArrayType(VARIANT)).alias("variants"),
-        image(node).alias("image"),
+        scalars.normalize_text(F.col("raw_name")).alias("name"),
+        "link",
+        "offer.price",
+        "offer.currency",
+        "offer.available",
+        "brand",
+        F.coalesce("page_text", scalars.normalize_text(F.col("own_text"))).alias("description"),
+        labelled.alias("characteristics"),
+        "variants",
+        "image",
     )
-    found = node.isNotNull()
-    return fields.select(*kept, found.alias("found"), F.when(found, product).alias("product"))
+    found = F.col("node").isNotNull()
+    return mapped.select(*kept, found.alias("found"), F.when(found, product).alias("product"))
 
 
 def variant_rows(products: DataFrame) -> DataFrame:
     """One row per variant, with its position on the page."""
     kept = [name for name in products.columns if name not in ("product", "found")]
-    return products.select(
-        *kept,
-        F.col("product.link").alias("link"),
-        F.col("product.name").alias("product_name"),
-        F.posexplode("product.variants").alias("pos", "variant"),
-    ).select(*kept, "link", "product_name", "pos", "variant.*")
+    of_product = (F.col("product.link").alias("link"), F.col("product.name").alias("product_name"))
+    rows = explode_items(products, "product.variants", "variant", *kept, *of_product)
+    return rows.select(*kept, "link", "product_name", "pos", "variant.*")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from offerlake.functions.dom import dom_fields
 from offerlake.functions.markup import attribute, has_attribute, start_tags
+from offerlake.functions.rows import explode_items
 from offerlake.functions.urls import resolve, url_parts
 
 
@@ -42,9 +43,8 @@ def with_links(pages: DataFrame) -> DataFrame:
 
 def page_links(pages: DataFrame) -> DataFrame:
     """One row per link occurrence: page, position, raw and resolved target."""
-    return with_links(pages).select(
-        "page_id", "url", F.posexplode(F.arrays_zip("hrefs", "links")).alias("pos", "pair")
-    ).select(
+    pairs = F.arrays_zip("hrefs", "links")
+    return explode_items(with_links(pages), pairs, "pair", "page_id", "url").select(
         "page_id",
         "url",
         "pos",
@@ -58,9 +58,7 @@ def distinct_page_links(pages: DataFrame) -> DataFrame:
 
     A page is one row, so its repeats are found inside the row and nothing is shuffled.
     """
-    return with_links(pages).select(
-        "page_id", F.posexplode(F.array_distinct("links")).alias("pos", "link")
-    )
+    return explode_items(with_links(pages), F.array_distinct("links"), "link", "page_id")
 
 
 def listing_pages(pages: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from offerlake.functions.rows import explode_items
 from offerlake.schemas import PRODUCT_VARIANTS, PRODUCTS
 
 # Columns a later page or run replaces.
@@ -69,7 +70,7 @@ def latest_products(accepted: DataFrame) -> DataFrame:
 
 def latest_variants(accepted: DataFrame) -> DataFrame:
     """Variants of all pages of the run, values from the last place they were listed."""
-    rows = accepted.select("source_url", "seq", F.posexplode("variants").alias("pos", "v"))
+    rows = explode_items(accepted, "variants", "v", "source_url", "seq")
     flat = rows.select("source_url", "v.source_key", "seq", "pos", *(f"v.{c}" for c in VARIANT_VALUES))
     key = ["source_url", "source_key"]
     return latest_per_key(flat, key, F.struct("seq", "pos")).drop("pos")
@@ -230,8 +231,8 @@ def replay(
         stale.alias("stale"),
         updated.alias("updated_at"),
     )
-    flat = rows.select(
-        "source_url", "run_no", "seq", "run_at", F.posexplode("variants").alias("pos", "v")
+    flat = explode_items(
+        rows, "variants", "v", "source_url", "run_no", "seq", "run_at"
     ).select("source_url", "v.*", "run_no", "seq", "run_at", "pos")
     place = F.struct("run_no", "seq", "pos")
     by_variant = flat.groupBy("source_url", "source_key").agg(
