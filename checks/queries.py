@@ -15,7 +15,7 @@ from offerlake.functions.variant import type_names
 from offerlake.operators import extract, ledger, links, merge, quality, stats
 from offerlake.operators.crawl import crawl
 from offerlake.schemas import PRODUCT_VARIANTS, PRODUCTS
-from offerlake.session import configure, scratch_path
+from offerlake.session import configure, materialize, scratch_path
 from offerlake.sources.export import read_products, write_products
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -469,25 +469,27 @@ def in_first_run() -> Column:
     return F.col("year") <= 1997
 
 
-def two_runs(spark, sf_dir, complete: bool) -> tuple[DataFrame, DataFrame]:
-    pages = line_pages(table(spark, sf_dir, "lineitem"))
-    catalog = empty_catalog(spark)
-    for year, chosen in ((1995, in_first_run()), (1996, ~in_first_run())):
+def two_runs(pages: DataFrame, complete: tuple[bool, bool]) -> tuple[DataFrame, DataFrame]:
+    """The catalog after two runs, each written out as the snapshots are."""
+    catalog = empty_catalog(pages.sparkSession)
+    for year, chosen, full in zip((1995, 1996), (in_first_run(), ~in_first_run()), complete):
         of_run = pages.where(chosen).drop("year")
-        catalog = merge.apply_run(*catalog, of_run, run_stamp(year), complete)
+        merged = merge.apply_run(*catalog, of_run, run_stamp(year), full)
+        catalog = tuple(materialize(t, "catalog") for t in merged)
     return catalog
 
 
 @query
 def merge_variants(spark, sf_dir):
-    return clocks(two_runs(spark, sf_dir, complete=False)[1])
+    pages = line_pages(table(spark, sf_dir, "lineitem"))
+    return clocks(two_runs(pages, (False, False))[1])
 
 
 @query
 def deactivate_variants(spark, sf_dir):
-    return two_runs(spark, sf_dir, complete=True)[1].select(
-        "source_url", "source_key", "available", clock("updated_at")
-    )
+    products, variants = two_runs(line_pages(table(spark, sf_dir, "lineitem")), (False, False))
+    off = merge.deactivate_variants(variants, products, run_stamp(1996))
+    return off.select("source_url", "source_key", "available", clock("updated_at"))
 
 
 @query
@@ -501,15 +503,9 @@ def merge_partial_run(spark, sf_dir):
     )
     # Two rows, one per run: this is the only thing the driver reads.
     counts = {r["run_id"]: r for r in ledger.count_outcomes(outcomes).collect()}
-    catalog = empty_catalog(spark)
-    pages = line_pages(lines.where(saved))
-    for year, chosen in ((1995, in_first_run()), (1996, ~in_first_run())):
-        run = run_stamp(year)
-        complete = counts[run.run_id]["products_failed"] == 0
-        catalog = merge.apply_run(*catalog, pages.where(chosen).drop("year"), run, complete)
-    return catalog[0].select(
-        "source_url", "available", "last_seen_run_id", clock("updated_at")
-    )
+    complete = tuple(counts[f"run-{y}"]["products_failed"] == 0 for y in (1995, 1996))
+    products, _ = two_runs(line_pages(lines.where(saved)), complete)
+    return products.select("source_url", "available", "last_seen_run_id", clock("updated_at"))
 
 
 @query

@@ -111,30 +111,44 @@ def merge_products(stored: DataFrame, incoming: DataFrame, run: RunStamp) -> Dat
     ).select(*PRODUCTS.names)
 
 
+def touched_products(accepted: DataFrame) -> DataFrame:
+    """Products of the run with the order of their last page: ``source_url, last_seq``."""
+    return accepted.groupBy("source_url").agg(F.max("seq").alias("last_seq"))
+
+
 def merge_variants(
-    stored: DataFrame, incoming: DataFrame, touched: DataFrame, run: RunStamp
+    stored: DataFrame,
+    incoming: DataFrame,
+    touched: DataFrame,
+    run: RunStamp,
+    unseen: DataFrame | None = None,
 ) -> DataFrame:
     """Insert or replace variants and switch off those their product no longer lists.
 
     ``touched`` is ``source_url, last_seq`` of the products of the run. A variant is on
     offer only if the last page of its product lists it; one from an earlier page of the
-    same run is kept but is not available.
+    same run is kept but is not available. ``unseen`` holds the ``source_url`` of products
+    a complete scan did not see; their variants are switched off in the same pass.
     """
     key = ["source_url", "source_key"]
     new = incoming.select(*key, F.struct("seq", *VARIANT_VALUES).alias("new"))
     old = stored.select(*key, F.struct(*VARIANT_VALUES, "created_at", "updated_at").alias("old"))
-    joined = old.join(new, key, "full_outer").join(
-        touched.select("source_url", "last_seq"), "source_url", "left"
-    )
+    state = touched.select("source_url", "last_seq", F.lit(False).alias("stale"))
+    if unseen is not None:
+        gone = unseen.select("source_url").join(state, "source_url", "left_anti")
+        state = state.unionByName(
+            gone.withColumn("stale", F.lit(True)), allowMissingColumns=True
+        )
+    joined = old.join(new, key, "full_outer").join(state, "source_url", "left")
     is_new, now = F.col("new").isNotNull(), run.time()
-    is_touched = F.col("last_seq").isNotNull()
+    is_touched, stale = F.col("last_seq").isNotNull(), F.coalesce("stale", F.lit(False))
     on_last_page = is_new & (F.col("new.seq") == F.col("last_seq"))
     merged = joined.select(
         *key,
         *_pick(is_new, "new", "old", VARIANT_VALUES),
         F.coalesce("old.created_at", now).alias("created_at"),
-        F.when(is_touched, now).otherwise(F.col("old.updated_at")).alias("updated_at"),
-        (~is_touched | on_last_page).alias("listed"),
+        F.when(is_touched | stale, now).otherwise(F.col("old.updated_at")).alias("updated_at"),
+        ((~is_touched | on_last_page) & ~stale).alias("listed"),
     )
     return merged.withColumn("available", F.col("available") & F.col("listed")).select(
         *PRODUCT_VARIANTS.names
@@ -174,15 +188,18 @@ def apply_run(
     run: RunStamp,
     complete: bool,
 ) -> tuple[DataFrame, DataFrame]:
-    """Merge the accepted pages of a run; a complete scan also switches off the unseen."""
+    """Merge the accepted pages of a run; a complete scan also switches off the unseen.
+
+    What a complete scan did not see is known from the stored products and the touched
+    addresses alone, so variants are joined to their products only once.
+    """
     incoming = latest_products(accepted)
-    touched = incoming.select("source_url", F.col("seq").alias("last_seq"))
+    unseen = products.where(run.unseen()) if complete else None
+    merged_variants = merge_variants(
+        variants, latest_variants(accepted), touched_products(accepted), run, unseen
+    )
     merged = merge_products(products, incoming, run)
-    merged_variants = merge_variants(variants, latest_variants(accepted), touched, run)
-    if complete:
-        merged_variants = deactivate_variants(merged_variants, merged, run)
-        merged = deactivate_products(merged, run)
-    return merged, merged_variants
+    return (deactivate_products(merged, run) if complete else merged), merged_variants
 
 
 def replay(
