@@ -16,6 +16,7 @@ from offerlake.operators import extract, ledger, links, merge, quality, stats
 from offerlake.operators.crawl import crawl
 from offerlake.schemas import PRODUCT_VARIANTS, PRODUCTS
 from offerlake.session import configure, materialize, scratch_path
+from offerlake.sources.pages import read_pages
 from offerlake.sources.export import read_products, write_products
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,17 +136,17 @@ def redact_secrets(spark, sf_dir):
 
 @query
 def page_links(spark, sf_dir):
-    return links.page_links(table(spark, sf_dir, "pages")).select("page_id", "pos", "href")
+    return links.page_links(read_pages(spark, f"{sf_dir}/pages.parquet")).select("page_id", "pos", "href")
 
 
 @query
 def resolve_links(spark, sf_dir):
-    return links.page_links(table(spark, sf_dir, "pages")).select("page_id", "pos", "link")
+    return links.page_links(read_pages(spark, f"{sf_dir}/pages.parquet")).select("page_id", "pos", "link")
 
 
 @query
 def links_dedup_first(spark, sf_dir):
-    return links.distinct_page_links(table(spark, sf_dir, "pages"))
+    return links.distinct_page_links(read_pages(spark, f"{sf_dir}/pages.parquet"))
 
 
 def event_chains(events: DataFrame) -> tuple[DataFrame, DataFrame]:

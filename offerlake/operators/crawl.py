@@ -1,9 +1,9 @@
 """Walks over listing pages: page order, product order, caps and stop rules.
 
 A walk follows the ``next`` address from a start page. Many catalogs are walked at once.
-The position of a page is found by doubling: after k rounds every page knows the page
-2**k steps on, and all pages less than 2**k steps from the start know their distance. A
-chain of n pages takes log2(n) rounds, not n.
+The position of a page is found by growing jumps: after k rounds every page knows the page
+4**k steps on, and all pages less than 4**k steps from the start know their distance. A
+chain of n pages takes log4(n) rounds, not n.
 """
 
 from __future__ import annotations
@@ -14,10 +14,24 @@ from pyspark.sql import functions as F
 from offerlake.functions.rows import explode_items
 from offerlake.session import materialize
 
+# Jumps per round. More jumps mean fewer rounds and tables but more joins in each.
+LEAPS = 4
+
 # Pages per block when positions are summed up along a walk; bounds every window.
 PAGES_PER_BLOCK = 4096
 
 
+def _leaps(jump: DataFrame) -> DataFrame:
+    """From ``catalog, page, t1`` the pages one to four jumps on: ``t1`` to ``t4``."""
+    leaps = jump
+    for reach in range(1, LEAPS):
+        following = jump.select(
+            "catalog", F.col("page").alias(f"t{reach}"), F.col("t1").alias(f"t{reach + 1}")
+        )
+        leaps = leaps.join(following, ["catalog", f"t{reach}"], "left")
+    return leaps
+
+
 def page_order(pages: DataFrame, starts: DataFrame, max_pages: int = 0) -> DataFrame:
     """Pages reached from the start of each catalog, numbered from 1.
 
@@ -25,26 +39,33 @@ def page_order(pages: DataFrame, starts: DataFrame, max_pages: int = 0) -> DataF
     page``. A page that is met again ends the walk, so it keeps its smallest number.
     """
     key = ["catalog", "page"]
-    jump = pages.where(F.col("next").isNotNull()).select(*key, F.col("next").alias("target"))
-    reached = materialize(
-        starts.select(*key, F.lit(0).cast("long").alias("steps")), "reached"
-    )
-    count, span = reached.count(), 1
+    hops = pages.where(F.col("next").isNotNull()).select(*key, F.col("next").alias("t1"))
+    jump = materialize(hops, "jump")
+    reached = starts.select(*key, F.lit(0).cast("long").alias("steps"))
+    span = 1
     while not max_pages or span < max_pages:
-        landed = reached.join(jump, key).select(
-            "catalog", F.col("target").alias("page"), (F.col("steps") + span).alias("steps")
+        leaps = materialize(_leaps(jump), "leaps")
+        landings = F.array(
+            *(
+                F.struct(F.col(f"t{n}").alias("page"), F.lit(n * span).alias("steps"))
+                for n in range(1, LEAPS)
+            )
+        )
+        landed = reached.join(leaps, key).select(
+            "catalog", "steps", F.explode(landings).alias("landing")
         )
-        grown = reached.unionByName(landed).groupBy(key).agg(F.min("steps").alias("steps"))
+        fresh = landed.select(
+            "catalog", "landing.page", (F.col("steps") + F.col("landing.steps")).alias("steps")
+        ).where(F.col("page").isNotNull())
+        grown = reached.unionByName(fresh).groupBy(key).agg(F.min("steps").alias("steps"))
         reached = materialize(grown, "reached")
-        known, count = count, reached.count()
-        if count == known:
+        # A walk that goes on has a page at every number of steps this round can reach.
+        if reached.agg(F.max("steps")).first()[0] < LEAPS * span - 1:
             break
-        span *= 2
-        further = jump.select("catalog", F.col("page").alias("target"), F.col("target").alias("beyond"))
-        jump = materialize(
-            jump.join(further, ["catalog", "target"]).select(*key, F.col("beyond").alias("target")),
-            "jump",
+        jump = leaps.where(F.col(f"t{LEAPS}").isNotNull()).select(
+            *key, F.col(f"t{LEAPS}").alias("t1")
         )
+        span *= LEAPS
     order = reached.select(*key, (F.col("steps") + 1).alias("page_no"))
     return order.where(F.col("page_no") <= max_pages) if max_pages else order
 
