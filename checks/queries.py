@@ -15,7 +15,7 @@ from offerlake.functions.variant import type_names
 from offerlake.operators import extract, ledger, links, merge, quality, stats
 from offerlake.operators.crawl import crawl
 from offerlake.schemas import PRODUCT_VARIANTS, PRODUCTS
-from offerlake.session import configure, materialize, scratch_path
+from offerlake.session import configure, materialize, scratch_path, spread
 from offerlake.sources.pages import read_pages
 from offerlake.sources.export import read_products, write_products
 
@@ -63,7 +63,7 @@ def rendered(spark: SparkSession, sf_dir: str, spoiled: bool = False) -> DataFra
 
 @query
 def normalize_text(spark, sf_dir):
-    injected = F.concat("text", F.lit("  x\x1c y​z \x85"))
+    injected = F.concat("text", F.lit("\u00a0 x\x1c\u2003y\u200bz \x85"))
     return table(spark, sf_dir, "documents").select(
         "doc_id", scalars.normalize_text(injected).alias("text")
     )
@@ -79,8 +79,8 @@ def parse_price(spark, sf_dir):
         .when(kind == 2, F.concat(F.lit("abc"), plain))
         .when(kind == 3, F.concat(plain, F.lit("d")))
         .when(kind == 4, "")
-        .when(kind == 5, F.concat(F.lit(" +"), plain, F.lit(" ")))
-        .when(kind == 6, F.concat(F.left(plain, F.lit(1)), F.lit(" "), F.substring(plain, 2, 99)))
+        .when(kind == 5, F.concat(F.lit("\u00a0 +"), plain, F.lit(" \u2003")))
+        .when(kind == 6, F.concat(F.left(plain, F.lit(1)), F.lit("\u00a0"), F.substring(plain, 2, 99)))
         .otherwise(plain)
     )
     return table(spark, sf_dir, "lineitem").select(
@@ -417,6 +417,10 @@ def changed_products(spark, sf_dir):
     return merge.content_changes(part_products(part, False), part_products(part, True))
 
 
+def lines_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
+
+
 def line_pages(lineitem: DataFrame) -> DataFrame:
     """Every line as an accepted page, in the order of ``seq``.
 
@@ -482,13 +486,13 @@ def two_runs(pages: DataFrame, complete: tuple[bool, bool]) -> tuple[DataFrame,
 
 @query
 def merge_variants(spark, sf_dir):
-    pages = line_pages(table(spark, sf_dir, "lineitem"))
+    pages = line_pages(lines_table(spark, sf_dir))
     return clocks(two_runs(pages, (False, False))[1])
 
 
 @query
 def deactivate_variants(spark, sf_dir):
-    products, variants = two_runs(line_pages(table(spark, sf_dir, "lineitem")), (False, False))
+    products, variants = two_runs(line_pages(lines_table(spark, sf_dir)), (False, False))
     off = merge.deactivate_variants(variants, products, run_stamp(1996))
     return off.select("source_url", "source_key", "available", clock("updated_at"))
 
@@ -496,7 +500,7 @@ def deactivate_variants(spark, sf_dir):
 @query
 def merge_partial_run(spark, sf_dir):
     """Pages of the second run fail where the quantity is 1, so nothing is switched off."""
-    lines = table(spark, sf_dir, "lineitem").withColumn("year", F.year("l_shipdate"))
+    lines = lines_table(spark, sf_dir).withColumn("year", F.year("l_shipdate"))
     saved = in_first_run() | (F.col("l_quantity") != 1)
     outcomes = lines.select(
         F.when(in_first_run(), "run-1995").otherwise("run-1996").alias("run_id"),
@@ -511,7 +515,7 @@ def merge_partial_run(spark, sf_dir):
 
 @query
 def missing_variants(spark, sf_dir):
-    pages = line_pages(table(spark, sf_dir, "lineitem"))
+    pages = line_pages(lines_table(spark, sf_dir))
     old = merge.latest_variants(pages.where(in_first_run()))
     run = pages.where(~in_first_run())
     touched = run.select("source_url").distinct()
@@ -523,7 +527,7 @@ def missing_variants(spark, sf_dir):
 def seven_runs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """All ship years as complete runs, except that the last one is partial."""
     years = range(1995, 2002)
-    pages = line_pages(table(spark, sf_dir, "lineitem"))
+    pages = line_pages(lines_table(spark, sf_dir))
     numbered = pages.withColumn("run_no", F.col("year") - years[0]).drop("year")
     return merge.replay(numbered, [(run_stamp(y), y != years[-1]) for y in years])
 

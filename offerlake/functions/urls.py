@@ -47,7 +47,7 @@ def _without_dots(path: Column) -> Column:
     closing = F.element_at(segments, -1).isin(".", "..")
     full = F.when(closing, F.concat(kept, F.array(F.lit("")))).otherwise(kept)
     joined = F.array_join(full, "/")
-    resolved = F.when(joined == "", "/").otherwise(joined)
+    resolved = F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
     return F.when(path.rlike(r"(^|/)\.{1,2}(/|$)"), resolved).otherwise(path)
 
 

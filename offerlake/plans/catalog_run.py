@@ -96,7 +96,37 @@ def run_catalog(
     )
     if to_tables:
         store.publish(runs=ledger.replace_run(store.read("runs"), opened))
+    try:
+        return _finish(pages, options, store, export_path, opened)
+    except BaseException as error:
+        if to_tables:
+            _close_broken(options, store, opened, error)
+        raise
+
+
+def _close_broken(
+    options: RunOptions, store: SnapshotStore, opened: DataFrame, error: BaseException
+) -> None:
+    """Close the ledger row of a run that did not come to its end; the tables stay."""
+    outcome = "cancelled" if isinstance(error, KeyboardInterrupt) else "failed"
+    none_counted = opened.select(
+        F.col("id").alias("run_id"),
+        *(c for c in opened.columns if c.startswith("products_")),
+    )
+    closed = ledger.close_runs(
+        opened, none_counted, F.lit(options.started_at), F.lit(outcome), F.lit(str(error))
+    )
+    store.publish(runs=ledger.replace_run(store.read("runs"), closed))
+
 
+def _finish(
+    pages: DataFrame,
+    options: RunOptions,
+    store: SnapshotStore | None,
+    export_path: str | None,
+    opened: DataFrame,
+) -> DataFrame:
+    to_tables = options.storage in ("tables", "both")
     extracted = fetched_products(pages, product_urls(pages, options))
     checked = materialize(quality.checked(extracted), "checked")
     passes = F.size("reasons") == 0 if to_tables else F.col("found")
@@ -124,6 +154,6 @@ def run_catalog(
             variants=variants,
             runs=ledger.replace_run(store.read("runs"), closed),
         )
-    if to_json:
+    if export_path is not None and options.storage in ("json", "both"):
         write_products(checked.where(passes).select("product"), export_path)
     return closed

@@ -5,18 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from offerlake.schemas import PAGES
+from offerlake.session import spread
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages of a parquet table.
 
-    Reading a page takes far more time than its bytes suggest. A table of fewer splits than
-    the cluster has cores is therefore spread by address; a large one is left alone, and
-    its html is never shuffled.
+    Reading a page takes far more time than its bytes suggest, so a small table is spread
+    over the cores; the html of a large one is never shuffled.
     """
-    pages = spark.read.schema(PAGES).parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return pages.repartition(cores, "url") if pages.rdd.getNumPartitions() < cores else pages
+    return spread(spark.read.schema(PAGES).parquet(path), "url")
 
 
 def stream_pages(spark: SparkSession, path: str, glob: str = "*.parquet") -> DataFrame:
