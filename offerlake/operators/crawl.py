@@ -8,7 +8,7 @@ chain of n pages takes log4(n) rounds, not n.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlake.functions.rows import explode_items
@@ -86,48 +86,55 @@ def first_occurrences(links: DataFrame) -> DataFrame:
     )
 
 
-def before_stop(first: DataFrame, walked: DataFrame) -> DataFrame:
-    """Drop what comes from the first page on that has no address of its own."""
-    fruitful = first.select("catalog", "page_no").distinct()
+def fruitful_pages(first: DataFrame, walked: DataFrame) -> DataFrame:
+    """Pages with addresses of their own, ``catalog, page_no, n``, before the walk stops.
+
+    It stops at the first page that has none, and that page and all later ones count for
+    nothing. The rule is applied to pages, never to links, and the pages are dealt out by
+    block afterwards, so a catalog that holds most of the pages is not kept in one task.
+    """
+    page = ["catalog", "page_no"]
+    counts = first.groupBy(page).agg(F.count("*").alias("n"))
     stops = (
-        walked.select("catalog", "page_no")
-        .join(fruitful, ["catalog", "page_no"], "left_anti")
+        walked.select(*page).join(counts, page, "left_anti")
         .groupBy("catalog")
         .agg(F.min("page_no").alias("stop"))
     )
-    bounded = first.join(stops, "catalog", "left")
-    return bounded.where(F.col("stop").isNull() | (F.col("page_no") < F.col("stop"))).drop("stop")
+    before = F.col("stop").isNull() | (F.col("page_no") < F.col("stop"))
+    block = F.expr(f"page_no div {PAGES_PER_BLOCK}").alias("block")
+    return (
+        counts.join(stops, "catalog", "left")
+        .where(before)
+        .select(*page, block, "n")
+        .repartition("catalog", "block")
+    )
 
 
-def number_products(products: DataFrame) -> DataFrame:
-    """Adds ``seq``, the position of an address in its catalog, from 1.
+def number_products(first: DataFrame, pages: DataFrame) -> DataFrame:
+    """Addresses on the given pages with ``seq``, their position in the catalog, from 1.
 
     A window over a whole catalog would sort the largest catalog in one task. Positions
     are summed in levels instead: inside a page, pages inside a block, blocks.
     """
     page = ["catalog", "page_no"]
-    in_page = Window.partitionBy(page).orderBy("pos")
-    numbered = products.withColumn("in_page", F.row_number().over(in_page))
-
-    block = F.expr(f"page_no div {PAGES_PER_BLOCK}").alias("block")
-    counts = products.groupBy(page).agg(F.count("*").alias("n")).withColumn("block", block)
-    blocks = counts.groupBy("catalog", "block").agg(F.sum("n").alias("n"))
-    earlier_blocks = Window.partitionBy("catalog").orderBy("block").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    block_start = blocks.select(
-        "catalog",
-        "block",
-        F.coalesce(F.sum("n").over(earlier_blocks), F.lit(0)).alias("block_start"),
-    )
-    earlier_pages = Window.partitionBy("catalog", "block").orderBy("page_no").rowsBetween(
-        Window.unboundedPreceding, -1
+    all_before = (Window.unboundedPreceding, -1)
+
+    def sum_before(window) -> Column:
+        return F.coalesce(F.sum("n").over(window.rowsBetween(*all_before)), F.lit(0))
+
+    blocks = pages.groupBy("catalog", "block").agg(F.sum("n").alias("n"))
+    block_start = sum_before(Window.partitionBy("catalog").orderBy("block"))
+    in_block = sum_before(Window.partitionBy("catalog", "block").orderBy("page_no"))
+    starts = (
+        pages.withColumn("in_block", in_block)
+        .join(
+            blocks.select("catalog", "block", block_start.alias("block_start")),
+            ["catalog", "block"],
+        )
+        .select(*page, (F.col("block_start") + F.col("in_block")).alias("start"))
     )
-    page_start = counts.withColumn(
-        "in_block", F.coalesce(F.sum("n").over(earlier_pages), F.lit(0))
-    ).join(block_start, ["catalog", "block"])
-    starts = page_start.select(*page, (F.col("block_start") + F.col("in_block")).alias("start"))
-    return numbered.join(starts, page).select(
+    in_page = F.row_number().over(Window.partitionBy(page).orderBy("pos"))
+    return first.withColumn("in_page", in_page).join(starts, page).select(
         "catalog", (F.col("start") + F.col("in_page")).alias("seq"), "page_no", "pos", "url"
     )
 
@@ -143,5 +150,6 @@ def crawl(
     order = page_order(pages.select("catalog", "page", "next"), starts, max_pages)
     walked = order.join(pages.select("catalog", "page", "links"), ["catalog", "page"])
     links = explode_items(walked, "links", "url", "catalog", "page_no")
-    found = number_products(before_stop(first_occurrences(links), walked))
+    first = first_occurrences(links)
+    found = number_products(first, fruitful_pages(first, walked))
     return found.where(F.col("seq") <= limit) if limit else found

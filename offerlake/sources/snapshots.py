@@ -1,13 +1,14 @@
 """Snapshots of the catalog tables in one folder, published by a pointer file.
 
-A snapshot folder holds products, variants and the run ledger and is never changed. The
-pointer names the current one and is replaced last, so a reader sees all of a run or
-nothing of it. Accepted pages of an open run are kept beside the snapshots, one folder per
-batch; writing a batch again replaces its folder.
+A table folder is never changed once written. The pointer names the current folder of each
+table and is replaced last, so a reader sees all of a run or nothing of it; a table a run
+does not change stays where it is. Accepted pages of an open run are kept beside the
+tables, one folder per batch; writing a batch again replaces its folder.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,44 +33,42 @@ class SnapshotStore:
     def exists(self, relative: str) -> bool:
         return self._files().exists(self._path(relative))
 
-    def current(self) -> str | None:
-        """Name of the current snapshot, None for an empty store."""
+    def current(self) -> dict[str, str]:
+        """Folder of each table in the current snapshot, empty for a new store."""
         if not self.exists(_POINTER):
-            return None
-        return self.spark.read.text(f"{self.root}/{_POINTER}").first()["value"]
+            return {}
+        return json.loads(self.spark.read.text(f"{self.root}/{_POINTER}").first()["value"])
 
     def read(self, table: str) -> DataFrame:
-        name, schema = self.current(), TABLES[table]
-        if name is None:
+        folders, schema = self.current(), TABLES[table]
+        if table not in folders:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{table}")
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{folders[table]}")
 
-    def publish(self, **tables: DataFrame) -> str:
-        """Write a new snapshot and make it current; tables left out are carried over.
+    def publish(self, **tables: DataFrame) -> None:
+        """Write the given tables to new folders and make them current together.
 
-        The new folder is complete before the pointer moves, and plans that still read
-        the old snapshot go on working.
+        The new folders are complete before the pointer moves, and plans that still read
+        the old ones go on working.
         """
-        name = f"snapshot-{uuid.uuid4().hex}"
-        for table, schema in TABLES.items():
-            rows = tables[table] if table in tables else self.read(table)
-            rows.select(*schema.names).write.parquet(f"{self.root}/{name}/{table}")
-        self._point_to(name)
-        return name
-
-    def _point_to(self, name: str) -> None:
+        name, folders = f"snapshot-{uuid.uuid4().hex}", self.current()
+        for table, rows in tables.items():
+            folders[table] = f"{name}/{table}"
+            rows.select(*TABLES[table].names).write.parquet(f"{self.root}/{folders[table]}")
+        self._point_to(name, json.dumps(folders))
+
+    def _point_to(self, name: str, folders: str) -> None:
         files, fresh, pointer = self._files(), self._path(f".{name}"), self._path(_POINTER)
         stream = files.create(fresh, True)
         try:
-            stream.write(bytearray(name.encode()))
+            stream.write(bytearray(folders.encode()))
         finally:
             stream.close()
         options = self.spark._jvm.org.apache.hadoop.fs.Options
         overwrite = self.spark.sparkContext._gateway.new_array(options.Rename, 1)
         overwrite[0] = options.Rename.OVERWRITE
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-            pointer.toUri() if pointer.isAbsolute() and pointer.toUri().getScheme() else files.getUri(),
-            self.spark._jsc.hadoopConfiguration(),
+            files.getUri(), self.spark._jsc.hadoopConfiguration()
         )
         context.rename(fresh, pointer, overwrite)
 
