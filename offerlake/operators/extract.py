@@ -239,6 +239,9 @@ def extract_products(pages: DataFrame) -> DataFrame:
     the JSON-LD, or from the specification table when there are none; the brand is added
     under its label where that is missing. The description is the longest one in the page
     text, or that of the JSON-LD.
+
+    Write the result or cache it before filtering on it: Spark moves a filter below the
+    projections it depends on and would evaluate them twice.
     """
     kept = [name for name in pages.columns if name != "html"]
     dom = dom_fields(F.col("html"), "itemprop", "product-specification")

@@ -144,29 +144,30 @@ def _finish(
     checked = materialize(quality.checked(extracted), "checked")
     passes = F.size("reasons") == 0 if to_tables else F.col("found")
     outcomes = checked.select(F.lit(options.run_id).alias("run_id"), passes.alias("saved"))
-    counts = ledger.count_outcomes(outcomes)
     closed = materialize(
-        ledger.close_runs(opened, counts, F.lit(options.started_at)), "ledger"
+        ledger.close_runs(
+            opened, ledger.count_outcomes(outcomes), F.lit(options.started_at)
+        ),
+        "ledger",
     )
+    counts = ("full_scan", "products_found", "products_saved", "products_failed")
+    row = closed.withColumn(
+        "complete", ledger.complete_scan(*(F.col(c) for c in counts))
+    ).first()
+    # A run that saved nothing leaves the tables and an older export as they are.
+    any_saved = row["products_saved"] > 0
     if to_tables:
-        row = closed.withColumn(
-            "complete",
-            ledger.complete_scan(
-                *(F.col(c) for c in ("full_scan", "products_found", "products_saved", "products_failed"))
-            ),
-        ).first()
-        products, variants = apply_run(
-            store.read("products"),
-            store.read("variants"),
-            quality.accepted(checked),
-            options.stamp,
-            row["complete"],
-        )
-        store.publish(
-            products=products,
-            variants=variants,
-            runs=ledger.replace_run(store.read("runs"), closed),
-        )
-    if export_path is not None and options.storage in ("json", "both"):
+        merged = {}
+        if any_saved:
+            products, variants = apply_run(
+                store.read("products"),
+                store.read("variants"),
+                quality.accepted(checked),
+                options.stamp,
+                row["complete"],
+            )
+            merged = {"products": products, "variants": variants}
+        store.publish(runs=ledger.replace_run(store.read("runs"), closed), **merged)
+    if any_saved and export_path is not None and options.storage in ("json", "both"):
         write_products(checked.where(passes).select("product"), export_path)
     return closed
