@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from offerlake.session import materialize
 
@@ -37,7 +38,9 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def map_arrow(
-    df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str
+    df: DataFrame,
+    step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]],
+    schema: str | StructType,
 ) -> DataFrame:
     """``step`` on each batch of ``df``, distributed as ``df`` is."""
 

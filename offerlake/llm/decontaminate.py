@@ -140,105 +140,116 @@ def without_words(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     return b"".join([*kept, raw[at:]]).decode()
 
 
-def contamination(
+def _passes(
     docs: DataFrame,
+    text_col: str,
     benchmark: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    item_col: str = "item_id",
-    item_text_col: str = "text",
-    window: int = WINDOW,
-    block_words: int = BLOCK_WORDS,
+    item_col: str,
+    item_text_col: str,
+    window: int,
+    block_words: int,
 ) -> DataFrame:
-    """(id, text, n_words, spans array<struct<start, end>>, items array<string>) per row.
-
-    Spans count words from 0, ends are exclusive; they do not touch each other. Items are the
-    distinct ids of items with a window in the text, as strings in no given order.
-    """
+    """All columns of ``docs``, and last n_words, spans and items; one map per block."""
     bound_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
+    at, lead = docs.columns.index(text_col), len(docs.columns)
+    columns = [*docs.columns, "_n_words", "_spans", "_items"]
+    base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     schema = (
-        f"`{id_col}` {kind}, text string, n_words bigint, "
-        "spans array<struct<start:bigint,end:bigint>>, items array<string>"
+        f"{base}, _n_words bigint, _spans array<struct<start:bigint,end:bigint>>, "
+        "_items array<string>"
     )
-    names = [id_col, "text", "n_words", "spans", "items"]
-
-    def start(batch):
-        counts = [len(ALNUM_WORD.findall(lower_bytes(t))) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                batch.column(1),
-                pa.array(counts, pa.int64()),
-                pa.array([[] for _ in counts], SPANS),
-                pa.array([[] for _ in counts], pa.list_(pa.string())),
-            ],
-            names=names,
-        )
 
     def passing(sent):
         def step(batch):
-            block = sent.value
-            first = batch.num_columns == 2
-            texts = [ALNUM_WORD.findall(lower_bytes(t)) for t in batch.column(1).to_pylist()]
+            texts = [ALNUM_WORD.findall(lower_bytes(t)) for t in batch.column(at).to_pylist()]
             spans: list[list[tuple[int, int]]] = [[] for _ in texts]
             items: list[set[str]] = [set() for _ in texts]
-            if not first:
-                for k, (s, i) in enumerate(
-                    zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
-                ):
+            if batch.num_columns > lead:
+                before = zip(
+                    batch.column(lead + 1).to_pylist(),
+                    batch.column(lead + 2).to_pylist(),
+                    strict=True,
+                )
+                for k, (s, i) in enumerate(before):
                     spans[k] = [(x["start"], x["end"]) for x in s]
                     items[k] = set(i)
-            starts, ends, pairs = find(block, texts)
-            limits = np.cumsum([0] + [len(w) + 1 for w in texts])
-            owners = np.searchsorted(limits, starts, side="right") - 1
-            for k, a, b in zip(owners.tolist(), starts.tolist(), ends.tolist(), strict=True):
-                spans[k].append((a - int(limits[k]), b - int(limits[k])))
-            for k, i in pairs.tolist():
-                items[k].add(block.names[i])
+            if sent is not None:
+                block = sent.value
+                starts, ends, pairs = find(block, texts)
+                limits = np.cumsum([0] + [len(w) + 1 for w in texts])
+                owners = np.searchsorted(limits, starts, side="right") - 1
+                for k, a, b in zip(owners.tolist(), starts.tolist(), ends.tolist(), strict=True):
+                    spans[k].append((a - int(limits[k]), b - int(limits[k])))
+                for k, i in pairs.tolist():
+                    items[k].add(block.names[i])
+            merged = [[{"start": a, "end": b} for a, b in merge_spans(s)] for s in spans]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
-                    batch.column(1),
+                    *batch.columns[:lead],
                     pa.array([len(w) for w in texts], pa.int64()),
-                    pa.array(
-                        [[{"start": a, "end": b} for a, b in merge_spans(s)] for s in spans],
-                        SPANS,
-                    ),
+                    pa.array(merged, SPANS),
                     pa.array([list(i) for i in items], pa.list_(pa.string())),
                 ],
-                names=names,
+                names=columns,
             )
 
         return step
 
     context = docs.sparkSession.sparkContext
-    found = docs.select(id_col, F.col(text_col).alias("text"))
-    blocks = 0
+    found, blocks = docs, 0
     for block in item_blocks(benchmark, item_col, item_text_col, window, block_words):
         found = map_arrow(found, passing(context.broadcast(block)), schema)
         blocks += 1
-    return found if blocks else map_arrow(found, start, schema)
+    return found if blocks else map_arrow(found, passing(None), schema)
+
+
+def contamination(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+    block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """(id, n_words, spans array<struct<start, end>>, items array<string>) per row.
 
+    Spans count words from 0, ends are exclusive; they do not touch each other. Items are the
+    distinct ids of items with a window in the text, as strings in no given order.
+    """
+    rows = docs.select(id_col, text_col)
+    found = _passes(rows, text_col, benchmark, item_col, item_text_col, window, block_words)
+    return found.select(
+        id_col,
+        F.col("_n_words").alias("n_words"),
+        F.col("_spans").alias("spans"),
+        F.col("_items").alias("items"),
+    )
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """(id, text, spans): the texts without the words that windows of items cover."""
-    id_col = options.get("id_col", "doc_id")
-    found = contamination(docs, benchmark, **options)
-    kind = docs.schema[id_col].dataType.simpleString()
+
+def decontaminate(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+    block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, with texts without the words that windows cover."""
+    found = _passes(docs, text_col, benchmark, item_col, item_text_col, window, block_words)
+    names = docs.columns
+    at, lead = names.index(text_col), len(names)
 
     def step(batch):
+        spans = batch.column(lead + 1).to_pylist()
         texts = [
             without_words(t, [(x["start"], x["end"]) for x in s])
-            for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            for t, s in zip(batch.column(at).to_pylist(), spans, strict=True)
         ]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(texts, pa.string()), batch.column(2)],
-            names=[id_col, "text", "spans"],
-        )
-
-    return map_arrow(
-        found.select(id_col, "text", "spans"),
-        step,
-        f"`{id_col}` {kind}, text string, spans array<struct<start:bigint,end:bigint>>",
-    )
+        columns = batch.columns[:lead]
+        columns[at] = pa.array(texts, pa.string())
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return map_arrow(found, step, docs.schema)

@@ -10,6 +10,7 @@ from offerlake.llm import (
     decontaminate,
     embeddings,
     licenses,
+    lines,
     repeats,
     secrets,
     simhash,
@@ -34,6 +35,13 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.without_repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    )
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -70,9 +78,9 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    file = bpe.tokenizer_file()
+def token_digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """Every text as ids and back: their number and digests."""
+    file = bpe.tokenizer_file(tokenizer)
     lexicon = bpe.build_lexicon(bpe.frequent_words(docs, file), file)
     coded = bpe.decode(bpe.encode(docs, file, lexicon), file)
     return coded.select(
@@ -83,6 +91,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"))
+
+
 def removed(spans: str) -> Column:
     """Total length of an array of spans."""
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -133,6 +145,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_line_dedup": op2_line_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_decontaminate": op4_decontaminate,
     "op5_bpe": op5_bpe,
