@@ -4,18 +4,13 @@ from __future__ import annotations
 
 # Lines grouped into the product pages the queries read: page of each line, place on it.
 _SHOP = """
-WITH counts AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey),
-salted AS (
-  SELECT l.*, CASE WHEN n > 1000000
-      THEN (l_orderkey + 7 * l_suppkey + 31 * l_linenumber) % (n // 1000000 + 1)
-      ELSE 0 END AS salt
-  FROM lineitem l JOIN counts USING (l_partkey)),
+WITH salted AS (SELECT *, l_orderkey // 1048576 AS salt FROM lineitem),
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY l_partkey, salt
       ORDER BY l_suppkey, l_shipdate, l_orderkey, l_linenumber) - 1 AS place
   FROM salted),
 lines AS (
-  SELECT *, salt * 1000000 + place // 32 AS page_no, place % 32 AS pos FROM placed),
+  SELECT *, salt * 1048576 + place // 32 AS page_no, place % 32 AS pos FROM placed),
 shop AS (
   SELECT p.*, coalesce(g.page_no, 0) AS page_no,
       'https://shop.example/p/' || p_partkey AS link,
@@ -340,19 +335,20 @@ SELECT (SELECT count(*) FROM stamped) AS products,
   (SELECT count(*) FROM stamped WHERE page_available AND NOT stale) AS available,
   (SELECT count(*) FROM final) AS variants""",
     "run_ledger": """
-WITH years AS (SELECT CAST(unnest(range(1995, 2003)) AS INTEGER) AS y),
+WITH years AS (
+  SELECT DISTINCT CAST(year(l_shipdate) AS INTEGER) AS y FROM lineitem UNION SELECT 2100),
 counted AS (
   SELECT year(l_shipdate) AS y, count(*) AS found,
       count(*) FILTER (WHERE year(l_shipdate) % 2 = 0 AND l_quantity <= 1) AS failed
   FROM lineitem GROUP BY 1),
 filled AS (
-  SELECT years.y, CAST(coalesce(found, 0) AS INTEGER) AS found, CAST(coalesce(failed, 0) AS INTEGER) AS failed
+  SELECT years.y, coalesce(found, 0) AS found, coalesce(failed, 0) AS failed
   FROM years LEFT JOIN counted ON years.y = counted.y)
 SELECT 'run-' || y AS id, 'shop' AS source, 'parts' AS category, 'https://shop.example/c/' AS catalog_url,
   'both' AS storage_mode,
   CASE WHEN y = 1999 THEN 'cancelled' WHEN found = 0 THEN 'failed' WHEN failed = 0 THEN 'completed'
     ELSE 'partial' END AS status,
-  y % 3 <> 0 AS full_scan, found AS products_found, CAST(found - failed AS INTEGER) AS products_saved,
+  y % 3 <> 0 AS full_scan, found AS products_found, found - failed AS products_saved,
   failed AS products_failed,
   CASE WHEN y = 1999 THEN 'stop postgresql://u:***@db.example/x' WHEN found = 0 THEN 'the catalog gave no products' END AS error_message,
   make_timestamp(y, 1, 1, 0, 0, 0) AS started_at, TIMESTAMP '2003-01-01' AS finished_at,

@@ -15,7 +15,7 @@ from offerlake.functions.variant import type_names
 from offerlake.operators import extract, ledger, links, merge, quality, stats
 from offerlake.operators.crawl import crawl
 from offerlake.schemas import PRODUCT_VARIANTS, PRODUCTS
-from offerlake.session import configure, materialize, scratch_path, spread
+from offerlake.session import configure, materialize, scratch_path
 from offerlake.sources.pages import read_pages
 from offerlake.sources.export import read_products, write_products
 
@@ -136,17 +136,17 @@ def redact_secrets(spark, sf_dir):
 
 @query
 def page_links(spark, sf_dir):
-    return links.page_links(read_pages(spark, f"{sf_dir}/pages.parquet")).select("page_id", "pos", "href")
+    return links.page_links(read_pages(spark, f"{sf_dir}/pages.parquet", spark.sparkContext.defaultParallelism)).select("page_id", "pos", "href")
 
 
 @query
 def resolve_links(spark, sf_dir):
-    return links.page_links(read_pages(spark, f"{sf_dir}/pages.parquet")).select("page_id", "pos", "link")
+    return links.page_links(read_pages(spark, f"{sf_dir}/pages.parquet", spark.sparkContext.defaultParallelism)).select("page_id", "pos", "link")
 
 
 @query
 def links_dedup_first(spark, sf_dir):
-    return links.distinct_page_links(read_pages(spark, f"{sf_dir}/pages.parquet"))
+    return links.distinct_page_links(read_pages(spark, f"{sf_dir}/pages.parquet", spark.sparkContext.defaultParallelism))
 
 
 def event_chains(events: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -418,7 +418,9 @@ def changed_products(spark, sf_dir):
 
 
 def lines_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
+    return table(spark, sf_dir, "lineitem").repartition(
+        spark.sparkContext.defaultParallelism, "l_orderkey", "l_linenumber"
+    )
 
 
 def line_pages(lineitem: DataFrame) -> DataFrame:
@@ -506,9 +508,13 @@ def merge_partial_run(spark, sf_dir):
         F.when(in_first_run(), "run-1995").otherwise("run-1996").alias("run_id"),
         saved.alias("saved"),
     )
+    names = ("products_found", "products_saved", "products_failed")
+    counted = ledger.count_outcomes(outcomes).select(
+        "run_id", ledger.complete_scan(F.lit(True), *map(F.col, names)).alias("complete")
+    )
     # Two rows, one per run: this is the only thing the driver reads.
-    counts = {r["run_id"]: r for r in ledger.count_outcomes(outcomes).collect()}
-    complete = tuple(counts[f"run-{y}"]["products_failed"] == 0 for y in (1995, 1996))
+    gates = {r["run_id"]: r["complete"] for r in counted.collect()}
+    complete = tuple(gates.get(f"run-{y}", False) for y in (1995, 1996))
     products, _ = two_runs(line_pages(lines.where(saved)), complete)
     return products.select("source_url", "available", "last_seen_run_id", clock("updated_at"))
 
@@ -560,19 +566,21 @@ def run_ledger(spark, sf_dir):
         F.concat(F.lit("run-"), year).alias("run_id"),
         ((year % 2 == 1) | (F.col("l_quantity") > 1)).alias("saved"),
     )
-    runs = None
-    for y in range(1995, 2003):
-        opened = ledger.open_run(
-            spark,
-            run_id=f"run-{y}",
-            source=SOURCE,
-            category=CATEGORY,
-            catalog_url="https://shop.example/c/",
-            storage_mode="both",
-            is_full_scan=y % 3 != 0,
-            started_at=datetime(y, 1, 1),
-        )
-        runs = opened if runs is None else runs.unionByName(opened)
+    # One run per ship year that the data have, and one that found nothing.
+    years = lines.select(year.alias("y")).distinct().union(spark.range(1).select(F.lit(2100)))
+    runs = years.select(
+        F.concat(F.lit("run-"), "y").alias("id"),
+        F.lit(SOURCE).alias("source"),
+        F.lit(CATEGORY).alias("category"),
+        F.lit("https://shop.example/c/").alias("catalog_url"),
+        F.lit("both").alias("storage_mode"),
+        F.lit("running").alias("status"),
+        (F.col("y") % 3 != 0).alias("full_scan"),
+        *(F.lit(0).cast("long").alias(f"products_{n}") for n in ("found", "saved", "failed")),
+        F.lit(None).cast("string").alias("error_message"),
+        F.make_timestamp("y", F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("started_at"),
+        F.lit(None).cast("timestamp").alias("finished_at"),
+    )
     cancelled = F.when(F.col("id") == "run-1999", "cancelled")
     error = F.when(F.col("id") == "run-1999", "stop postgresql://u:secret@db.example/x")
     closed = ledger.close_runs(

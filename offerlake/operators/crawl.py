@@ -60,7 +60,8 @@ def page_order(pages: DataFrame, starts: DataFrame, max_pages: int = 0) -> DataF
         grown = reached.unionByName(fresh).groupBy(key).agg(F.min("steps").alias("steps"))
         reached = materialize(grown, "reached")
         # A walk that goes on has a page at every number of steps this round can reach.
-        if reached.agg(F.max("steps")).first()[0] < LEAPS * span - 1:
+        furthest = reached.agg(F.max("steps")).first()[0]
+        if furthest is None or furthest < LEAPS * span - 1:
             break
         jump = leaps.where(F.col(f"t{LEAPS}").isNotNull()).select(
             *key, F.col(f"t{LEAPS}").alias("t1")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlake.functions.dom import dom_fields
-from offerlake.functions.markup import attribute, has_attribute, start_tags
+from offerlake.functions.markup import has_attribute, raw_attribute, start_tags, unescape_all
 from offerlake.functions.rows import explode_items
 from offerlake.functions.urls import resolve, url_parts
 
@@ -14,18 +14,19 @@ from offerlake.functions.urls import resolve, url_parts
 def hrefs(html: Column) -> Column:
     """Targets of all anchors of a page, in order."""
     anchors = F.filter(start_tags(html, "a"), lambda tag: has_attribute(tag, "href"))
-    return F.transform(anchors, lambda tag: attribute(tag, "href"))
+    return unescape_all(F.transform(anchors, lambda tag: raw_attribute(tag, "href")))
 
 
 def next_href(html: Column) -> Column:
     """Target of the first ``link`` or ``a`` whose ``rel`` holds the word ``next``."""
 
     def is_next(tag: Column) -> Column:
-        rel = F.coalesce(attribute(tag, "rel"), F.lit(""))
+        rel = F.coalesce(raw_attribute(tag, "rel"), F.lit(""))
         return has_attribute(tag, "href") & rel.rlike(r"(?U)(^|\s)next(\s|$)")
 
     tags = F.filter(start_tags(html, "a", "link"), is_next)
-    return attribute(F.get(tags, 0), "href")
+    first = F.transform(F.slice(tags, 1, 1), lambda tag: raw_attribute(tag, "href"))
+    return F.get(unescape_all(first), 0)
 
 
 def with_links(pages: DataFrame) -> DataFrame:

@@ -17,10 +17,6 @@ from offerlake.sources.export import write_products
 from offerlake.sources.snapshots import SnapshotStore
 
 
-# Most addresses of a capped walk that are sent to every executor: some ten megabytes.
-SENT_TO_PAGES = 100_000
-
-
 @dataclass(frozen=True)
 class RunOptions:
     """A run over one catalog. Zero means no cap on products or pages."""
@@ -64,18 +60,15 @@ def product_urls(pages: DataFrame, options: RunOptions) -> DataFrame:
     return crawl(chain, start, options.max_pages, options.limit).select("seq", "url")
 
 
-def fetched_products(pages: DataFrame, urls: DataFrame, limit: int) -> DataFrame:
+def fetched_products(pages: DataFrame, urls: DataFrame) -> DataFrame:
     """Extracted products of the walk; an address without a page counts as not found.
 
-    A capped walk has at most ``limit`` addresses, which go to the pages. Otherwise pages
-    are read where they lie and only the extracted rows are matched, so that html is never
-    shuffled.
+    Only pages of the walk are extracted. The addresses have been written, so their size is
+    known at run time: they go to the pages if they are few, and are matched by a shuffle,
+    with a filter built from them in front of it, if they are many.
     """
     fetched = pages.select("url", "html")
-    if 0 < limit <= SENT_TO_PAGES:
-        hits = extract.extract_products(fetched.join(F.broadcast(urls), "url"))
-    else:
-        hits = extract.extract_products(fetched).join(urls, "url")
+    hits = extract.extract_products(fetched.join(urls, "url"))
     absent = urls.join(fetched.select("url"), "url", "left_anti")
     return hits.unionByName(
         absent.withColumn("found", F.lit(False)), allowMissingColumns=True
@@ -140,7 +133,8 @@ def _finish(
     opened: DataFrame,
 ) -> DataFrame:
     to_tables = options.storage in ("tables", "both")
-    extracted = fetched_products(pages, product_urls(pages, options), options.limit)
+    urls = materialize(product_urls(pages, options), "addresses")
+    extracted = fetched_products(pages, urls)
     checked = materialize(quality.checked(extracted), "checked")
     passes = F.size("reasons") == 0 if to_tables else F.col("found")
     outcomes = checked.select(F.lit(options.run_id).alias("run_id"), passes.alias("saved"))

@@ -98,9 +98,9 @@ SCRAPE_RUNS = T.StructType(
         T.StructField("storage_mode", T.StringType(), False),
         T.StructField("status", T.StringType(), False),
         T.StructField("full_scan", T.BooleanType(), False),
-        T.StructField("products_found", T.IntegerType(), False),
-        T.StructField("products_saved", T.IntegerType(), False),
-        T.StructField("products_failed", T.IntegerType(), False),
+        T.StructField("products_found", T.LongType(), False),
+        T.StructField("products_saved", T.LongType(), False),
+        T.StructField("products_failed", T.LongType(), False),
         T.StructField("error_message", T.StringType()),
         T.StructField("started_at", T.TimestampType(), False),
         T.StructField("finished_at", T.TimestampType()),

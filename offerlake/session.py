@@ -51,9 +51,9 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    return _local_dirs.setdefault(
-        context.applicationId, tempfile.mkdtemp(prefix="offerlake-")
-    )
+    if context.applicationId not in _local_dirs:
+        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="offerlake-")
+    return _local_dirs[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -61,16 +61,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/offerlake/{app}/{label}-{uuid.uuid4().hex}"
 
 
-def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """A table scan with work for every core.
-
-    Only a table of fewer splits than the cluster has cores is moved; a large one is left
-    as it is read. To be used on plain scans, where counting the splits runs nothing.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

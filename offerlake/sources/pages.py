@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from offerlake.schemas import PAGES
-from offerlake.session import spread
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of a parquet table.
+def read_pages(spark: SparkSession, path: str, partitions: int = 0) -> DataFrame:
+    """Pages of a parquet table, left where they lie.
 
-    Reading a page takes far more time than its bytes suggest, so a small table is spread
-    over the cores; the html of a large one is never shuffled.
+    Reading a page takes far more time than its bytes suggest. A caller who knows that the
+    table has too few splits for the cluster gives a number of ``partitions`` to deal the
+    pages to; without one html is not moved.
     """
-    return spread(spark.read.schema(PAGES).parquet(path), "url")
+    pages = spark.read.schema(PAGES).parquet(path)
+    return pages.repartition(partitions, "url") if partitions else pages
 
 
 def stream_pages(spark: SparkSession, path: str, glob: str = "*.parquet") -> DataFrame:

@@ -8,23 +8,6 @@ from offerlake.functions.dom import read_fields
 from offerlake.operators import extract, links, quality
 from offerlake.schemas import BRAND_LABEL
 
-LISTING = """
-<html><head><!-- <link rel="next" href="/no"> --><link href="?PAGE=2" rel="prefetch next"></head>
-<body><a class="name" href="/outside">o</a>
-<div id="catalog-content">
-  <div class="item products-flex-item">
-    <a class="name big" href="/c/barrow.html">Barrow</a><br>
-    <a class="name" href="/c/barrow.html">again</a>
-    <a class="other" href="/c/other.html">x</a>
-    <p><a href='sub/deep.html?a=1&amp;b=2' class=name>deep</a>
-  </div>
-</div>
-<a class="name" href="/after">after</a>
-<script>var x = '<a href="/script">no</a>';</script>
-</body></html>
-"""
-
-
 def page(node, extra="", kind="application/ld+json"):
     text = node if isinstance(node, str) else json.dumps(node, ensure_ascii=False)
     return f'<html><body><script type="{kind}">{text}</script>{extra}</body></html>'
@@ -37,52 +20,79 @@ def products(spark, *pages):
     return [r["product"] for r in found]
 
 
-def test_listing_page(spark):
-    url = "https://s.example/catalog/garden/"
-    frame = spark.createDataFrame([(1, url, LISTING)], "page_id long, url string, html string")
-    row = links.listing_pages(frame).first()
-    assert row["links"] == [
-        "https://s.example/c/barrow.html",
-        "https://s.example/catalog/garden/sub/deep.html?a=1&b=2",
-    ]
-    assert row["next"] == url + "?PAGE=2"
-    native = frame.select(links.next_href(F.col("html")).alias("n"), links.hrefs(F.col("html")).alias("h")).first()
-    assert native["n"] == "?PAGE=2"
-    assert native["h"] == [
-        "/outside", "/c/barrow.html", "/c/barrow.html", "/c/other.html", "sub/deep.html?a=1&b=2", "/after",
-    ]
-    firsts = links.distinct_page_links(frame).orderBy("pos").collect()
-    assert [r["link"].rsplit("/", 1)[1] for r in firsts] == [
-        "outside", "barrow.html", "other.html", "deep.html?a=1&b=2", "after",
-    ]
-
-
-def test_product_group_page(spark):
-    node = {
-        "@context": "https://schema.org",
-        "@type": "ProductGroup",
-        "name": "Садовая  тачка",
-        "url": "https://s.example/barrow.html",
-        "description": "Для сада",
-        "brand": {"@type": "Brand", "name": "Ferma"},
-        "image": ["", "https://s.example/barrow.jpg"],
+def listing(*items, before="", after="", head=""):
+    """A listing page: items inside the catalog, anything before and after it."""
+    inside = "".join(f'<section><div class="x products-flex-item y">{i}</div></section>' for i in items)
+    return f'<title>t</title>{head}<main>{before}<article><div ID=catalog-content>{inside}</div></article>{after}</main>'
+
+
+# What a catalog holds, and the links a run follows from it.
+LISTINGS = {
+    "only named anchors of items": (
+        listing(
+            '<a class="photo" href="/1">no</a><span><a title="t" class="  name " href="/2">yes</a></span>',
+            '<a class="names" href="/3">no</a><a class="name" name="anchor">no</a>',
+            before='<a class="name" href="/4">no</a>',
+            after='<div class="products-flex-item"><a class="name" href="/5">no</a></div>',
+        ),
+        ["/2"], None,
+    ),
+    "each address once, first place": (
+        listing(*(f'<a class="name" href="{h}">x</a>' for h in ("/b", "../u/v", "/b", "?q=1&amp;r=&#50;", "../u/v"))),
+        ["/b", "/shop/u/v", "/shop/list/?q=1&r=2"], None,
+    ),
+    "next by anchor": (listing(after='<a REL="nofollow  NEXT" href="/no"></a><a rel=next href=p2>2</a>'), [], "/shop/list/p2"),
+    "next is a word of its own": (listing(after='<a rel="nextpage" href="/no">next</a> the next one'), [], None),
+    "first next counts": (listing(head='<link href="/a" rel="next"><link rel="next" href="/b">'), [], "/a"),
+    "nothing in comments and scripts": (
+        listing('<!-- <a class="name" href="/1"> --><script>"<a class=name href=/2>"</script>', head='<!-- <link rel=next href=/3> -->'),
+        [], None,
+    ),
+    "no page of a catalog": ('<p>the next one is <a class="name" href="/1">here</a>', [], None),
+}
+
+
+def test_listing_pages(spark):
+    base = "https://s.example/shop/list/"
+    rows = [(name, base, text) for name, (text, _, _) in LISTINGS.items()]
+    frame = spark.createDataFrame(rows, "name string, url string, html string")
+    for name, (_, expected, following) in LISTINGS.items():
+        got = links.listing_pages(frame.where(F.col("name") == name)).first()
+        host = "https://s.example"
+        assert got["links"] == [host + e for e in expected], name
+        assert got["next"] == (following and host + following), name
+
+
+def test_character_references_in_links(spark):
+    given = ["/x?a=1&#x26;b=2", "/&#1078;", "/&#X41;&#x42;", "/a&amp;amp;b", "/&eacute;&copy;&nbsp;", "/&#38;lt;", "/a&b=c", "/&#0;&#xD800;&#x110000;"]
+    text = "".join(f'<a href="{h}">x</a>' for h in given)
+    frame = spark.createDataFrame([(1, "https://s.example/", text)], "page_id long, url string, html string")
+    got = [r["href"] for r in links.page_links(frame).orderBy("pos").collect()]
+    assert got == [html.unescape(h) for h in given]
+
+
+def test_product_in_several_blocks(spark):
+    """The group is in the second block, its offers are lists, its types lists of types."""
+    review = {"@type": "Review", "name": "not this"}
+    group = {
+        "@type": ["Thing", "ProductGroup"],
+        "name": "\tDesk\u00a0lamp ",
+        "url": " https://s.example/lamp ",
+        "brand": "Lux",
+        "image": {"url": "ignored"},
+        "additionalProperty": [{"name": "watt", "value": 40}, {"name": "watt", "value": "60"}],
         "hasVariant": [
-            {
-                "name": "Тачка, два колеса",
-                "sku": "W-2",
-                "offers": {"price": 4310, "priceCurrency": "RUB", "availability": "https://schema.org/InStock"},
-            }
+            {"sku": " L-1 ", "offers": [{"price": "1 019,90", "priceCurrency": "EUR"}, {"price": 5}]},
+            {"name": "red", "offers": {"price": "899.00", "availability": "http://schema.org/InStock"}},
         ],
-        "additionalProperty": [{"name": "Колёса", "value": "2"}],
     }
-    text = '<div itemprop="description">\n Прочная тачка <b>для</b> земли &amp; камня.<p>x</div>'
-    (p,) = products(spark, page(node, text))
-    assert (p["name"], p["link"]) == ("Садовая тачка", "https://s.example/barrow.html")
-    assert (p["price"], p["currency"], p["available"], p["brand"]) == (4310, "RUB", True, "Ferma")
-    assert p["characteristics"] == {"Колёса": "2", BRAND_LABEL: "Ferma"}
-    assert p["description"] == "Прочная тачка для земли & камня. x"
-    assert p["image"] == "https://s.example/barrow.jpg"
-    assert p["variants"][0]["sku"] == "W-2"
+    text = page([review], page([review, group], '<p itemprop="description">short</p>'))
+    (found,) = products(spark, text)
+    assert found["name"] == "Desk lamp"
+    assert found["characteristics"] == {"watt": "60", BRAND_LABEL: "Lux"}
+    assert found["available"] is True
+    assert [v["name"] for v in found["variants"]] == [None, "red"]
+    assert found["description"] == "short"
 
 
 def test_choice_of_the_product_node(spark):
@@ -221,8 +231,8 @@ def test_rejects_and_stored_shape(spark):
 
 @pytest.mark.parametrize("partitions", [1, 7])
 def test_links_do_not_depend_on_partitions(spark, partitions):
-    rows = [(i, f"https://s.example/{i}/", LISTING) for i in range(20)]
+    text = '<a href="/a">1</a><a name="n">2</a><a href="b?x=1&amp;y=2">3</a><area href="/c">'
+    rows = [(i, f"https://s.example/{i}/", text) for i in range(20)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(partitions)
     got = links.page_links(frame).orderBy("page_id", "pos").collect()
-    assert len(got) == 120
-    assert [r["href"] for r in got[:6]][4] == html.unescape("sub/deep.html?a=1&amp;b=2")
+    assert [(r["page_id"], r["href"]) for r in got] == [(i, h) for i in range(20) for h in ("/a", "b?x=1&y=2")]

@@ -1,5 +1,4 @@
 import hashlib
-import json
 from decimal import Decimal
 from urllib.parse import urljoin
 
@@ -41,52 +40,65 @@ def test_parse_price(spark):
     assert column(spark, [None], scalars.parse_price) == [None]
 
 
-def expected_hash(product):
-    names = ("name", "brand", "description", "price", "currency")
-    content = {**{n: product.get(n) for n in names}, "characteristics": product.get("characteristics") or {}}
-    text = json.dumps(content, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
-    return hashlib.sha256(text.encode()).hexdigest()
+# What is fingerprinted, written by hand, and its SHA-256 as a checksum tool gives it.
+FINGERPRINTS = [
+    (
+        (None, None, None, None, None, None),
+        '{"brand":null,"characteristics":{},"currency":null,"description":null,"name":null,"price":null}',
+    ),
+    (
+        ("Lamp", "Lux", "", "19.9000000000", "EUR", {"watt": "40"}),
+        '{"brand":"Lux","characteristics":{"watt":"40"},"currency":"EUR","description":"","name":"Lamp","price":19.9}',
+    ),
+    (
+        ("Щётка \"XL\"", None, "a\\b\n\u001f", "0", None, {"я": "2", "b": "1", "B": ""}),
+        '{"brand":null,"characteristics":{"B":"","b":"1","я":"2"},"currency":null,'
+        '"description":"a\\\\b\\n\\u001f","name":"Щётка \\"XL\\"","price":0}',
+    ),
+    (
+        ("1000", "\u007f/", None, "1000.0000000000", "USD", {}),
+        '{"brand":"\u007f/","characteristics":{},"currency":"USD","description":null,"name":"1000","price":1000}',
+    ),
+]
+
 
+@pytest.mark.parametrize("row,text", FINGERPRINTS)
+def test_content_hash_is_of_this_text(spark, row, text):
+    schema = "name string, brand string, description string, price decimal(38,10), currency string, characteristics map<string,string>"
+    price = None if row[3] is None else Decimal(row[3])
+    frame = spark.createDataFrame([(*row[:3], price, *row[4:])], schema)
+    digest = frame.select(scalars.content_hash(*map(F.col, frame.columns))).first()[0]
+    assert digest == hashlib.sha256(text.encode()).hexdigest()
 
-def hashes(spark, products):
-    schema = "i int, name string, brand string, description string, price decimal(38,10), currency string, characteristics map<string,string>"
+
+def test_content_hash_does_not_depend_on_map_order(spark):
+    digest = "sha2(concat_ws(',', transform(map_keys(m), k -> k)), 256)"
+    maps = ["map('x', '1', 'a', '2')", "map('a', '2', 'x', '1')"]
+    nothing = [F.lit(None).cast("string")] * 3
     rows = [
-        (
-            i, p.get("name"), p.get("brand"), p.get("description"),
-            None if p.get("price") is None else Decimal(str(p["price"])),
-            p.get("currency"), p.get("characteristics"),
-        )
-        for i, p in enumerate(products)
-    ]
-    names = ("name", "brand", "description", "price", "currency", "characteristics")
-    frame = spark.createDataFrame(rows, schema)
-    digest = scalars.content_hash(*(F.col(n) for n in names))
-    return [r["h"] for r in frame.select("i", digest.alias("h")).orderBy("i").collect()]
-
-
-def test_content_hash_matches_compact_json(spark):
-    products = [
-        {"name": "Rake", "brand": "B", "description": "D", "price": 250, "currency": "RUB", "characteristics": {"Вес": "9", "Длина": "7"}},
-        {"name": "Rake", "brand": "B", "description": "D", "price": 250, "currency": "RUB", "characteristics": {"Длина": "7", "Вес": "9"}},
-        {"name": "Rake", "price": 310.5},
-        {"name": 'q"\\/\b\f\n\r\t\x01\x1a\x1b\x0e\x7f\\u000E é', "brand": "\\\x0f", "price": 12345678.5, "characteristics": {"a": "\x1f"}},
-        {"name": "zero", "price": 0},
-        {},
+        spark.range(1).select(F.expr(m).alias("m")).select(
+            scalars.content_hash(*nothing, F.lit(None).cast("decimal(38,10)"), F.lit(None).cast("string"), F.col("m")),
+            F.expr(digest),
+        ).first()
+        for m in maps
     ]
-    got = hashes(spark, products)
-    assert got == [expected_hash(p) for p in products]
-    assert got[0] == got[1]
-    assert len(set(got)) == len(products) - 1
-
-
-def test_variant_key(spark):
-    rows = [(0, "R-77", "Rake wide"), (1, None, "Rake wide"), (2, "\u00a0", "\u2003Rake wide\x1c"), (3, None, None), (4, "", "")]
-    frame = spark.createDataFrame(rows, "i int, sku string, name string")
-    key = scalars.variant_source_key(F.col("sku"), F.col("name"))
-    got = [r["k"] for r in frame.select("i", key.alias("k")).orderBy("i").collect()]
-    digest = "name:" + hashlib.sha256(b"Rake wide").hexdigest()
-    empty = "name:" + hashlib.sha256(b"").hexdigest()
-    assert got == ["sku:R-77", digest, digest, empty, empty]
+    assert rows[0][0] == rows[1][0] and rows[0][1] != rows[1][1]
+
+
+# Keys of variants: a number where there is one, else the SHA-256 of the name.
+VARIANT_KEYS = {
+    (" 0 ", "any"): "sku:0",
+    ("A\tB", ""): "sku:A\tB",
+    ("", "Blue  one"): "name:2be0a9541b1fa666",
+    (None, None): "name:e3b0c44298fc1c14",
+}
+
+
+def test_variant_keys(spark):
+    for (sku, name), start in VARIANT_KEYS.items():
+        frame = spark.createDataFrame([(sku, name)], "sku string, name string")
+        key = frame.select(scalars.variant_source_key(F.col("sku"), F.col("name"))).first()[0]
+        assert key.startswith(start), (sku, name, key)
 
 
 def test_variant_name_falls_back_to_product(spark):
