@@ -19,6 +19,8 @@ document and keep the same lines.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -158,7 +160,8 @@ def buckets_of(bands: DataFrame) -> DataFrame:
 
 
 def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those rows (a, b) of ``pairs`` whose lines' similarity is large enough."""
+    """Those rows (a, b) of ``pairs`` whose lines' similarity is large enough. The second join
+    leaves them in the order of b, so the shingles of a line are mostly at hand."""
     left = texts.select(F.col("line").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("line").alias("b"), F.col("text").alias("right"))
 
@@ -176,6 +179,7 @@ def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
+@lru_cache(maxsize=4)
 def shingles(line: str) -> set[str]:
     return {line[k : k + SHINGLE] for k in range(max(1, len(line) - SHINGLE + 1))}
 
