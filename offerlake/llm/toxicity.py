@@ -29,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerlake.llm.common import map_arrow
+from offerlake.llm.common import bound_batches
 from offerlake.llm.string_kernel import Landmarks, cosine, letters
+from offerlake.session import materialize
 
-SAMPLE, SAMPLE_CHARS = 2500, 8000
+SAMPLE, SAMPLE_CHARS = 1500, 6000
 LANDMARKS = 64
 #: Lengths of landmark strings.
 SHORTEST, LONGEST = 4, 8
@@ -41,6 +42,9 @@ SUPPORT = 3
 #: Landmarks in a document after which it calls for no more, and likeness of two landmarks
 #: that is too much.
 COVERS, ALIKE = 4, 0.6
+#: Times more frequent in toxic documents a shortest piece must be for longer ones with it to
+#: be looked at, and words whose kernel values are computed together.
+TELLING, WORDS_AT_ONCE = 1.5, 20_000
 DECISION = 0.3
 #: Single letters in a row that are read as one word.
 SPELLED = 4
@@ -96,26 +100,30 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
     order. Strings like one chosen before are passed over.
     """
 
-    cut: dict[str, set[str]] = {}
-
-    def of_word(w: str) -> set[str]:
-        if w not in cut:
-            cut[w] = {
-                w[a : a + n]
-                for n in range(SHORTEST, LONGEST + 1)
-                for a in range(len(w) - n + 1)
-            }
-        return cut[w]
+    def starts(words: set[str]) -> set[str]:
+        return {w[a : a + SHORTEST] for w in words for a in range(len(w) - SHORTEST + 1)}
 
     def pieces(words: set[str]) -> set[str]:
-        return set().union(*map(of_word, words))
-
+        """Pieces that hold one of the telling shortest ones."""
+        found = set()
+        for w in words:
+            at = [a for a in range(len(w) - SHORTEST + 1) if w[a : a + SHORTEST] in telling]
+            for n in range(SHORTEST, LONGEST + 1) if at else ():
+                for a in range(len(w) - n + 1):
+                    if any(a <= k <= a + n - SHORTEST for k in at):
+                        found.add(w[a : a + n])
+        return found
+
+    per_clean = len(toxic) / max(1, len(clean))
+    first = Counter(p for words in toxic for p in starts(words))
+    second = Counter(p for words in clean for p in starts(words))
+    telling = {p for p, n in first.items() if n >= SUPPORT and n > TELLING * second[p] * per_clean}
     in_toxic = Counter(p for words in toxic for p in pieces(words))
     common = {p for p, n in in_toxic.items() if n >= SUPPORT}
     in_clean: Counter[str] = Counter()
     for words in clean:
         in_clean.update(pieces(words) & common)
-    useful = {p for p in common if in_toxic[p] > 3 * in_clean[p] * len(toxic) / max(1, len(clean))}
+    useful = {p for p in common if in_toxic[p] > 3 * in_clean[p] * per_clean}
     best = sorted(useful, key=lambda p: (3 * in_clean[p] - in_toxic[p], -len(p), p))[:4000]
     owners = {p: set() for p in best}
     for k, words in enumerate(toxic):
@@ -142,7 +150,10 @@ def sentence_values(marks: Landmarks, texts: list[list[list[str]]]) -> list[np.n
     """Per text, given as words of its sentences, the kernel values of the sentences that
     are like a landmark."""
     every = sorted({w for text in texts for words in text for w in words})
-    like = {every[k]: v for k, v in marks.likeness(every).items()}
+    like: dict[str, np.ndarray] = {}
+    for at in range(0, len(every), WORDS_AT_ONCE):
+        part = every[at : at + WORDS_AT_ONCE]
+        like.update((part[k], v) for k, v in marks.likeness(part).items())
     found = []
     for text in texts:
         rows = [[like[w] for w in words if w in like] for words in text]
@@ -151,9 +162,9 @@ def sentence_values(marks: Landmarks, texts: list[list[list[str]]]) -> list[np.n
     return found
 
 
-def hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 400) -> np.ndarray:
+def hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 1000) -> np.ndarray:
     """Linear support vector machine by averaged subgradient steps; the last column is 1."""
-    w, total, decay = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 1e-3
+    w, total, decay = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 1e-4
     for t in range(1, rounds + 1):
         wrong = y * (x @ w) < 1
         gradient = decay * w - ((weight * y * wrong) @ x) / weight.sum()
@@ -224,18 +235,22 @@ def fit(texts: list[str], labels: list[int], toxic_share: float) -> Model | None
     return Model(strings, folded, float(w[-1]), slope, shift)
 
 
-def training_rows(
+def training_keys(
     docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str
 ) -> DataFrame:
-    """(text, label) of the labelled rows that are not held out."""
+    """(id, mark, size, label) of the labelled rows that are not held out; ``mark`` is a hash
+    of the text, which itself is not moved."""
     known = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
         .groupBy(F.col(id_col).alias("_id"))
         .agg(F.max(label_col).alias("label"))
     )
-    usable = docs.where(F.col(text_col).isNotNull() & ~held_out(id_col))
-    rows = usable.join(known, usable[id_col] == known["_id"])
-    return rows.select(F.col(text_col).alias("text"), "label")
+    rows = docs.where(F.col(text_col).isNotNull() & ~held_out(id_col)).select(
+        F.col(id_col).alias("id"),
+        F.xxhash64(text_col).alias("mark"),
+        F.length(text_col).alias("size"),
+    )
+    return rows.join(known, rows["id"] == known["_id"]).drop("_id")
 
 
 def train(
@@ -245,26 +260,57 @@ def train(
     text_col: str = "text",
     label_col: str = "toxic",
 ) -> Model | None:
-    rows = training_rows(docs, labels, id_col, text_col, label_col)
-    short = rows.where(F.length("text") <= SAMPLE_CHARS)
-    texts, ys = [], []
-    for label in (0, 1):
-        sample = short.where(F.col("label") == label).orderBy(F.xxhash64("text"), "text")
-        got = [r.text for r in sample.select("text").limit(SAMPLE).collect()]
-        texts += got
-        ys += [label] * len(got)
-    share = rows.agg(F.avg("label")).first()[0]
-    return fit(texts, ys, share) if len(set(ys)) == 2 else None
+    keys = materialize(training_keys(docs, labels, id_col, text_col, label_col), "labelled")
+    short = keys.where(F.col("size") <= SAMPLE_CHARS).select("mark", "label", "id")
+    samples = [
+        short.where(F.col("label") == label).orderBy("mark", "id").limit(SAMPLE)
+        for label in (0, 1)
+    ]
+    # At most twice SAMPLE rows of three numbers, so they go to the texts.
+    sample = F.broadcast(samples[0].union(samples[1]))
+    same = (docs[id_col] == sample["id"]) & (F.xxhash64(docs[text_col]) == sample["mark"])
+    rows = docs.join(sample, same).groupBy("mark", "label").agg(F.first(text_col).alias("text"))
+    got = rows.select("text", "label").collect()
+    if len({r.label for r in got}) < 2:
+        return None
+    share = keys.agg(F.avg("label")).first()[0]
+    return fit([r.text for r in got], [r.label for r in got], share)
 
 
 def score(
     docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(id, score) per row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
+    scores = _scorer(docs, model)
 
     def run(batches):
+        for batch, found in scores(batches, 1):
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(found, pa.float64())], names=[id_col, "score"]
+            )
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
+
+
+def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that score under ``DECISION``."""
+    at = docs.columns.index(text_col)
+    scores = _scorer(docs, model)
+
+    def run(batches):
+        for batch, found in scores(batches, at):
+            yield batch.filter(pa.array([s < DECISION for s in found]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _scorer(docs: DataFrame, model: Model | None):
+    """A function that gives each batch with the scores of its texts (a column's place)."""
+    bound_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches, at: int):
         model = sent.value
         marks = Landmarks(model.strings) if model else None
         memo: dict[str, float | None] = {}
@@ -305,15 +351,12 @@ def score(
             if not batch.num_rows:
                 continue
             if model is None:
-                scores = [0.0] * batch.num_rows
+                yield batch, [0.0] * batch.num_rows
             else:
-                outputs = np.array([output(t or "") for t in batch.column(1).to_pylist()])
-                scores = model.probability(outputs).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scores, pa.float64())], names=[id_col, "score"]
-            )
+                outputs = np.array([output(t or "") for t in batch.column(at).to_pylist()])
+                yield batch, model.probability(outputs).tolist()
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return run
 
 
 def _sentences(text: str) -> Iterator[list[str]]:
