@@ -9,8 +9,11 @@ matching statistics of all other positions stream from them, as each match is on
 than the one before it. Positions with a match of a whole window are repeated.
 
 Under an anchor with very many different runs, the runs are dealt to cells. What is repeated
-inside a cell is found by its index; one of each of its different windows is sent on, by a
-hash of 128 bits, to meet those of the anchor's other cells in a count.
+inside a cell is found by its index; one of each of its different windows is sent on, to meet
+those of the anchor's other cells. Windows that begin at most ``STEP`` bytes apart travel
+together under the hash of what they have in common, placed relative to the anchor, so that
+equal windows have it in common whatever run they are in. Only where that is found more than
+once are the windows themselves counted, by hashes of 128 bits.
 
 Defined results: a null or empty text has no bytes; rows with equal id and text are places of
 their own, so each repeats the other; texts shorter than a window repeat nothing.
@@ -36,6 +39,8 @@ PIECE_BYTES = 32
 CELL_RUNS = 1000
 #: Runs that a task indexes together, unless one cell has more.
 INDEX_RUNS = 1500
+#: Bytes between the first and the last window that travel together, and one more.
+STEP = 16
 #: No UTF-8 text has this byte.
 BETWEEN = 0xFF
 
@@ -141,10 +146,12 @@ class RunIndex:
 
 
 def indexed(cells: DataFrame, window: int) -> DataFrame:
-    """Rows of two kinds: repeated windows of a run as (anchor, body, n, begin, end), with w1
-    and w2 null; different windows of cells that are not alone, with their hash w1, w2."""
+    """Rows of two kinds: repeated windows of a run as (anchor, body, n, begin, end), with c1
+    and c2 null; and different windows of a cell that is not alone, with their own hashes
+    w1, w2 and the hash c1, c2 of what they have in common."""
+    step = min(STEP, window)
 
-    def one_table(table: pa.Table) -> list[np.ndarray]:
+    def repeats_of(table: pa.Table) -> list[pa.Table]:
         passages = table.column("passage").to_pylist()
         joined = b"".join(p + bytes([BETWEEN]) for p in passages)
         text = np.frombuffer(joined, np.uint8)
@@ -155,40 +162,64 @@ def indexed(cells: DataFrame, window: int) -> DataFrame:
         usable = inside + window < sizes[owner]
         smaller, larger = RunIndex(text).matching_statistics()
         repeated = usable & (np.maximum(smaller, larger) >= window)
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], repeated.view(np.int8), [0]])))
         # Runs of true values never cross passages: each ends in places that are not usable.
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], repeated.view(np.int8), [0]])))
         begin, end = edges[::2], edges[1::2]
-        none = np.zeros(len(begin), bool)
-        out = [(owner[begin], inside[begin], inside[begin] + end - begin, none, begin)]
+        names = table.select(["anchor", "body", "n"])
+        found = [
+            names.take(pa.array(owner[begin]))
+            .append_column("begin", pa.array(inside[begin].astype(np.int32)))
+            .append_column("end", pa.array((inside[begin] + end - begin).astype(np.int32)))
+        ]
         # One of each different window: the smallest of the equal suffixes.
         parted = table.column("parts").to_numpy() > 1
         sent = np.flatnonzero(usable & (smaller < window) & parted[owner])
-        out.append((owner[sent], inside[sent], inside[sent] + 1, np.ones(len(sent), bool), sent))
-        who, low, high, hashed, place = map(np.concatenate, zip(*out, strict=True))
-        w1, w2 = np.zeros(len(who), np.uint64), np.zeros(len(who), np.uint64)
         if len(sent):
-            w1[hashed] = piece_hashes(text, window)[place[hashed]]
-            w2[hashed] = piece_hashes(mix(text.astype(np.uint64)), window)[place[hashed]]
-        return [who, low, high, hashed, w1, w2]
+            anchors = table.column("anchor").to_numpy().view(np.uint64)
+            pieces = piece_hashes(text, PIECE_BYTES)
+            places = np.flatnonzero(pieces == anchors[owner[: len(pieces)]])
+            place = places[np.searchsorted(places, sent)]
+            core = place - (place - sent) // step * step
+            new = np.flatnonzero(np.concatenate([[True], core[1:] != core[:-1]]))
+            other = mix(text.astype(np.uint64))
+            c1, c2 = (piece_hashes(x, window - step + 1)[core[new]] for x in (text, other))
+            w1, w2 = (piece_hashes(x, window)[sent] for x in (text, other))
+            windows = pa.StructArray.from_arrays(
+                [pa.array(inside[sent].astype(np.int32)), pa.array(signed(w1)), pa.array(signed(w2))],
+                names=["begin", "w1", "w2"],
+            )
+            ends = pa.array(np.append(new, len(sent)).astype(np.int32))
+            found.append(
+                names.take(pa.array(owner[sent[new]]))
+                .append_column("c1", pa.array(signed(c1)))
+                .append_column("c2", pa.array(signed(c2)))
+                .append_column("windows", pa.ListArray.from_arrays(ends, windows))
+            )
+        return found
+
+    travelling = pa.list_(
+        pa.struct([("begin", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())])
+    )
+    types = {
+        "anchor": pa.int64(), "body": pa.int64(), "n": pa.int32(), "begin": pa.int32(),
+        "end": pa.int32(), "c1": pa.int64(), "c2": pa.int64(), "windows": travelling,
+    }
 
     def run(batches):
         for table in whole_groups(batches, "cell", INDEX_RUNS):
-            who, low, high, hashed, w1, w2 = one_table(table)
-            if not len(who):
-                continue
-            rows = table.select(["anchor", "body", "n"]).take(pa.array(who)).combine_chunks()
-            yield from pa.Table.from_arrays(
-                [
-                    *rows.columns,
-                    pa.array(low.astype(np.int32)),
-                    pa.array(high.astype(np.int32)),
-                    pa.array(signed(w1), mask=~hashed),
-                    pa.array(signed(w2), mask=~hashed),
-                ],
-                names=["anchor", "body", "n", "begin", "end", "w1", "w2"],
-            ).to_batches()
+            for found in repeats_of(table):
+                columns = [
+                    found.column(name).cast(kind)
+                    if name in found.column_names
+                    else pa.nulls(found.num_rows, kind)
+                    for name, kind in types.items()
+                ]
+                yield from pa.table(columns, names=list(types)).combine_chunks().to_batches()
 
-    schema = "anchor bigint, body bigint, n int, begin int, end int, w1 bigint, w2 bigint"
+    schema = (
+        "anchor bigint, body bigint, n int, begin int, end int, c1 bigint, c2 bigint, "
+        "windows array<struct<begin:int,w1:bigint,w2:bigint>>"
+    )
     dealt = cells.repartition("cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(run, schema)
 
@@ -241,14 +272,22 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         "cell", F.xxhash64("anchor", F.pmod(F.col("body"), F.col("parts")))
     )
     found = materialize(indexed(cells, window), "indexed")
-    sent = found.where("w1 is not null")
-    met = sent.groupBy("w1", "w2").agg(F.count("*").alias("k")).where("k > 1").drop("k")
-    crossing = sent.join(met, ["w1", "w2"]).select("anchor", "body", "n", "begin", "end")
+    sent = found.where("c1 is not null")
+    cores = sent.groupBy("c1", "c2").agg(F.count("*").alias("k")).where("k > 1").drop("k")
+    open_windows = (
+        sent.join(cores, ["c1", "c2"])
+        .select("anchor", "body", "n", F.explode("windows").alias("w"))
+        .select("anchor", "body", "n", "w.*")
+    )
+    met = open_windows.groupBy("w1", "w2").agg(F.count("*").alias("k")).where("k > 1").drop("k")
+    crossing = open_windows.join(met, ["w1", "w2"]).select(
+        "anchor", "body", "n", "begin", (F.col("begin") + 1).alias("end")
+    )
     whole = bodies.where("times > 1").select(
         "anchor", "body", "n", F.lit(0).alias("begin"), F.col("n").alias("end")
     )
     marked = (
-        found.where("w1 is null")
+        found.where("c1 is null")
         .select("anchor", "body", "n", "begin", "end")
         .union(crossing)
         .union(whole)
