@@ -15,8 +15,11 @@ import json
 import re
 import unicodedata
 from collections import Counter
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +36,8 @@ MEMO_WORDS = 150_000
 #: Distinct words that a task counts before it hands its counts over.
 COUNTED_WORDS = 100_000
 
+#: Widths in bytes of words that are merged side by side; longer ones go alone.
+MERGED_TOGETHER = (4, 8, 12, 16, 24, 40)
 NO_MERGE, ID_MASK = 1 << 62, (1 << 20) - 1
 
 
@@ -66,6 +71,68 @@ class Vocabulary:
             key = names[left] << 20 | names[right]
             self.merges[key] = rank << 20 | names[left + right]
 
+        self.byte_table = np.array(self.byte_ids, np.int64)
+        self.pairs = np.array(sorted(self.merges), np.int64)
+        self.best = np.array([self.merges[p] for p in self.pairs.tolist()], np.int64)
+
+    def _found(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What ``merges`` has of pairs of ids; an id below 0 is none."""
+        pairs = left << 20 | right
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        known = (self.pairs[at] == pairs) & (left >= 0) & (right >= 0)
+        return np.where(known, self.best[at], NO_MERGE)
+
+    def merge_all(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """``merge`` of many words: one step of all words of like length at a time."""
+        result: list[tuple[int, ...]] = [()] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        low = 0
+        for width in MERGED_TOGETHER:
+            group = np.flatnonzero((sizes > low) & (sizes <= width))
+            low = width
+            for at in range(0, len(group), 20_000):
+                part = group[at : at + 20_000]
+                rows = self._merge_rows([words[k] for k in part.tolist()], sizes[part], width)
+                for k, row in zip(part.tolist(), rows, strict=True):
+                    result[k] = row
+        for k in np.flatnonzero(sizes > low).tolist():
+            result[k] = self.merge(words[k])
+        return result
+
+    def _merge_rows(self, words: list[bytes], sizes: np.ndarray, width: int) -> list[tuple]:
+        raw = b"".join([w.ljust(width, b"\0") for w in words])
+        ids = self.byte_table[np.frombuffer(raw, np.uint8)].reshape(-1, width)
+        columns = np.arange(width)
+        ids = np.where(columns < sizes[:, None], ids, -1)
+        done = np.full((len(ids), width), -1, np.int64)
+        found = np.full((len(ids), width), NO_MERGE, np.int64)
+        found[:, :-1] = self._found(ids[:, :-1], ids[:, 1:])
+        which = np.arange(len(ids))
+        while len(which):
+            place = found.argmin(1)
+            rows = np.arange(len(which))
+            best = found[rows, place]
+            ended = best == NO_MERGE
+            if ended.any():
+                done[which[ended]] = ids[ended]
+                on = ~ended
+                which, ids, found, place, best = (x[on] for x in (which, ids, found, place, best))
+                rows = np.arange(len(which))
+                if not len(which):
+                    break
+            # Everything behind the merged pair moves one to the left.
+            moved = np.minimum(columns + (columns > place[:, None]), width - 1)
+            ids, found = (np.take_along_axis(x, moved, 1) for x in (ids, found))
+            ids[:, -1], found[:, -1] = -1, NO_MERGE
+            ids[rows, place] = new = best & ID_MASK
+            after = np.where(place + 1 < width, ids[rows, np.minimum(place + 1, width - 1)], -1)
+            before = np.where(place > 0, ids[rows, place - 1], -1)
+            found[rows, place] = self._found(new, after)
+            inner = place > 0
+            found[rows[inner], place[inner] - 1] = self._found(before[inner], new[inner])
+        lengths = (done >= 0).sum(1).tolist()
+        return [tuple(row[:n]) for row, n in zip(done.tolist(), lengths, strict=True)]
+
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Ids of a word: the lowest-ranked pair is merged first, the leftmost of equals."""
         ids = [self.byte_ids[b] for b in word]
@@ -218,24 +285,28 @@ def encode(
         vocabulary = _once("vocabulary", content.value, lambda: Vocabulary(content.value))
         splitter = _once("splitter", content.value, lambda: Splitter(vocabulary))
         known = _once("lexicon", block.value, lambda: Lexicon(block.value))
-        memo = _once("memo", content.value, dict)
+        memo: dict[str, tuple[int, ...]] = _once("memo", content.value, dict)
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+        texts = [list(splitter.parts(text)) if text else [] for text in batch.column(1).to_pylist()]
+        fresh = {w for parts in texts for part in parts if not isinstance(part, int) for w in part}
+        unseen: list[str] = []
+        for word in fresh.difference(memo):
+            raw = word.encode()
+            got = known.get(raw) if len(raw) <= LEXICON_BYTES else None
+            if got is None:
+                unseen.append(word)
+            else:
+                memo[word] = got
+        memo.update(zip(unseen, vocabulary.merge_all([w.encode() for w in unseen]), strict=True))
         rows = []
-        for text in batch.column(1).to_pylist():
+        for parts in texts:
             ids: list[int] = []
-            for part in splitter.parts(text) if text else ():
+            for part in parts:
                 if isinstance(part, int):
                     ids.append(part)
-                    continue
-                for word in part:
-                    got = memo.get(word)
-                    if got is None:
-                        raw = word.encode()
-                        got = known.get(raw) or vocabulary.merge(raw)
-                        if len(memo) >= MEMO_WORDS:
-                            memo.clear()
-                        if len(raw) <= 4 * LEXICON_BYTES:
-                            memo[word] = got
-                    ids += got
+                else:
+                    ids += chain.from_iterable(map(memo.__getitem__, part))
             rows.append(ids)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=[id_col, "ids"]
@@ -256,9 +327,12 @@ def decode(encoded: DataFrame, vocabulary_file: str, id_col: str = "doc_id") ->
         vocabulary = _once("vocabulary", content.value, lambda: Vocabulary(content.value))
         get = vocabulary.bytes_of.get
         ids = batch.column(1)
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(ids.value_lengths(), 0))]).tolist()
+        flat = ids.flatten().to_pylist() if ids.values.null_count else ids.flatten().to_numpy().tolist()
+        pieces = [get(i, b"") for i in flat]
         texts = [
-            b"".join([get(i, b"") for i in row]).decode("utf-8", "replace") if row else ""
-            for row in ids.to_pylist()
+            b"".join(pieces[a:b]).decode("utf-8", "replace")
+            for a, b in zip(ends, ends[1:], strict=False)
         ]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), ids, pa.array(texts, pa.string())], names=[id_col, "ids", "decoded"]

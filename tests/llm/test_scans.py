@@ -224,10 +224,10 @@ def test_decontamination_without_items_and_cut_texts(spark, odd):
     rows = queries.op4_decontaminate(spark, odd).collect()
     assert len(rows) == len(ODD_TEXTS) and not any(r.contaminated for r in rows)
     words = " ".join(f"w{k}" for k in range(12))
-    docs = spark.createDataFrame([(1, f"Keep, this. {words.upper()}! And this."), (2, "é")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, f"Keep, this. {words.upper()}! And this.", 5), (2, "é", 6)], "doc_id long, text string, spans int")
     bench = spark.createDataFrame([(1, words)], "item_id long, text string")
-    got = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, bench).collect()}
-    assert got == {1: "Keep, this. ! And this.", 2: "é"}
+    got = {r.doc_id: (r.text, r.spans) for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert got == {1: ("Keep, this. ! And this.", 5), 2: ("é", 6)}
 
 
 def test_fm_index_finds_every_place():
@@ -281,6 +281,15 @@ def test_bpe_of_any_characters():
         for part in splitter.parts(text):
             ids += [part] if isinstance(part, int) else [i for w in part for i in vocabulary.merge(w.encode())]
         assert ids == library.encode(text, add_special_tokens=False).ids
+    words = [w.encode() for t in texts for part in splitter.parts(t) if not isinstance(part, int) for w in part]
+    assert vocabulary.merge_all(words) == [vocabulary.merge(w) for w in words]
+
+
+def test_decoding_any_ids(spark):
+    rows = [(1, [15496, 50256, None, 99999, 222]), (2, None), (3, []), (4, [15496])]
+    frame = spark.createDataFrame(rows, "doc_id long, ids array<int>")
+    got = {r.doc_id: r.decoded for r in bpe.decode(frame, bpe.tokenizer_file()).collect()}
+    assert got == {1: "Hello<|endoftext|>\ufffd", 2: "", 3: "", 4: "Hello"}
 
 
 def test_lexicon_holds_its_words_only():
