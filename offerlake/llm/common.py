@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from offerlake.session import materialize
+from offerlake.session import discard, materialize
 
 #: Rows and bytes of one Arrow batch. Long texts make a batch end early, so a task holds a
 #: few dozen MB of text whatever the lengths are.
@@ -118,7 +118,8 @@ def connected(vertices: DataFrame, edges: DataFrame, label: str) -> DataFrame:
             .select(F.col("m").alias("a"), F.col("x").alias("b"))
             .distinct()
         )
-        links = materialize(small, f"{label}-round")
+        links, used = materialize(small, f"{label}-round"), links
+        discard(used)
         now = links.agg(
             F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
         ).first()

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from offerlake.llm.common import SPACED_WORD, bound_batches, signed
 from offerlake.llm.groups import whole_groups
 from offerlake.llm.windows import anchored_runs, keyed, same_row
-from offerlake.session import materialize
+from offerlake.session import discard, materialize
 
 WINDOW, PIECE_WORDS = 13, 5
 GROUP_ROWS = 200_000
@@ -200,6 +200,7 @@ def seen_before(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     ``keyed``) whose words also start in a document with a smaller id; ends exclusive."""
     anchors = materialize(shared_anchors(docs, window), "anchors")
     pieces = materialize(pieces_of(docs, anchors, window), "pieces")
+    discard(anchors)
     nodes = materialize(
         pieces.groupBy("anchor", "body").agg(
             F.min("id").alias("low"),
@@ -246,11 +247,10 @@ def seen_before(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         )
         .alias("windows"),
     )
-    return (
-        hits.where(F.size("windows") > 0)
-        .groupBy("id", "mark")
-        .agg(F.flatten(F.collect_list("windows")).alias("windows"))
-    )
+    found = hits.where(F.size("windows") > 0).groupBy("id", "mark")
+    seen = materialize(found.agg(F.flatten(F.collect_list("windows")).alias("windows")), "seen")
+    discard(pieces, nodes, edges)
+    return seen
 
 
 def without_seen(
@@ -260,7 +260,7 @@ def without_seen(
     joined by single spaces, and the runs of words taken out, ends exclusive."""
     bound_batches(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
-    marked = materialize(seen_before(rows, window), "seen")
+    marked = seen_before(rows, window)
     joined = rows.join(marked, same_row(rows, marked), "left").select(
         rows["id"], rows["text"], marked["windows"]
     )
