@@ -5,9 +5,9 @@ with the smallest hash that falls into it; empty bins borrow from the next full
 bins are bucket keys. Equal lines are one row from the start. In each bucket, lines are first
 compared with one line of it, by the exact Jaccard similarity of their shingles; what that
 connects is one component. Then lines of one bucket that are still in different components are
-compared with each other by their bins, and exactly where these agree often enough, so no
-candidate pair goes unanswered. Links of both passes become components by distributed
-union-find.
+compared with each other: counts of their shingles bound what two lines can have in common,
+and all pairs that may reach the similarity asked for are compared exactly, so no candidate
+pair goes unanswered. Links of both passes become components by distributed union-find.
 
 A component keeps its line in the document with the smallest id, there the first one; all
 others go, with their line ends. Lines are compared without white space at their ends and as
@@ -39,11 +39,12 @@ SIMILARITY = 0.8
 #: 1 - (1 - 0.8 ** 7) ** 20 = 0.991, and more above it.
 BANDS, BAND_BINS = 20, 7
 BINS = BANDS * BAND_BINS
-#: Share of equal bins from which a pair is compared exactly. At the similarity asked for,
-#: 0.8 of 140 bins agree with a deviation of 0.034, so this is six deviations away.
-MAYBE = 0.6
+#: Cells that the shingles of a line are counted in. Two lines have no more shingles in common
+#: than the sum of the smaller counts, so a pair under the bound is no link, whatever its length.
+CELLS = 128
+MOST = np.iinfo(np.uint8).max
 GROUP_ROWS = 100_000
-#: Lines of a bucket whose bins are compared with all others of it at a time.
+#: Lines of a bucket whose counts are compared with all others of it at a time.
 COMPARED = 128
 #: Characters of lines that a task hashes together.
 HASHED = 1 << 19
@@ -79,8 +80,8 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return values, counts
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """A row of ``BINS`` unsigned numbers for each line."""
+def band_keys(lines: list[str]) -> np.ndarray:
+    """A row of ``BANDS`` unsigned keys for each line."""
     values, counts = shingle_hashes(lines)
     owner = np.repeat(np.arange(len(lines)), counts)
     values = mix(values)
@@ -96,12 +97,7 @@ def signatures(lines: list[str]) -> np.ndarray:
     following = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :BINS]
     step = (following - np.arange(BINS)).astype(np.uint64)
     taken = np.take_along_axis(lows, following % BINS, 1)
-    return mix(taken + step * np.uint64(0x9E3779B97F4A7C15))
-
-
-def band_keys(lines: list[str]) -> np.ndarray:
-    """A row of ``BANDS`` unsigned keys for each line."""
-    signature = signatures(lines)
+    signature = mix(taken + step * np.uint64(0x9E3779B97F4A7C15))
     keys = np.zeros((len(lines), BANDS), np.uint64)
     for k in range(BAND_BINS):
         keys = mix(keys + signature[:, k::BAND_BINS] + np.arange(BANDS, dtype=np.uint64))
@@ -190,53 +186,72 @@ def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
-def bins_of(texts: DataFrame) -> DataFrame:
-    """(line, bins): one byte of each of a line's bins."""
+def shingle_counts(line: str) -> tuple[np.ndarray, int]:
+    """How many different shingles of a line fall into each cell, at most ``MOST``, and how
+    many there are."""
+    values = np.unique(shingle_hashes([line])[0])
+    cells = (mix(values) >> np.uint64(32)) % np.uint64(CELLS)
+    counts = np.bincount(cells.astype(np.int64), minlength=CELLS)
+    return np.minimum(counts, MOST).astype(np.uint8), len(values)
+
+
+def counts_of(texts: DataFrame) -> DataFrame:
+    """(line, cells, size): the counts of a line's shingles, one byte a cell."""
 
     def run(batches):
         for batch in batches:
-            lines = batch.column(1).to_pylist()
-            bins = [signatures([x])[0].astype(np.uint8).tobytes() for x in lines]
+            found = [shingle_counts(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(bins, pa.binary())], names=["line", "bins"]
+                [
+                    batch.column(0),
+                    pa.array([cells.tobytes() for cells, _ in found], pa.binary()),
+                    pa.array([size for _, size in found], pa.int64()),
+                ],
+                names=["line", "cells", "size"],
             )
 
-    return texts.select("line", "text").mapInArrow(run, "line bigint, bins binary")
+    return texts.select("line", "text").mapInArrow(run, "line bigint, cells binary, size bigint")
 
 
 def maybe_alike(rows: DataFrame) -> DataFrame:
-    """(a, b): lines of one bucket and different components whose bins agree often enough.
+    """(a, b): lines of one bucket and different components that may be alike.
 
-    A bucket is compared a block of its lines at a time; only pairs that may be links leave
-    the task.
+    All pairs with the similarity asked for are among them. A bucket is compared a block of
+    its lines at a time; only pairs that may be links leave the task.
     """
 
-    def pairs_of(lines: np.ndarray, components: np.ndarray, bins: np.ndarray):
+    def pairs_of(lines: np.ndarray, components: np.ndarray, cells: np.ndarray, sizes: np.ndarray):
+        # Shingles that a full cell does not count may all be common ones.
+        beyond = sizes - cells.sum(axis=1, dtype=np.int64)
+        columns = np.ascontiguousarray(cells.T)
         for at in range(0, len(lines), COMPARED):
             block = slice(at, at + COMPARED)
-            equal = np.zeros((len(lines[block]), len(lines)), np.int16)
-            for k in range(BINS):
-                equal += bins[block, k, None] == bins[None, :, k]
-            near = (equal >= MAYBE * BINS) & (components[block, None] != components[None, :])
+            common = np.zeros((len(lines[block]), len(lines)), np.int32)
+            for column in columns:
+                common += np.minimum(column[block, None], column[None, :])
+            common += np.minimum(beyond[block, None], beyond[None, :]).astype(np.int32)
+            least = SIMILARITY / (1 + SIMILARITY) * (sizes[block, None] + sizes[None, :])
+            near = (common >= least - 1e-6) & (components[block, None] != components[None, :])
             i, j = np.nonzero(near & (lines[block, None] < lines[None, :]))
             yield lines[at + i], lines[j]
 
     def run(batches):
         for table in whole_groups(batches, "key", GROUP_ROWS // 10):
-            keys = table.column("key").to_numpy()
-            lines, components = (table.column(c).to_numpy() for c in ("line", "component"))
-            raw = b"".join(table.column("bins").to_pylist())
-            bins = np.frombuffer(raw, np.uint8).reshape(-1, BINS)
+            keys, lines, components, sizes = (
+                table.column(c).to_numpy() for c in ("key", "line", "component", "size")
+            )
+            raw = b"".join(table.column("cells").to_pylist())
+            cells = np.frombuffer(raw, np.uint8).reshape(-1, CELLS)
             edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
             found = [
                 pair
                 for a, b in zip(edges[:-1], edges[1:], strict=True)
-                for pair in pairs_of(lines[a:b], components[a:b], bins[a:b])
+                for pair in pairs_of(lines[a:b], components[a:b], cells[a:b], sizes[a:b])
             ]
             one, two = (np.concatenate(x) for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], names=["a", "b"])
 
-    dealt = rows.select("key", "line", "component", "bins").repartition("key")
+    dealt = rows.select("key", "line", "component", "cells", "size").repartition("key")
     return dealt.sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -278,7 +293,7 @@ def line_components(docs: DataFrame) -> DataFrame:
         .select("key")
     )
     rest = materialize(placed.join(open_keys, "key"), "open-buckets")
-    crossing = maybe_alike(rest.join(bins_of(texts), "line")).distinct()
+    crossing = maybe_alike(rest.join(counts_of(texts), "line")).distinct()
     # Pairs that the first pass has answered do not come again.
     answered = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     crossing = crossing.join(answered.distinct(), ["a", "b"], "left_anti")

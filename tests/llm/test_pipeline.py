@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -114,6 +115,42 @@ def pairs_of(df):
     return sorted((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
 
 
+def test_short_lines_of_one_bucket_are_all_compared(spark):
+    """Every pair that shares a bucket and is similar is in one component, also where few
+    shingles leave most bins empty."""
+    rnd = random.Random(12)
+    texts = set()
+    for _ in range(250):
+        base = "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(14, 22)))
+        texts |= {base, base + "y", "z" + base, base[2:], base[:-2], base[3:] + "q", "q" + base[:-3]}
+    texts = sorted(texts)
+    buckets = {}
+    for k, keys in enumerate(lines.band_keys(texts).tolist()):
+        for key in keys:
+            buckets.setdefault(key, set()).add(k)
+    pairs = {(a, b) for members in buckets.values() for a in members for b in members if a < b}
+    links = [(a, b) for a, b in pairs if lines.similarity(texts[a], texts[b]) >= 0.8]
+    root = roots(len(texts), links)
+    frame = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "doc_id long, text string")
+    docs = frame.selectExpr("doc_id id", "xxhash64(text) mark", "text")
+    found = {r.line: r.component for r in lines.line_components(docs).collect()}
+    key_of = [int(lines.signed(np.array([lines.line_key(x)], np.uint64))[0]) for x in texts]
+    assert {(a, b) for a, b in links if found[key_of[a]] != found[key_of[b]]} == set()
+    mine = [found.get(key, key) for key in key_of]
+    assert len(set(zip(mine, root, strict=True))) == len(set(mine)) == len(set(root))
+
+
+def test_counts_bound_what_lines_have_in_common():
+    rnd = random.Random(3)
+    for size in (1, 8, 30, 2000, 60_000):
+        one = "".join(rnd.choice("abcdefgh") for _ in range(size))
+        two = one[: size // 2] + "-" + one[size // 2 :]
+        (x, n), (y, m) = map(lines.shingle_counts, (one, two))
+        assert (n, m) == (len(shingle_set(one)), len(shingle_set(two)))
+        beyond = min(n - int(x.sum(dtype=int)), m - int(y.sum(dtype=int)))
+        assert np.minimum(x, y).sum(dtype=int) + beyond >= len(shingle_set(one) & shingle_set(two))
+
+
 def test_stages_keep_the_columns_of_documents(stages):
     for df in stages[1:-1]:
         assert df.columns == stages[0].columns
