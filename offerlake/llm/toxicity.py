@@ -7,8 +7,8 @@ trained on sentences: all that resemble a landmark of clean documents, and of ea
 document the one that speaks most for its label, chosen anew after each training. A document
 scores as its worst sentence does, turned into a probability on the training documents.
 
-Training takes a bounded sample of the labelled rows: ``SAMPLE`` documents of either label, of
-at most ``SAMPLE_CHARS`` characters, in the order of a hash of their text. Scoring reads whole
+Training takes a bounded sample of the labelled rows: ``SAMPLE`` different texts of either label,
+of at most ``SAMPLE_CHARS`` characters, in the order of a hash of their text. Scoring reads whole
 texts of all rows.
 
 Defined results: a null or empty text scores as one without evidence; without training rows of
@@ -261,9 +261,10 @@ def train(
     label_col: str = "toxic",
 ) -> Model | None:
     keys = materialize(training_keys(docs, labels, id_col, text_col, label_col), "labelled")
-    short = keys.where(F.col("size") <= SAMPLE_CHARS).select("mark", "label", "id")
+    # Equal texts are one row before the sample is cut, so copies take no places in it.
+    short = keys.where(F.col("size") <= SAMPLE_CHARS).groupBy("mark", "label").agg(F.min("id").alias("id"))
     samples = [
-        short.where(F.col("label") == label).orderBy("mark", "id").limit(SAMPLE)
+        short.where(F.col("label") == label).orderBy("mark").limit(SAMPLE)
         for label in (0, 1)
     ]
     # At most twice SAMPLE rows of three numbers, so they go to the texts.

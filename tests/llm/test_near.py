@@ -228,6 +228,26 @@ def test_toxicity_without_labels(spark, labelled, tmp_path):
     assert toxicity.score(docs, None).agg(F.max("score")).first()[0] == 0
 
 
+def test_copies_take_no_places_in_the_sample(spark, monkeypatch):
+    """Copies of the text that comes first in the order of the sample, more than it holds."""
+    monkeypatch.setattr(toxicity, "SAMPLE", 12)
+    rnd = random.Random(9)
+    words = ["talvar", "ketdolin", "rosulmi", "panevar", "domiro", "linketsul"]
+    toxic = [" ".join(rnd.sample(words, 4) + ["grobblewit", str(k)]) for k in range(30)]
+    clean = [" ".join(rnd.sample(words, 4) + [str(k)]) for k in range(30)]
+    first = min(toxic, key=lambda t: simhash._as_long(xxhash.xxh64_intdigest(t.encode(), 42)))
+    texts = [(t, 1) for t in [*toxic, *[first] * 60]] + [(t, 0) for t in clean]
+    ids = [k for k in range(1000) if zlib.crc32(str(k).encode()) % 4 != 2][: len(texts)]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in zip(ids, texts, strict=True)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, (_, y) in zip(ids, texts, strict=True)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, share: seen.append((texts, labels)))
+    toxicity.train(docs, labels)
+    got = [(t, y) for t, y in zip(*seen[0], strict=True)]
+    assert len(got) == len(set(got)) == 24
+    assert sum(y for _, y in got) == 12
+
+
 def test_kernel_knows_changed_words():
     marks = Landmarks(["grobblewit", "mudwump"])
     words = ["grobblewit", "grobxblewit", "mudwwump", "talvarket", "thegrobblewits"]
