@@ -2,7 +2,8 @@
 
 A value that stands where credentials stand is cut into words, dates, repeats, sequences,
 keyboard walks and spans of single characters so that guessing it piece by piece costs least;
-dear values are secrets. Values that a pattern reports already are reported once.
+dear values are secrets. Values that lie wholly inside a span of a pattern are reported once;
+one that a span only touches is scored as a whole as well.
 
 Defined results: a null or empty text has no spans; places count code points, ends are
 exclusive; rows are scanned one by one and nothing is shuffled.
@@ -159,12 +160,14 @@ def find_secrets(text: str) -> list[tuple[str, int, int, float | None]]:
     found += [("hex", *m.span(), None) for m in HEX.finditer(text)]
     if any(h in low for h in CONTEXT_HINTS):
         taken = sorted((a, b) for _, a, b, _ in found)
-        at = 0
+        at, reach = 0, 0
         for m in CONTEXT.finditer(text):
             start, end = m.span(1)
-            while at < len(taken) and taken[at][1] <= start:
+            # How far the spans go that begin at the value or before it.
+            while at < len(taken) and taken[at][0] <= start:
+                reach = max(reach, taken[at][1])
                 at += 1
-            if at < len(taken) and taken[at][0] < end:
+            if end <= reach:
                 continue
             cost = guess_cost(m.group(1))
             if cost >= MIN_COST:

@@ -155,6 +155,13 @@ def full_close(a, b):
     return a <= b + 1e-9
 
 
+def test_values_a_span_only_touches_are_scored_whole():
+    spans = secrets.find_secrets("secret=Xy!0123456789abcdef0123-zz")
+    assert [s[:3] for s in spans] == [("guess", 7, 33), ("hex", 10, 30)]
+    inside = secrets.find_secrets("token=0123456789abcdef0123 and password: q7Zp+x9LmW2vK4==")
+    assert [s[0] for s in inside] == ["assign", "hex", "assign"]
+
+
 def test_guesses_are_added_and_common_words_are_not():
     spans = secrets.find_secrets("pwd: x7Kq!9vL2z and password=sunshine and secret: love")
     assert [s[0] for s in spans] == ["guess"]
