@@ -1,4 +1,7 @@
-"""Substring dedup of words: a compacted de Bruijn graph over windows of 13 words.
+"""Substring dedup of words: windows of 13 words, gathered in runs under anchors.
+
+Anchor runs replace the compaction of a de Bruijn graph: no node degrees are computed and no
+paths joined, and repeats are decided by anchor and 64-bit hash, not read again in the text.
 
 Windows are edges between their first and last 12 words. Consecutive windows that hold the
 same smallest five-word hash are a run (see ``windows``): a path piece that is written down
