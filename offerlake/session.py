@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,8 @@ SQL_SETTINGS = {
 }
 
 _local_dirs: dict[str, str] = {}
+# Where the tables of ``materialize`` lie.
+_folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -69,13 +72,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _folders[table] = path
+    return table
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete the files of tables from ``materialize`` that nothing reads any more."""
     for table in tables:
-        spark = table.sparkSession
-        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(table.sparkSession, _folders.pop(table))
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
