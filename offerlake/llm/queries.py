@@ -9,8 +9,11 @@ from offerlake.llm import (
     bpe,
     decontaminate,
     embeddings,
+    fim,
+    langid,
     licenses,
     lines,
+    merkle,
     repeats,
     secrets,
     simhash,
@@ -18,6 +21,7 @@ from offerlake.llm import (
     toxicity,
 )
 from offerlake.llm.common import table
+from offerlake.llm.oracle import ORACLE as ORACLE
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,6 +147,46 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars"]
+    spoiled = merkle.digest([*map(F.col, columns), F.replace("text", F.lit("\n"), F.lit(""))])
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    found = merkle.manifest(
+        docs, [*columns, "text"], "source", "doc_id", {"tampered": F.when(even, spoiled)}
+    )
+    now = F.coalesce("item.tampered", "leaf")
+    return found.withColumn("folded_root", merkle.root_of(now)).select(
+        F.col("item.key").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(F.concat("way", "group_way"), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.restore(fim.transform(table(spark, sf_dir, "documents")))
+    return found.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs)).select(
+        "doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score"
+    )
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_line_dedup": op2_line_dedup,
@@ -154,6 +198,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_language": op13_language,
 }
-
-ORACLE: dict[str, str] = {}
