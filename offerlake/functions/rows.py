@@ -18,3 +18,15 @@ def explode_items(
     return df.select(*keep, F.posexplode_outer(items).alias(pos, item)).where(
         F.col(pos).isNotNull()
     )
+
+
+def of_groups(rows: DataFrame, groups: DataFrame, group: str, spread: Column, copies: int = 16) -> DataFrame:
+    """The rows of the given groups (distinct values of ``group``).
+
+    A group may hold most of the rows, so each is met in ``copies`` places, and its rows are
+    dealt to them by ``spread``.
+    """
+    place = F.pmod(F.xxhash64(spread), F.lit(copies))
+    met = groups.select(group, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("_place"))
+    placed = rows.withColumn("_place", place.cast("int"))
+    return placed.join(met, [group, "_place"], "left_semi").drop("_place")

@@ -4,15 +4,21 @@ A walk follows the ``next`` address from a start page. Many catalogs are walked
 The position of a page is found by growing jumps: after k rounds every page knows the page
 4**k steps on, and all pages less than 4**k steps from the start know their distance. A
 chain of n pages takes log4(n) rounds, not n.
+
+A catalog takes part in a round only while its walk is open. It closes when the walk ends or
+reaches the page cap, at a page without news, and when enough products have been met; its pages
+are left out of all later rounds. So a capped walk costs what it finds, not what the catalog has.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlake.functions.rows import explode_items
-from offerlake.session import materialize
+from offerlake.functions.rows import explode_items, of_groups
+from offerlake.session import discard, materialize
 
 # Jumps per round. More jumps mean fewer rounds and tables but more joins in each.
 LEAPS = 4
@@ -32,43 +38,25 @@ def _leaps(jump: DataFrame) -> DataFrame:
     return leaps
 
 
-def page_order(pages: DataFrame, starts: DataFrame, max_pages: int = 0) -> DataFrame:
-    """Pages reached from the start of each catalog, numbered from 1.
+def further(reached: DataFrame, leaps: DataFrame, span: int) -> DataFrame:
+    """Pages less than ``LEAPS * span`` steps from the start, from those less than ``span``.
 
-    ``pages`` is ``catalog, page, next`` with one row per page, ``starts`` is ``catalog,
-    page``. A page that is met again ends the walk, so it keeps its smallest number.
+    Both are ``catalog, page, steps``. A page that is met again ends the walk, so it keeps its
+    smallest number of steps.
     """
-    key = ["catalog", "page"]
-    hops = pages.where(F.col("next").isNotNull()).select(*key, F.col("next").alias("t1"))
-    jump = materialize(hops, "jump")
-    reached = starts.select(*key, F.lit(0).cast("long").alias("steps"))
-    span = 1
-    while not max_pages or span < max_pages:
-        leaps = materialize(_leaps(jump), "leaps")
-        landings = F.array(
-            *(
-                F.struct(F.col(f"t{n}").alias("page"), F.lit(n * span).alias("steps"))
-                for n in range(1, LEAPS)
-            )
-        )
-        landed = reached.join(leaps, key).select(
-            "catalog", "steps", F.explode(landings).alias("landing")
-        )
-        fresh = landed.select(
-            "catalog", "landing.page", (F.col("steps") + F.col("landing.steps")).alias("steps")
-        ).where(F.col("page").isNotNull())
-        grown = reached.unionByName(fresh).groupBy(key).agg(F.min("steps").alias("steps"))
-        reached = materialize(grown, "reached")
-        # A walk that goes on has a page at every number of steps this round can reach.
-        furthest = reached.agg(F.max("steps")).first()[0]
-        if furthest is None or furthest < LEAPS * span - 1:
-            break
-        jump = leaps.where(F.col(f"t{LEAPS}").isNotNull()).select(
-            *key, F.col(f"t{LEAPS}").alias("t1")
+    landings = F.array(
+        *(
+            F.struct(F.col(f"t{n}").alias("page"), F.lit(n * span).alias("steps"))
+            for n in range(1, LEAPS)
         )
-        span *= LEAPS
-    order = reached.select(*key, (F.col("steps") + 1).alias("page_no"))
-    return order.where(F.col("page_no") <= max_pages) if max_pages else order
+    )
+    landed = reached.join(leaps, ["catalog", "page"]).select(
+        "catalog", "steps", F.explode(landings).alias("landing")
+    )
+    fresh = landed.select(
+        "catalog", "landing.page", (F.col("steps") + F.col("landing.steps")).alias("steps")
+    ).where(F.col("page").isNotNull())
+    return reached.unionByName(fresh).groupBy("catalog", "page").agg(F.min("steps").alias("steps"))
 
 
 def first_occurrences(links: DataFrame) -> DataFrame:
@@ -87,26 +75,40 @@ def first_occurrences(links: DataFrame) -> DataFrame:
     )
 
 
-def fruitful_pages(first: DataFrame, walked: DataFrame) -> DataFrame:
+def page_news(first: DataFrame, walked: DataFrame) -> DataFrame:
+    """Number of addresses of its own of each page of the walks: ``catalog, page_no, n``."""
+    page = ["catalog", "page_no"]
+    counts = first.groupBy(page).agg(F.count("*").alias("n"))
+    return walked.select(*page).join(counts, page, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def walk_ends(news: DataFrame, reach: int, max_pages: int, limit: int) -> DataFrame:
+    """``catalog, stop, closed``: the first page without news, and whether the walk is over.
+
+    ``news`` holds the first ``reach`` pages of each walk, or all that it has.
+    """
+    stop = F.min(F.when(F.col("n") == 0, F.col("page_no")))
+    closed = stop.isNotNull() | (F.max("page_no") < reach)
+    if limit:
+        closed = closed | (F.sum("n") >= limit)
+    if max_pages and reach >= max_pages:
+        closed = F.lit(True)
+    return news.groupBy("catalog").agg(stop.alias("stop"), closed.alias("closed"))
+
+
+def fruitful_pages(news: DataFrame, ends: DataFrame) -> DataFrame:
     """Pages with addresses of their own, ``catalog, page_no, n``, before the walk stops.
 
     It stops at the first page that has none, and that page and all later ones count for
     nothing. The rule is applied to pages, never to links, and the pages are dealt out by
     block afterwards, so a catalog that holds most of the pages is not kept in one task.
     """
-    page = ["catalog", "page_no"]
-    counts = first.groupBy(page).agg(F.count("*").alias("n"))
-    stops = (
-        walked.select(*page).join(counts, page, "left_anti")
-        .groupBy("catalog")
-        .agg(F.min("page_no").alias("stop"))
-    )
     before = F.col("stop").isNull() | (F.col("page_no") < F.col("stop"))
     block = F.expr(f"page_no div {PAGES_PER_BLOCK}").alias("block")
     return (
-        counts.join(stops, "catalog", "left")
+        news.join(ends, "catalog")
         .where(before)
-        .select(*page, block, "n")
+        .select("catalog", "page_no", block, "n")
         .repartition("catalog", "block")
     )
 
@@ -140,17 +142,57 @@ def number_products(first: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
+def rounds(
+    pages: DataFrame, starts: DataFrame, max_pages: int, limit: int
+) -> Iterator[DataFrame]:
+    """Product addresses of the catalogs that close in each round; see :func:`crawl`."""
+    key = ["catalog", "page"]
+    hops = pages.where(F.col("next").isNotNull()).select(*key, F.col("next").alias("t1"))
+    jump = materialize(hops, "jump")
+    reached = materialize(starts.select(*key, F.lit(0).cast("long").alias("steps")), "reached")
+    span = 1
+    while True:
+        leaps = materialize(_leaps(jump), "leaps")
+        grown = materialize(further(reached, leaps, span), "reached")
+        span *= LEAPS
+        order = grown.select(*key, (F.col("steps") + 1).alias("page_no"))
+        if max_pages:
+            order = order.where(F.col("page_no") <= max_pages)
+        walked = order.join(pages.select(*key, "links"), key)
+        first = materialize(
+            first_occurrences(explode_items(walked, "links", "url", "catalog", "page_no")), "first"
+        )
+        news = materialize(page_news(first, order.join(pages.select(*key), key)), "news")
+        ends = materialize(walk_ends(news, span, max_pages, limit), "ends")
+        over = ends.where("closed")
+        found = number_products(
+            of_groups(first, over, "catalog", F.col("url")), fruitful_pages(news, over)
+        )
+        yield materialize(found.where(F.col("seq") <= limit) if limit else found, "found")
+        discard(jump, reached, first, news)
+        going = ends.where("not closed").select("catalog")
+        if going.isEmpty():
+            discard(leaps, grown, ends)
+            return
+        landed = leaps.where(F.col(f"t{LEAPS}").isNotNull()).select(
+            *key, F.col(f"t{LEAPS}").alias("t1")
+        )
+        jump = materialize(of_groups(landed, going, "catalog", F.col("page")), "jump")
+        reached = materialize(of_groups(grown, going, "catalog", F.col("page")), "reached")
+        discard(leaps, grown, ends)
+
+
 def crawl(
     pages: DataFrame, starts: DataFrame, max_pages: int = 0, limit: int = 0
 ) -> DataFrame:
     """Product addresses in the order a walk meets them: ``catalog, seq, page_no, pos, url``.
 
-    ``pages`` is ``catalog, page, next, links``. Zero means no cap. The order of the rules
-    counts: page cap, first occurrence, stop at a page without news, product cap.
+    ``pages`` is ``catalog, page, next, links`` with one row per page, ``starts`` is
+    ``catalog, page``. Zero means no cap. The order of the rules counts: page cap, first
+    occurrence, stop at a page without news, product cap. The pages are read once per round,
+    so they should be written out.
     """
-    order = page_order(pages.select("catalog", "page", "next"), starts, max_pages)
-    walked = order.join(pages.select("catalog", "page", "links"), ["catalog", "page"])
-    links = explode_items(walked, "links", "url", "catalog", "page_no")
-    first = first_occurrences(links)
-    found = number_products(first, fruitful_pages(first, walked))
-    return found.where(F.col("seq") <= limit) if limit else found
+    whole = None
+    for found in rounds(pages, starts, max_pages, limit):
+        whole = found if whole is None else whole.unionByName(found)
+    return whole

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerlake.functions.dom import dom_fields
+from offerlake.functions.dom import CATALOG_ID, dom_fields
 from offerlake.functions.markup import has_attribute, raw_attribute, start_tags, unescape_all
 from offerlake.functions.rows import explode_items
 from offerlake.functions.urls import resolve, url_parts
@@ -63,11 +63,15 @@ def distinct_page_links(pages: DataFrame) -> DataFrame:
 
 
 def listing_pages(pages: DataFrame) -> DataFrame:
-    """Product links and next page of each listing page: ``url, links, next``."""
-    fields = pages.select(
-        "url", dom_fields(F.col("html"), "catalog-content", r"\bnext\b").alias("dom")
+    """Product links and next page of each listing page: ``url, links, next``.
+
+    Only pages with the marks of a product list leave the JVM. Write the result before
+    filtering on it: Spark would evaluate it once for the filter and once for the row.
+    """
+    read = pages.select(
+        "url", next_href(F.col("html")).alias("following"), dom_fields(F.col("html"), CATALOG_ID).alias("dom")
     )
-    based = fields.withColumn("base", url_parts(F.col("url")))
+    based = read.withColumn("base", url_parts(F.col("url")))
     links = F.transform(
         F.coalesce("dom.hrefs", F.array().cast("array<string>")),
         lambda href: resolve(F.col("base"), href),
@@ -75,8 +79,5 @@ def listing_pages(pages: DataFrame) -> DataFrame:
     return based.select(
         "url",
         F.array_distinct(links).alias("links"),
-        F.when(
-            F.col("dom.next_href").isNotNull(),
-            resolve(F.col("base"), F.col("dom.next_href")),
-        ).alias("next"),
+        F.when(F.col("following").isNotNull(), resolve(F.col("base"), F.col("following"))).alias("next"),
     )

@@ -89,6 +89,44 @@ PRODUCT_VARIANTS = T.StructType(
     ]
 )
 
+STORED_VARIANT = T.StructType(
+    [
+        T.StructField("source_key", T.StringType()),
+        T.StructField("sku", T.StringType()),
+        T.StructField("name", T.StringType()),
+        T.StructField("price", STORED_PRICE),
+        T.StructField("currency", T.StringType()),
+        T.StructField("available", T.BooleanType()),
+    ]
+)
+
+# Accepted products of a run on their way to the tables, variants still nested.
+ACCEPTED = T.StructType(
+    [
+        T.StructField("seq", T.LongType()),
+        T.StructField("source_url", T.StringType()),
+        T.StructField("name", T.StringType()),
+        T.StructField("brand", T.StringType()),
+        T.StructField("description", T.StringType()),
+        T.StructField("price", STORED_PRICE),
+        T.StructField("currency", T.StringType()),
+        T.StructField("available", T.BooleanType()),
+        T.StructField("characteristics", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("image_url", T.StringType()),
+        T.StructField("content_hash", T.StringType()),
+        T.StructField("variants", T.ArrayType(STORED_VARIANT)),
+    ]
+)
+
+# What became of the pages of a run.
+OUTCOMES = T.StructType(
+    [
+        T.StructField("seq", T.LongType()),
+        T.StructField("url", T.StringType()),
+        T.StructField("reasons", T.ArrayType(T.StringType())),
+    ]
+)
+
 SCRAPE_RUNS = T.StructType(
     [
         T.StructField("id", T.StringType(), False),

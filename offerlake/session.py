@@ -5,9 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+from offerlake.sources import files
+
 # SQL settings every plan in this package relies on. They can be changed at run time,
 # so they are applied to a session somebody else has built as well.
 SQL_SETTINGS = {
@@ -20,6 +25,8 @@ SQL_SETTINGS = {
 _local_dirs: dict[str, str] = {}
 # Where the tables of ``materialize`` lie.
 _folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+# Folders of the tables written inside ``scratch``.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -64,6 +71,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/offerlake/{app}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, all tables that ``materialize`` has written inside it."""
+    written: list[str] = []
+    outer = _written.set(written)
+    try:
+        yield
+    finally:
+        _written.reset(outer)
+        for folder in written:
+            files.remove(spark, folder)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -71,6 +91,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     following plan exact sizes to choose its joins by.
     """
     path = scratch_path(df.sparkSession, label)
+    written = _written.get()
+    if written is not None:
+        written.append(path)
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     _folders[table] = path
@@ -80,9 +103,4 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete the files of tables from ``materialize`` that nothing reads any more."""
     for table in tables:
-        remove(table.sparkSession, _folders.pop(table))
-
-
-def remove(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        files.remove(table.sparkSession, _folders.pop(table))

@@ -2,7 +2,7 @@
 
 Each micro-batch appends its accepted pages to the open run and nothing else, so its cost
 is that of the batch, not of the catalog. An interrupted run keeps what was saved. Reading
-or closing the run merges the saved pages into the snapshot once.
+or closing the run merges the saved pages into the parts of the snapshot they fall into, once.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from offerlake.operators import extract, ledger, quality
 from offerlake.operators.merge import RunStamp, apply_run
+from offerlake.schemas import ACCEPTED, OUTCOMES
 from offerlake.session import materialize
-from offerlake.sources.snapshots import SnapshotStore
+from offerlake.sources.snapshots import Snapshot, SnapshotStore, part_of
 
 
 def save_pages(
@@ -22,11 +23,14 @@ def save_pages(
 ) -> StreamingQuery:
     """Start saving a stream of ``seq, url, html`` to the open run of the store.
 
-    A batch that is replayed after a failure replaces its own folder, so repeating it is
-    harmless.
+    A batch is there when its outcomes are, which are written last. One that is replayed after
+    a failure is known by its number: if it is there it is left alone, if it broke half way it
+    is written anew. So the checkpoint belongs to the run as its batches do.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
+        if store.has_batch(run.run_id, "outcomes", batch_id):
+            return
         checked = quality.checked(extract.extract_products(batch)).persist()
         try:
             store.write_batch(quality.accepted(checked), run.run_id, "accepted", batch_id)
@@ -44,21 +48,36 @@ def save_pages(
     )
 
 
-def _saved(store: SnapshotStore, run: RunStamp) -> DataFrame | None:
+def _saved(store: SnapshotStore, run: RunStamp) -> DataFrame:
     """Accepted pages of the open run; later batches come after earlier ones."""
-    saved = store.read_batches(run.run_id, "accepted")
-    if saved is None:
-        return None
-    return saved.withColumn("seq", F.struct("batch", "seq")).drop("batch")
+    outcomes = _outcomes(store, run).select("batch").distinct()
+    saved = store.read_batches(run.run_id, "accepted", ACCEPTED)
+    # Pages of a batch that broke before its outcomes were written do not count yet.
+    whole = saved.join(outcomes, "batch", "left_semi")
+    return whole.withColumn("seq", F.struct("batch", "seq")).drop("batch")
+
+
+def _outcomes(store: SnapshotStore, run: RunStamp) -> DataFrame:
+    return store.read_batches(run.run_id, "outcomes", OUTCOMES)
 
 
 def current_catalog(store: SnapshotStore, run: RunStamp) -> tuple[DataFrame, DataFrame]:
     """Snapshot with the pages saved so far merged in, at any time during the run."""
-    products, variants = store.read("products"), store.read("variants")
-    saved = _saved(store, run)
-    if saved is None:
-        return products, variants
-    return apply_run(products, variants, saved, run, complete=False)
+    basis = store.current()
+    products, variants = store.read("products", basis), store.read("variants", basis)
+    return apply_run(products, variants, _saved(store, run), run, complete=False)
+
+
+def _touched(
+    store: SnapshotStore, basis: Snapshot, saved: DataFrame, run: RunStamp, complete: bool
+) -> set[int]:
+    """Parts of the tables that closing the run changes; at most all of them are collected."""
+    urls = saved.select("source_url")
+    if complete:
+        unseen = store.read("products", basis).where(run.unseen())
+        urls = urls.unionByName(unseen.select("source_url"))
+    part = part_of(F.col("source_url"), basis.parts)
+    return {row["part"] for row in urls.select(part.alias("part")).distinct().collect()}
 
 
 def close_run(
@@ -74,11 +93,7 @@ def close_run(
     without failures that was not cut short. Closing again gives the same snapshot: the
     merge is an upsert under the run's own clock.
     """
-    outcomes = store.read_batches(run.run_id, "outcomes")
-    spark = opened.sparkSession
-    if outcomes is None:
-        outcomes = spark.createDataFrame([], "seq long, url string, reasons array<string>")
-    saved_flags = outcomes.select(
+    saved_flags = _outcomes(store, run).select(
         F.lit(run.run_id).alias("run_id"), (F.size("reasons") == 0).alias("saved")
     )
     closed = materialize(
@@ -95,16 +110,22 @@ def close_run(
     row = closed.withColumn(
         "complete", ledger.complete_scan(*(F.col(c) for c in counts))
     ).first()
+    complete = row["complete"] and outcome is None
     saved = _saved(store, run)
-    merged = {}
-    if saved is not None:
+
+    def changes(basis: Snapshot) -> dict[str, DataFrame]:
+        ledger_now = ledger.replace_run(store.read("runs", basis), closed)
+        if not row["products_saved"]:
+            return {"runs": ledger_now}
+        parts = _touched(store, basis, saved, run, complete)
         products, variants = apply_run(
-            store.read("products"),
-            store.read("variants"),
+            store.read("products", basis, parts),
+            store.read("variants", basis, parts),
             saved,
             run,
-            complete=row["complete"] and outcome is None,
+            complete,
         )
-        merged = {"products": products, "variants": variants}
-    store.publish(runs=ledger.replace_run(store.read("runs"), closed), **merged)
+        return {"runs": ledger_now, "products": products, "variants": variants}
+
+    store.update(changes)
     return closed
