@@ -238,9 +238,11 @@ def decontaminate(
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """The rows of ``docs``, all columns, with texts without the words that windows cover."""
-    found = _passes(docs, text_col, benchmark, item_col, item_text_col, window, block_words)
     names = docs.columns
     at, lead = names.index(text_col), len(names)
+    # The columns of the documents may bear any name, also those of the results.
+    numbered = docs.toDF(*(f"c{k}" for k in range(lead)))
+    found = _passes(numbered, f"c{at}", benchmark, item_col, item_text_col, window, block_words)
 
     def step(batch):
         spans = batch.column(lead + 1).to_pylist()

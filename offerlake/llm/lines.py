@@ -46,8 +46,9 @@ MOST = np.iinfo(np.uint8).max
 GROUP_ROWS = 100_000
 #: Lines of a bucket whose counts are compared with all others of it at a time.
 COMPARED = 128
-#: Characters of lines that a task hashes together.
-HASHED = 1 << 19
+#: Characters of lines that a task hashes together, and lines: each takes ``BINS`` bins several
+#: times over, however short it is.
+HASHED, HASHED_LINES = 1 << 19, 1 << 12
 
 
 def split_lines(text: str | None) -> list[str]:
@@ -131,7 +132,11 @@ def bands_of(docs: DataFrame) -> DataFrame:
             at = 0
             while at < len(lines):
                 end, size = at, 0
-                while end < len(lines) and (end == at or size + len(lines[end]) <= HASHED):
+                while (
+                    end < len(lines)
+                    and end - at < HASHED_LINES
+                    and (end == at or size + len(lines[end]) <= HASHED)
+                ):
                     size += len(lines[end])
                     end += 1
                 part = lines[at:end]

@@ -18,6 +18,8 @@ OFFSETS = tuple(
     (a, b, DECAY ** (b - 2)) for b in range(2, 3 + GAPS) for a in range(1, b)
 )
 SYMBOLS = 32
+#: Letters of words that are compared at a time.
+LETTERS = 1 << 17
 #: Likeness under which a word counts as unlike a landmark, whatever its chance triples are.
 FLOOR = 0.45
 
@@ -73,9 +75,44 @@ class Landmarks:
 
     def likeness(self, words: list[str]) -> dict[int, np.ndarray]:
         """For the words that are like some landmark: place in the list, and a squared likeness
-        per landmark. The words are put after each other with a gap no triple spans."""
-        if not words:
-            return {}
+        per landmark. At most ``LETTERS`` letters are compared at a time."""
+        result: dict[int, np.ndarray] = {}
+        at = 0
+        while at < len(words):
+            end, size = at, 0
+            while end < len(words) and (end == at or size + len(words[end]) <= LETTERS):
+                size += len(words[end])
+                end += 1
+            if size > LETTERS:
+                values = self._long(words[at])
+                found = {} if values is None else {0: values}
+            else:
+                found = self._together(words[at:end])
+            result.update((at + k, values) for k, values in found.items())
+            at = end
+        return result
+
+    def _long(self, word: str) -> np.ndarray | None:
+        """Likeness of a word of any length, whose triples are counted before they are weighed."""
+        sums, count = np.zeros(SYMBOLS**3), 0
+        reach = OFFSETS[-1][1]
+        for low in range(0, len(word), LETTERS):
+            codes = symbols(word[low : low + LETTERS + reach])
+            for a, b, weight in OFFSETS:
+                n = min(LETTERS, len(codes) - b)
+                if n > 0:
+                    found = codes[:n] << 10 | codes[a : a + n] << 5 | codes[b : b + n]
+                    found = found[self.known[found]]
+                    count += len(found)
+                    sums += weight * np.bincount(found, minlength=len(sums))
+        if count < 2:
+            return None
+        values = np.minimum(1.0, sums @ self.table / self.own)
+        values = np.where(values < FLOOR, 0, values**2)
+        return values.astype(np.float32) if values.any() else None
+
+    def _together(self, words: list[str]) -> dict[int, np.ndarray]:
+        """The words are put after each other with a gap no triple spans."""
         gap = 2 + GAPS
         sizes = np.array([len(w) + gap for w in words], np.int64)
         codes = symbols((" " * gap).join(words) + " " * gap)

@@ -269,8 +269,10 @@ def train(
     ]
     # At most twice SAMPLE rows of three numbers, so they go to the texts.
     sample = F.broadcast(samples[0].union(samples[1]))
-    same = (docs[id_col] == sample["id"]) & (F.xxhash64(docs[text_col]) == sample["mark"])
-    rows = docs.join(sample, same).groupBy("mark", "label").agg(F.first(text_col).alias("text"))
+    texts = docs.select(
+        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text")
+    )
+    rows = texts.join(sample, ["id", "mark"]).groupBy("mark", "label").agg(F.first("text").alias("text"))
     got = rows.select("text", "label").collect()
     if len({r.label for r in got}) < 2:
         return None
