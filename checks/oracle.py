@@ -128,9 +128,10 @@ product AS (
   FROM paged GROUP BY source_url),
 stamped AS (
   SELECT *, make_timestamp(first_year, 12, 31, 0, 0, 0) AS created_at,
-      make_timestamp(last_year, 12, 31, 0, 0, 0) AS last_seen_at, last_year < 2000 AS stale,
-      make_timestamp(CASE WHEN last_year < 2000 THEN 2000 ELSE last_year END, 12, 31, 0, 0, 0) AS updated_at
-  FROM product),
+      make_timestamp(last_year, 12, 31, 0, 0, 0) AS last_seen_at,
+      coalesce(last_year < full_year, false) AS stale,
+      make_timestamp(CASE WHEN last_year < full_year THEN full_year ELSE last_year END, 12, 31, 0, 0, 0) AS updated_at
+  FROM product, (SELECT max(year) AS full_year FROM paged WHERE year < (SELECT max(year) FROM paged))),
 variant AS (
   SELECT source_url, sku, min(year) AS first_year,
       arg_max((price, currency, available, seq), (seq, pos)) AS v
@@ -322,6 +323,34 @@ FROM last""",
 SELECT DISTINCT source_url, 'sku:' || sku AS source_key FROM listed a
 WHERE run = 1995 AND EXISTS (SELECT 1 FROM paged p WHERE p.run = 1996 AND p.source_url = a.source_url)
   AND NOT EXISTS (SELECT 1 FROM listed b WHERE b.run = 1996 AND b.source_url = a.source_url AND b.sku = a.sku)""",
+    "scoped_runs": _PAGES
+    + """,
+monthly AS (SELECT *, year(l_shipdate) * 12 + month(l_shipdate) - 1 AS run_no FROM paged),
+runs AS (
+  SELECT DISTINCT run_no, run_no % 2 AS scope, make_timestamp(run_no // 12, run_no % 12 + 1, 28, 0, 0, 0) AS made
+  FROM monthly),
+fulls AS (SELECT scope, max(run_no) AS full_no, max(made) AS off_at FROM runs WHERE run_no % 5 <> 0 GROUP BY scope),
+product AS (
+  SELECT source_url, min(run_no) AS first_no, max(run_no) AS last_no, max(seq) AS last_seq,
+      arg_max(page_available, seq) AS page_available
+  FROM monthly GROUP BY source_url),
+stated AS (
+  SELECT p.*, a.scope, a.made AS first_seen_at, z.made AS last_seen_at,
+      coalesce(last_no < full_no, false) AS stale, CASE WHEN last_no < full_no THEN off_at ELSE z.made END AS updated_at
+  FROM product p JOIN runs a ON first_no = a.run_no JOIN runs z ON last_no = z.run_no
+  LEFT JOIN fulls f ON a.scope = f.scope),
+variant AS (
+  SELECT l.source_url, sku, arg_max((available, seq), (seq, pos)) AS v, min(seq) AS first_seq
+  FROM listed l GROUP BY l.source_url, sku),
+counted AS (
+  SELECT s.source_url, count(*) AS variants,
+      count(*) FILTER (WHERE v.v[1] AND v.v[2] = s.last_seq AND NOT s.stale) AS on_offer,
+      min(make_timestamp(year(first_seq[1]), month(first_seq[1]), 28, 0, 0, 0)) AS oldest
+  FROM variant v JOIN stated s ON v.source_url = s.source_url GROUP BY s.source_url)
+SELECT s.source_url, CASE scope WHEN 0 THEN 'even' ELSE 'odd' END AS category,
+  page_available AND NOT stale AS available, 'run-' || last_no AS last_seen_run_id, first_seen_at, last_seen_at,
+  updated_at, variants, on_offer, oldest, updated_at AS newest
+FROM stated s JOIN counted c ON s.source_url = c.source_url""",
     "seen_history": _SEVEN
     + """
 SELECT source_url, created_at AS first_seen_at, last_seen_at, created_at, updated_at,

@@ -530,29 +530,73 @@ def missing_variants(spark, sf_dir):
     )
 
 
-def seven_runs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def runs_of(numbers: DataFrame, at: Column, category: Column, complete: Column) -> DataFrame:
+    """A table of runs, one for each ``run_no`` of the pages."""
+    return numbers.select("run_no").distinct().select(
+        F.col("run_no").cast("long").alias("run_no"),
+        F.concat(F.lit("run-"), "run_no").alias("run_id"),
+        F.lit(SOURCE).alias("source"),
+        category.alias("category"),
+        at.alias("at"),
+        complete.alias("complete"),
+    )
+
+
+def yearly_runs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """All ship years as complete runs, except that the last one is partial."""
-    years = range(1995, 2002)
-    pages = line_pages(lines_table(spark, sf_dir))
-    numbered = pages.withColumn("run_no", F.col("year") - years[0]).drop("year")
-    return merge.replay(numbered, [(run_stamp(y), y != years[-1]) for y in years])
+    pages = line_pages(lines_table(spark, sf_dir)).withColumnRenamed("year", "run_no")
+    lines = table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("run_no"))
+    last = lines.agg(F.max("run_no")).first()[0]
+    at = F.make_timestamp("run_no", *map(F.lit, (12, 31, 0, 0, 0)))
+    complete = F.col("run_no") < F.lit(last)
+    return merge.replay(pages, runs_of(lines, at, F.lit(CATEGORY), complete))
+
+
+def monthly_runs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """A run for each ship month, in two scopes by turns; every fifth one is not complete."""
+
+    def number(date: Column) -> Column:
+        return F.year(date) * 12 + F.month(date) - 1
+
+    lines = table(spark, sf_dir, "lineitem").select(number(F.col("l_shipdate")).alias("run_no"))
+    pages = line_pages(lines_table(spark, sf_dir)).drop("year")
+    numbered = pages.withColumn("run_no", number(F.col("seq.l_shipdate")))
+    month = F.col("run_no") % 12 + 1
+    at = F.make_timestamp(F.expr("run_no div 12").cast("int"), month, *map(F.lit, (28, 0, 0, 0)))
+    category = F.when(F.col("run_no") % 2 == 0, "even").otherwise("odd")
+    return merge.replay(numbered, runs_of(lines, at, category, F.col("run_no") % 5 != 0))
+
+
+@query
+def scoped_runs(spark, sf_dir):
+    products, variants = monthly_runs(spark, sf_dir)
+    counts = variants.groupBy("source_url").agg(
+        F.count("*").alias("variants"),
+        F.count_if("available").alias("on_offer"),
+        F.min("created_at").alias("oldest"),
+        F.max("updated_at").alias("newest"),
+    )
+    return clocks(products.join(counts, "source_url")).select(
+        "source_url", "category", "available", "last_seen_run_id", "first_seen_at", "last_seen_at",
+        "updated_at", "variants", "on_offer", "oldest", "newest",
+    )
 
 
 @query
 def seen_history(spark, sf_dir):
-    return clocks(seven_runs(spark, sf_dir)[0]).select(
+    return clocks(yearly_runs(spark, sf_dir)[0]).select(
         "source_url", "first_seen_at", "last_seen_at", "created_at", "updated_at", "last_seen_run_id"
     )
 
 
 @query
 def catalog_after_runs(spark, sf_dir):
-    return clocks(seven_runs(spark, sf_dir)[1])
+    return clocks(yearly_runs(spark, sf_dir)[1])
 
 
 @query
 def catalog_stats(spark, sf_dir):
-    return stats.catalog_stats(*seven_runs(spark, sf_dir))
+    return stats.catalog_stats(*yearly_runs(spark, sf_dir))
 
 
 # Run ledger

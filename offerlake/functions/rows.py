@@ -30,3 +30,15 @@ def of_groups(rows: DataFrame, groups: DataFrame, group: str, spread: Column, co
     met = groups.select(group, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("_place"))
     placed = rows.withColumn("_place", place.cast("int"))
     return placed.join(met, [group, "_place"], "left_semi").drop("_place")
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: list[str], spread: Column, copies: int = 16) -> DataFrame:
+    """``rows`` with the columns of the row of ``table`` that has their ``key``, or nulls.
+
+    Keys are unique in ``table``, but most rows may have the same one; as in :func:`of_groups`
+    each is met in ``copies`` places.
+    """
+    place = F.pmod(F.xxhash64(spread), F.lit(copies))
+    met = table.withColumn("_place", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    placed = rows.withColumn("_place", place.cast("int"))
+    return placed.join(met, [*key, "_place"], "left").drop("_place")

@@ -14,7 +14,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerlake.functions.rows import explode_items
+from offerlake.functions.rows import explode_items, look_up
 from offerlake.schemas import PRODUCT_VARIANTS, PRODUCTS
 
 # Columns a later page or run replaces.
@@ -202,61 +202,65 @@ def apply_run(
     return (deactivate_products(merged, run) if complete else merged), merged_variants
 
 
-def replay(
-    accepted: DataFrame, runs: list[tuple[RunStamp, bool]]
-) -> tuple[DataFrame, DataFrame]:
-    """Catalog after a series of runs of one scope, in a single pass over all of them.
+def replay(accepted: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Catalog after any number of runs over any scopes, in a single pass over all of them.
+
+    Gives what applying the runs one after the other to empty tables gives, but reads every
+    run once and shuffles once per table. ``runs`` is a table, ``run_no, run_id, source,
+    category, at, complete``, one row a run in the order of ``run_no``; ``accepted`` carries
+    ``run_no``.
 
-    Gives what applying the runs one after the other to empty tables gives, but reads
-    every run once and shuffles once per table. ``accepted`` carries ``run_no``, the
-    position in ``runs``; each run says whether it was a complete scan.
+    A product belongs to the scope of the run that first saw it. A complete run of that scope
+    after the last run that saw it switches it off, and every later one moves its time again;
+    so of each scope the last complete run is all that counts.
     """
-    number = F.col("run_no")
-    at = F.element_at(F.array(*(run.time() for run, _ in runs)), number + 1)
-    run_id = F.element_at(F.array(*(F.lit(run.run_id) for run, _ in runs)), number + 1)
-    rows = accepted.withColumn("run_at", at).withColumn("last_seen_run_id", run_id)
-    full = [no for no, (_, complete) in enumerate(runs) if complete]
-    last_full = full[-1] if full else -1
-    scope = runs[0][0]
-
-    last = F.max_by(
-        F.struct(*PRODUCT_VALUES, "run_no", "seq", "run_at", "last_seen_run_id"),
-        F.struct("run_no", "seq"),
+    numbered = runs.withColumn("run_no", F.col("run_no").cast("long"))
+    made = numbered.select(F.col("run_no").alias("first_no"), "source", "category", F.col("at").alias("created_at"))
+    seen = numbered.select(
+        F.col("run_no").alias("last_no"), F.col("run_id").alias("last_seen_run_id"), F.col("at").alias("last_seen_at")
     )
+    full = numbered.where("complete").groupBy("source", "category").agg(
+        F.max("run_no").alias("full_no"), F.max_by("at", "run_no").alias("off_at")
+    )
+    rows = accepted.withColumn("run_no", F.col("run_no").cast("long"))
+
+    last = F.max_by(F.struct(*PRODUCT_VALUES, "run_no", "seq"), F.struct("run_no", "seq"))
     by_product = rows.groupBy("source_url").agg(
-        last.alias("last"), F.min("run_at").alias("created_at")
+        last.alias("last"), F.min("run_no").alias("first_no"), F.max("run_no").alias("last_no")
     )
-    stale = F.col("last.run_no") < last_full
-    off_at = runs[last_full][0].time()
-    updated = F.when(stale, off_at).otherwise(F.col("last.run_at"))
-    products = by_product.select(
-        F.lit(scope.source).alias("source"),
-        F.lit(scope.category).alias("category"),
+    url = F.col("source_url")
+    dated = look_up(look_up(by_product, made, ["first_no"], url), seen, ["last_no"], url)
+    scoped = look_up(dated, full, ["source", "category"], url)
+    stale = F.coalesce(F.col("last_no") < F.col("full_no"), F.lit(False))
+    stated = scoped.withColumn("stale", stale).withColumn(
+        "updated_at", F.when(F.col("stale"), F.col("off_at")).otherwise(F.col("last_seen_at"))
+    )
+    products = stated.select(
+        "source",
+        "category",
         "source_url",
         *(F.col(f"last.{n}").alias(n) for n in PRODUCT_VALUES if n != "available"),
-        (F.col("last.available") & ~stale).alias("available"),
-        F.col("last.last_seen_run_id").alias("last_seen_run_id"),
+        (F.col("last.available") & ~F.col("stale")).alias("available"),
+        "last_seen_run_id",
         F.col("created_at").alias("first_seen_at"),
-        F.col("last.run_at").alias("last_seen_at"),
+        "last_seen_at",
         "created_at",
-        updated.alias("updated_at"),
+        "updated_at",
     ).select(*PRODUCTS.names)
 
-    final = by_product.select(
-        "source_url",
-        F.struct("last.run_no", "last.seq").alias("last_page"),
-        stale.alias("stale"),
-        updated.alias("updated_at"),
+    final = stated.select(
+        "source_url", F.struct("last.run_no", "last.seq").alias("last_page"), "stale", "updated_at"
+    )
+    flat = explode_items(rows, "variants", "v", "source_url", "run_no", "seq").select(
+        "source_url", "v.*", "run_no", "seq", "pos"
     )
-    flat = explode_items(
-        rows, "variants", "v", "source_url", "run_no", "seq", "run_at"
-    ).select("source_url", "v.*", "run_no", "seq", "run_at", "pos")
     place = F.struct("run_no", "seq", "pos")
     by_variant = flat.groupBy("source_url", "source_key").agg(
         F.max_by(F.struct(*VARIANT_VALUES, "run_no", "seq"), place).alias("v"),
-        F.min("run_at").alias("created_at"),
+        F.min("run_no").alias("first_no"),
     )
-    joined = by_variant.join(final, "source_url")
+    created = made.select("first_no", "created_at")
+    joined = look_up(by_variant, created, ["first_no"], F.col("source_key")).join(final, "source_url")
     listed = (F.struct("v.run_no", "v.seq") == F.col("last_page")) & ~F.col("stale")
     variants = joined.select(
         "source_url",
