@@ -34,6 +34,8 @@ UNKNOWN = "und"
 PIECE, STATES = 64, 8
 #: Bounds of the training sample: texts of a language, and pieces of a text.
 SAMPLE, PIECES = 400, 8
+#: Groups that the marks of a language are dealt to.
+DEALT = 64
 EPOCHS, BATCH, RATE, SEED = 4, 256, 0.03, 7
 #: Pieces that go through the network side by side; their states stay in a core's cache.
 SIDE_BY_SIDE = 4096
@@ -216,21 +218,26 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
+def first_of(marks: DataFrame, *group: str) -> DataFrame:
+    """The ``SAMPLE`` smallest marks of each group."""
+    place = F.row_number().over(Window.partitionBy(*group).orderBy("mark"))
+    return marks.withColumn("place", place).where(F.col("place") <= SAMPLE).drop("place")
+
+
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """(lang, pieces): at most ``SAMPLE`` different texts of each language.
 
-    Spark keeps the first ``SAMPLE`` marks of each language in every task before it moves them,
-    so a language with most of the rows costs no more than another.
+    The marks of a language are dealt to ``DEALT`` groups, each of which keeps its first
+    ``SAMPLE``; so however many rows it has, at most ``SAMPLE * DEALT`` marks meet at the end.
     """
     text, lang = F.col(text_col), F.col(lang_col)
     known = docs.where(lang.isNotNull() & has_letter(text) & ~held_out(id_col)).select(
         lang.alias("lang"), F.xxhash64(text).alias("mark"), text.alias("text")
     )
     marks = known.select("lang", "mark").distinct()
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
+    dealt = marks.withColumn("group", F.pmod(F.hash("mark"), F.lit(DEALT)))
     chosen = materialize(
-        marks.withColumn("place", place).where(F.col("place") <= SAMPLE).drop("place"),
-        "langid-sample",
+        first_of(first_of(dealt, "lang", "group"), "lang").drop("group"), "langid-sample"
     )
     stride = F.greatest(F.floor(F.length("text") / PIECES), F.lit(PIECE)).cast("int")
     starts = F.sequence(F.lit(1), F.length("text"), stride)
