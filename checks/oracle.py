@@ -44,9 +44,10 @@ bad_offers AS (
   SELECT url, p_partkey, pos, available,
       CASE WHEN p_partkey % 19 = 3 AND pos = 1 THEN -5.0
            WHEN p_partkey % 23 = 4 AND pos = 0 THEN 12345678901.5
+           WHEN p_partkey % 31 = 8 AND pos = 0 THEN 1e30
            ELSE price END AS price,
       CASE WHEN p_partkey % 13 = 5 THEN 'EURO' ELSE currency END AS currency
-  FROM offers WHERE p_partkey % 17 <> 6 AND price IS NOT NULL),
+  FROM offers WHERE p_partkey % 17 <> 6 AND p_partkey % 29 <> 7 AND price IS NOT NULL),
 bad_rolled AS (
   SELECT url, min(p_partkey) AS p_partkey,
       coalesce(min(price) FILTER (WHERE available), min(price)) AS price,
@@ -269,8 +270,8 @@ SELECT 'Деталь ' || p_name AS name, 'https://shop.example/p/' || p_partkey
   CAST(0 AS INTEGER) AS variants FROM part""",
     "rejects": _SPOILED
     + """
-SELECT url, 'no_product' AS reason FROM shop WHERE p_partkey % 17 = 6
-UNION ALL SELECT url, 'blank_name' FROM shop WHERE p_partkey % 11 = 2 AND p_partkey % 17 <> 6
+SELECT url, 'no_product' AS reason FROM shop WHERE p_partkey % 17 = 6 OR p_partkey % 29 = 7
+UNION ALL SELECT url, 'blank_name' FROM shop WHERE p_partkey % 11 = 2 AND p_partkey % 17 <> 6 AND p_partkey % 29 <> 7
 UNION ALL SELECT url, 'price_overflow' FROM bad_rolled WHERE price > 9999999999
 UNION ALL SELECT url, 'price_negative' FROM bad_rolled WHERE price < 0
 UNION ALL SELECT url, 'currency_length' FROM bad_rolled WHERE p_partkey % 13 = 5
@@ -391,4 +392,44 @@ SELECT 'https://shop.example/p/' || a.grp AS source_url, z.p_name AS product, z.
   'sku:P' || a.p_partkey AS source_key, a.p_name AS name, CAST(a.p_retailprice AS DECIMAL(12,2)) AS price,
   'USD' AS currency, a.p_size > 10 AND a.p_partkey = last_key AS available
 FROM pages_of a JOIN last USING (grp) JOIN part z ON z.p_partkey = last_key""",
+    "stream_catalog": """
+WITH both_variants AS (
+  SELECT p.*, 'S' AS kind, p_name || ' S' AS variant, 0 AS less, p_size > 10 AS in_stock FROM part p
+  UNION ALL SELECT p.*, 'N', p_name, 1, p_size > 30 FROM part p),
+counted AS (
+  SELECT 'run-1' AS run_id, count(*) AS n FROM part
+  UNION ALL SELECT 'run-2', count(*) FROM part WHERE p_partkey % 4 <> 1)
+SELECT 'https://shop.example/p/' || p_partkey AS source_url, p_partkey % 4 <> 1 AND p_size > 10 AS product_available,
+  run_id AS last_seen_run_id, 'completed' AS status, n AS products_found, n AS products_saved,
+  'sku:' || kind || p_partkey AS source_key, variant AS name,
+  CAST(CAST(p_retailprice AS DECIMAL(12,2)) * CASE WHEN p_partkey % 4 <> 1 THEN 2 ELSE 1 END - less AS DECIMAL(12,2)) AS price,
+  p_partkey % 4 <> 1 AND in_stock AS available, TIMESTAMP '2024-02-01' AS updated_at
+FROM both_variants JOIN counted ON run_id = CASE WHEN p_partkey % 4 <> 1 THEN 'run-2' ELSE 'run-1' END""",
+    "catalog_run": """
+WITH states AS (
+  SELECT *, p_partkey % 50 NOT IN (7, 11) AS in_first, p_partkey % 4 <> 1 AS in_second,
+      CAST(p_retailprice AS DECIMAL(12,2)) * CASE WHEN p_partkey % 4 <> 1 THEN 2 ELSE 1 END
+        - CASE WHEN p_size > 10 AND p_size <= 30 THEN 0 ELSE 1 END AS lowest
+  FROM part),
+numbered AS (
+  SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS export_seq FROM states WHERE in_second)
+SELECT 'https://shop.example/p/' || s.p_partkey AS source_url, p_name AS name, p_brand AS brand,
+  CAST(lowest AS DECIMAL(12,2)) AS price, 'USD' AS currency, in_second AND p_size > 10 AS available,
+  CASE WHEN in_second THEN 'run-2' ELSE 'run-1' END AS last_seen_run_id,
+  CASE WHEN in_first THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-02-01' END AS first_seen_at,
+  TIMESTAMP '2024-02-01' AS updated_at,
+  CASE WHEN in_second THEN CAST(p_size > 10 AS BIGINT) + CAST(p_size > 30 AS BIGINT) ELSE 0 END AS on_offer,
+  'sku:N' || s.p_partkey || '=' || p_name || ',sku:S' || s.p_partkey || '=' || p_name || ' S' AS variants,
+  export_seq, CASE WHEN in_second THEN CAST(lowest AS DOUBLE) END AS export_price
+FROM states s LEFT JOIN numbered n ON s.p_partkey = n.p_partkey WHERE in_first OR in_second""",
+    "catalog_run_ledger": """
+WITH counts AS (
+  SELECT 1 AS run, count(*) AS found, count(*) FILTER (WHERE p_partkey % 50 IN (7, 11)) AS failed FROM part
+  UNION ALL SELECT 2, count(*), 0 FROM part WHERE p_partkey % 4 <> 1)
+SELECT 'run-' || run AS id, 'shop' AS source, 'parts' AS category, 'https://shop.example/c/' AS catalog_url,
+  'both' AS storage_mode, CASE WHEN failed > 0 THEN 'partial' ELSE 'completed' END AS status, true AS full_scan,
+  found AS products_found, found - failed AS products_saved, failed AS products_failed,
+  CAST(NULL AS VARCHAR) AS error_message, make_timestamp(2024, run, 1, 0, 0, 0) AS started_at,
+  TIMESTAMP '2024-03-01' AS finished_at
+FROM counts""",
 }

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from checks import whole_runs
 from checks.shop_pages import LINE_ORDER, shop_pages
 from offerlake.functions import scalars
 from offerlake.functions.rows import explode_items
@@ -646,3 +647,21 @@ def stream_merge(spark, sf_dir):
     from checks.stream_query import stream_parts
 
     return stream_parts(spark, sf_dir, run_stamp(1995))
+
+
+@query
+def stream_catalog(spark, sf_dir):
+    return whole_runs.stream_catalog(spark, sf_dir)
+
+
+# Whole runs
+
+
+@query
+def catalog_run(spark, sf_dir):
+    return whole_runs.catalog_run(spark, sf_dir)
+
+
+@query
+def catalog_run_ledger(spark, sf_dir):
+    return whole_runs.catalog_run_ledger(spark, sf_dir)

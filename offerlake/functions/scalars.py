@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from offerlake.schemas import EXTRACTED_PRICE
+from offerlake.schemas import EXTRACTED_PRICE, TOO_LARGE
 
 # Unicode white space plus the four separators U+001C to U+001F.
 _SPACE = r"[\s\x1c-\x1f]"
 
+# A number in figures, and one whose figures before the exponent are all zero.
+_NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+_ZERO = r"^[+-]?[0.]+(?:[eE][+-]?[0-9]+)?$"
+
 # What counts as a secret in a message.
 _URL_PASSWORD = r"(?iU)(postgres(?:ql)?://[^:/?#\s]+:)[^@/\s]+@"
 _PASSWORD_SETTING = r"(?iU)(password\s*=\s*)\S+"
@@ -35,12 +41,19 @@ def parse_price(text: Column) -> Column:
     """Price text to a decimal; null when it is no number.
 
     Blanks inside are dropped and the comma is the decimal point. NaN and infinities have
-    no decimal, so they are null too.
+    no decimal, so they are null too. A number with more digits than the type has is kept as
+    the largest one of its sign: it must not pass for a missing price, and it is larger than
+    any table takes.
     """
     compact = strip(F.replace(text, F.lit(" "), F.lit("")))
     pointed = F.replace(compact, F.lit(","), F.lit("."))
     digits = F.regexp_replace(pointed, r"(?<=\d)_(?=\d)", "")
-    return digits.try_cast(EXTRACTED_PRICE)
+    beyond = (
+        F.when(digits.rlike(_ZERO), F.lit(Decimal(0)).cast(EXTRACTED_PRICE))
+        .when(F.startswith(digits, F.lit("-")), F.lit(TOO_LARGE.copy_negate()))
+        .otherwise(F.lit(TOO_LARGE))
+    )
+    return F.coalesce(digits.try_cast(EXTRACTED_PRICE), F.when(digits.rlike(_NUMBER), beyond))
 
 
 def price_text(price: Column) -> Column:

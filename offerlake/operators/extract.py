@@ -76,27 +76,33 @@ def _flatten(value: str, depth: int) -> str:
 def with_nodes(pages: DataFrame) -> DataFrame:
     """Adds ``nodes``: all JSON-LD objects of the page in document order.
 
-    Spark's JSON parser stops after the first value and ignores what follows. Each block
-    is therefore parsed inside brackets and must give a list of exactly one element.
-    Blocks it cannot parse, or that are nested deeper than ``NESTING``, send the blocks of
-    their page through the Python function.
+    Spark's JSON parser stops after the first value and ignores what follows. Each block is
+    therefore parsed inside brackets and followed by a mark made from its own text: only a
+    block that is one whole value gives a list of exactly two elements with its mark at the
+    end. Other blocks, and those nested deeper than ``NESTING``, send the blocks of their page
+    through the Python function, which takes nothing but whole values.
     """
     blocks = pages.withColumn("blocks", jsonld_blocks(F.col("html"))).drop("html")
+    marked = "transform(blocks, b -> named_struct('text', b, 'mark', CAST(xxhash64(b) AS string)))"
+    read = (
+        "try_variant_get(try_parse_json(concat('[', m.text, ',\"', m.mark, '\"]')), "
+        "'$', 'array<variant>')"
+    )
+    whole = (
+        "CASE WHEN size(p) = 2 AND try_variant_get(p[1], '$', 'string') = m.mark "
+        "THEN array(p[0]) END"
+    )
     parsed = blocks.withColumn(
-        "parsed",
-        F.expr(
-            "transform(blocks, b -> "
-            "try_variant_get(try_parse_json(concat('[', b, ']')), '$', 'array<variant>'))"
-        ),
+        "parsed", F.expr(f"transform({marked}, m -> {let('p', read, whole)})")
     )
     flat = parsed.withColumn(
         "nodes",
         F.expr(
-            "flatten(transform(flatten(filter(parsed, p -> size(p) = 1)), "
+            "flatten(transform(flatten(filter(parsed, p -> p IS NOT NULL)), "
             f"v -> {_flatten('v', NESTING)}))"
         ),
     )
-    plain = "forall(parsed, p -> coalesce(size(p) = 1, false)) AND NOT exists(nodes, n -> n.more)"
+    plain = "forall(parsed, p -> p IS NOT NULL) AND NOT exists(nodes, n -> n.more)"
     hard = flat.withColumn("plain", F.expr(plain)).withColumn(
         "hard_nodes", nodes_of_blocks(F.when(~F.col("plain"), F.col("blocks")))
     )

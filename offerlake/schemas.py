@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import types as T
 
 EXTRACTED_PRICE = T.DecimalType(38, 10)
+# What a number beyond the digits above is kept as; no table takes it.
+TOO_LARGE = Decimal("9" * 28 + "." + "9" * 10)
 STORED_PRICE = T.DecimalType(12, 2)
 
 # The states a run can be in.

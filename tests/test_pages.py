@@ -204,6 +204,14 @@ def test_rejects_and_stored_shape(spark):
         group(name="nul\x00"),
         group(variants=[priced(-0.001)]),
         "<html></html>",
+        group(variants=[priced("1e30"), priced(1)]),
+        group(variants=[priced(-1e30)]),
+        page('{"@type":"Product","name":"n"}]'),
+        page('{"@type":"Product","name":"n"}],[{"@type":"Product","name":"m"}'),
+        page('{"@type":"Product","name":"n"},{"@type":"Product","name":"m"}'),
+        page('{"@type":"Product","name":"n"} \n'),
+        page('[{"@type":"Product","name":"n"},"x"]'),
+        page('{"@type":"Product","name":"n"},"mark"],['),
     ]
     rows = [(i, f"https://s.example/{i}", text) for i, text in enumerate(pages)]
     frame = spark.createDataFrame(rows, "seq long, url string, html string")
@@ -219,9 +227,17 @@ def test_rejects_and_stored_shape(spark):
         6: ["nul_character"],
         7: [],
         8: ["no_product"],
+        9: ["variant_price_overflow"],
+        10: ["price_overflow", "variant_price_overflow"],
+        11: ["no_product"],
+        12: ["no_product"],
+        13: ["no_product"],
+        14: [],
+        15: [],
+        16: ["no_product"],
     }
     stored = {r["seq"]: r for r in quality.accepted(checked).collect()}
-    assert sorted(stored) == [0, 7]
+    assert sorted(stored) == [0, 7, 14, 15]
     assert str(stored[0]["price"]) == "1234.57"
     assert stored[0]["variants"][0]["name"] == "n"
     assert len(stored[0]["content_hash"]) == 64

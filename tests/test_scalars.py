@@ -29,11 +29,16 @@ def test_text_functions_match_python(spark, texts):
     assert column(spark, texts, scalars.strip) == [t.strip() for t in texts]
 
 
+LARGEST = "9" * 28 + "." + "9" * 10
+
+
 def test_parse_price(spark):
     cases = {
         "1 234,50": "1234.5", "1,234.50": None, "": None, "0": "0", "-3": "-3", "abc": None,
         "nan": None, "inf": None, "1e3": "1000", "+5": "5", ".5": "0.5", "5.": "5", "1234d": None,
         "12\u00a0": "12", "1\u00a0234": None, "1_000": "1000", "_1": None, "99.990": "99.99",
+        "1e30": LARGEST, "-1e30": f"-{LARGEST}", "9" * 40: LARGEST, "1e400": LARGEST, "0e99": "0", "1e-40": "0",
+        "1e": None, "e5": None, ".": None, "9" * 28: "9" * 28,
     }
     got = column(spark, list(cases), scalars.parse_price)
     assert got == [None if v is None else Decimal(v) for v in cases.values()]
