@@ -181,7 +181,7 @@ def event_chains(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _crawled(spark, sf_dir, **caps) -> DataFrame:
     pages, starts = event_chains(table(spark, sf_dir, "events"))
-    walked = crawl(pages, starts, **caps)
+    walked = crawl(materialize(pages, "chains"), starts, **caps)
     return walked.select(
         "catalog", F.col("seq").cast("long").alias("seq"), "page_no", F.col("pos").cast("int").alias("pos"), "url"
     )

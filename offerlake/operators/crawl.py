@@ -13,6 +13,7 @@ are left out of all later rounds. So a capped walk costs what it finds, not what
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -163,23 +164,29 @@ def rounds(
             first_occurrences(explode_items(walked, "links", "url", "catalog", "page_no")), "first"
         )
         news = materialize(page_news(first, order.join(pages.select(*key), key)), "news")
-        ends = materialize(walk_ends(news, span, max_pages, limit), "ends")
-        over = ends.where("closed")
-        found = number_products(
-            of_groups(first, over, "catalog", F.col("url")), fruitful_pages(news, over)
-        )
-        yield materialize(found.where(F.col("seq") <= limit) if limit else found, "found")
-        discard(jump, reached, first, news)
-        going = ends.where("not closed").select("catalog")
-        if going.isEmpty():
-            discard(leaps, grown, ends)
+        ends = walk_ends(news, span, max_pages, limit)
+        # Two numbers: catalogs that close in this round, and those that go on.
+        closing, going_on = ends.agg(F.count_if("closed"), F.count_if(~F.col("closed"))).first()
+        if closing:
+            over = ends.where("closed")
+            found = number_products(
+                of_groups(first, over, "catalog", F.col("url")) if going_on else first,
+                fruitful_pages(news, over),
+            )
+            yield materialize(found.where(F.col("seq") <= limit) if limit else found, "found")
+        discard(jump, reached, first)
+        jump = leaps.where(F.col(f"t{LEAPS}").isNotNull()).select(*key, F.col(f"t{LEAPS}").alias("t1"))
+        if going_on:
+            going = ends.where("not closed").select("catalog") if closing else None
+            jump = materialize(_open_only(jump, going), "jump")
+            reached = materialize(_open_only(grown, going), "reached") if closing else grown
+        discard(news, leaps, *([] if reached is grown else [grown]))
+        if not going_on:
             return
-        landed = leaps.where(F.col(f"t{LEAPS}").isNotNull()).select(
-            *key, F.col(f"t{LEAPS}").alias("t1")
-        )
-        jump = materialize(of_groups(landed, going, "catalog", F.col("page")), "jump")
-        reached = materialize(of_groups(grown, going, "catalog", F.col("page")), "reached")
-        discard(leaps, grown, ends)
+
+
+def _open_only(rows: DataFrame, going: DataFrame | None) -> DataFrame:
+    return rows if going is None else of_groups(rows, going, "catalog", F.col("page"))
 
 
 def crawl(
@@ -192,7 +199,9 @@ def crawl(
     occurrence, stop at a page without news, product cap. The pages are read once per round,
     so they should be written out.
     """
-    whole = None
-    for found in rounds(pages, starts, max_pages, limit):
-        whole = found if whole is None else whole.unionByName(found)
-    return whole
+    found = list(rounds(pages, starts, max_pages, limit))
+    if not found:
+        types = dict(pages.dtypes)
+        schema = f"catalog {types['catalog']}, seq long, page_no long, pos long, url string"
+        return pages.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, found)

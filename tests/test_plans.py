@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from checks.oracle import ORACLE
 from checks.queries import QUERIES
-from offerlake.operators import extract, merge
+from offerlake.operators import extract, links, merge
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -32,6 +32,12 @@ def test_extraction_has_no_shuffle(spark, folder):
     assert "Exchange" not in rows and len(rows) < 200_000
 
 
+def test_listing_pages_go_to_python_once(spark, folder):
+    spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string").write.parquet(folder + "/p")
+    plan = physical(links.listing_pages(spark.read.parquet(folder + "/p")))
+    assert plan.split("\n\n")[0].count("ArrowEvalPython") == 1 and "Exchange" not in plan
+
+
 def test_latest_per_key_reduces_before_the_shuffle(spark):
     rows = spark.range(10).select((F.col("id") % 2).alias("k"), "id", F.lit("x").alias("v"))
     plan = physical(merge.latest_per_key(rows, ["k"], F.col("id")))

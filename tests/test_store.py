@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from offerlake import session
 from offerlake.operators import crawl as walks
-from offerlake.operators import merge, stats
+from offerlake.operators import ledger, merge, stats
 from offerlake.plans import catalog_run
 from offerlake.plans.catalog_run import run_catalog
 from offerlake.schemas import PRODUCTS
 from offerlake.sources import files
 from offerlake.sources.export import write_products
 from offerlake.sources.snapshots import SnapshotStore, StaleSnapshot, marked_parts, part_marks, part_of
+from offerlake.streaming.ingest import close_run, current_catalog, save_pages
 from test_runs import SHOP, chain, options, shop_site, write_site
 
 END = datetime(2024, 6, 1)
@@ -241,3 +242,49 @@ def test_capped_walks_write_less(spark, folder, monkeypatch):
             assert seqs == list(range(1, (min(limit, whole) if limit else whole) + 1))
         sums[limit] = len([n for ns in written.values() for n in ns]), sum(n for ns in written.values() for n in ns)
     assert sums[4][0] < sums[0][0] / 2 and sums[4][1] < sums[0][1] / 2
+
+
+# Streams
+
+
+def test_a_replayed_batch_is_known_by_its_number(spark, folder):
+    """A batch that is there is left alone; one that broke half way is written anew."""
+    site = shop_site({n: 10 + k for k, n in enumerate("abcd")})
+    pages = [(k, u, t) for k, (u, t) in enumerate(site.items()) if "/p/" in u]
+    store, of_run = SnapshotStore(spark, f"{folder}/store", parts=2), stamp("r1")
+    store.update(lambda basis: {"products": products(spark, [f"{SHOP}/p/old", f"{SHOP}/p/a"])})
+
+    def feed(rows):
+        schema = "seq long, url string, html string"
+        if rows:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        save_pages(stream, store, of_run, f"{folder}/progress").awaitTermination()
+
+    def written():
+        top = store.run_path("r1")
+        return {f"{d}/{n}": os.stat(f"{d}/{n}").st_mtime_ns for d, _, names in os.walk(top) for n in names}
+
+    def saved():
+        found = current_catalog(store, of_run)[0].where("last_seen_run_id = 'r1'")
+        return sorted(r["source_url"][-1] for r in found.collect())
+
+    feed(pages[:2])
+    feed(pages[2:])
+    before = written()
+    files.remove(spark, f"{folder}/progress/commits/1")
+    feed([])
+    assert written() == before and saved() == ["a", "b", "c", "d"]
+    files.remove(spark, store.batch_path("r1", "outcomes", 1))
+    assert saved() == ["a", "b"]
+    files.remove(spark, f"{folder}/progress/commits/1")
+    feed([])
+    assert set(written()) != set(before) and saved() == ["a", "b", "c", "d"]
+
+    opened = ledger.open_run(
+        spark, run_id="r1", source="s", category="c", catalog_url="u", storage_mode="tables",
+        is_full_scan=True, started_at=of_run.at,
+    )
+    assert close_run(store, of_run, opened).first()["status"] == "completed"
+    states = {r["source_url"].rsplit("/")[-1]: r["available"] for r in store.read("products").collect()}
+    assert states == {"a": True, "b": True, "c": True, "d": True, "old": False}
