@@ -98,3 +98,83 @@ SELECT doc_id, n, form,
   sha256(text) AS restored_sha256
 FROM parts
 """
+
+ORACLE["op4_decontaminate"] = r"""
+WITH texts AS (
+  SELECT doc_id, row_number() OVER () AS text_no,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), items AS (
+  SELECT item_id::VARCHAR AS item,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT item, least(len(words), 10) AS size, array_to_string(words[place:place + 9], ' ') AS phrase
+  FROM (SELECT item, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS place FROM items WHERE len(words) > 0)
+), sizes AS (SELECT DISTINCT size FROM item_windows
+), windows AS (
+  SELECT text_no, size, place, array_to_string(words[place:place + size - 1], ' ') AS phrase
+  FROM (SELECT text_no, words, size, unnest(range(1, len(words) - size + 2)) AS place FROM texts, sizes)
+), found AS (
+  SELECT w.text_no, w.place, w.size, i.item FROM windows w JOIN item_windows i ON w.size = i.size AND w.phrase = i.phrase
+), hits AS (
+  SELECT text_no, count(DISTINCT spot) AS n_hit
+  FROM (SELECT text_no, unnest(range(place, place + size)) AS spot FROM (SELECT DISTINCT text_no, place, size FROM found)) GROUP BY text_no
+), named AS (
+  SELECT text_no, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items
+  FROM found WHERE item IS NOT NULL GROUP BY text_no
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM texts t LEFT JOIN hits h ON t.text_no = h.text_no LEFT JOIN named n ON t.text_no = n.text_no
+"""
+
+ORACLE["op6_repeated_bytes"] = """
+WITH texts AS (
+  SELECT doc_id, row_number() OVER () AS text_no, hex(encode(coalesce(text, ''))) AS digits FROM documents
+), windows AS (
+  SELECT text_no, place, md5(substring(digits, 2 * place + 1, 800)) AS body
+  FROM (SELECT text_no, digits, unnest(range(len(digits) // 2 - 399)) AS place FROM texts)
+), repeated AS (
+  SELECT text_no, place FROM (SELECT text_no, place, count(*) OVER (PARTITION BY body) AS n FROM windows) WHERE n > 1
+), marked AS (
+  SELECT text_no, place, place - lag(place, 1, -1000) OVER (PARTITION BY text_no ORDER BY place) > 400 AS fresh FROM repeated
+), numbered AS (
+  SELECT text_no, place, sum(fresh::INT) OVER (PARTITION BY text_no ORDER BY place) AS span FROM marked
+), spans AS (SELECT text_no, span, min(place) AS first, max(place) + 400 AS past FROM numbered GROUP BY text_no, span
+), gaps AS (
+  SELECT text_no, lag(past, 1, 0) OVER (PARTITION BY text_no ORDER BY first) AS first, first AS past FROM spans
+  UNION ALL SELECT text_no, max(past), NULL FROM spans GROUP BY text_no
+), kept AS (
+  SELECT g.text_no, string_agg(substring(digits, 2 * first + 1, 2 * (coalesce(past, len(digits) // 2) - first)), '' ORDER BY first) AS digits
+  FROM gaps g JOIN texts t ON g.text_no = t.text_no GROUP BY g.text_no
+), sums AS (SELECT text_no, sum(past - first)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY text_no
+)
+SELECT doc_id, len(t.digits) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(k.digits, t.digits))) AS kept_sha256
+FROM texts t LEFT JOIN sums s ON t.text_no = s.text_no LEFT JOIN kept k ON t.text_no = k.text_no
+"""
+
+ORACLE["op7_repeated_words"] = r"""
+WITH texts AS (
+  SELECT doc_id, row_number() OVER () AS text_no,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), windows AS (
+  SELECT text_no, doc_id, place, array_to_string(words[place:place + 12], ' ') AS body
+  FROM (SELECT text_no, doc_id, words, unnest(range(1, len(words) - 11)) AS place FROM texts)
+), seen AS (
+  SELECT text_no, place FROM (SELECT text_no, doc_id, place, min(doc_id) OVER (PARTITION BY body) AS low FROM windows)
+  WHERE low < doc_id
+), covered AS (SELECT DISTINCT text_no, unnest(range(place, place + 13)) AS place FROM seen
+), places AS (SELECT text_no, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM texts
+), kept AS (
+  SELECT p.text_no, count(*) AS n, string_agg(word, ' ' ORDER BY p.place) AS text
+  FROM places p ANTI JOIN covered c ON p.text_no = c.text_no AND p.place = c.place GROUP BY p.text_no
+)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed,
+  sha256(coalesce(k.text, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON t.text_no = k.text_no
+"""
