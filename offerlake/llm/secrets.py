@@ -59,8 +59,13 @@ LEET = str.maketrans("@4301!$5+7", "aaeoiisstt")
 DATE = re.compile(
     r"(?:19|20)\d\d[-/.]?[01]?\d[-/.]?[0-3]?\d|[0-3]?\d[-/.][01]?\d[-/.](?:19|20)?\d\d|(?:19|20)\d\d"
 )
-#: Each further piece multiplies the guesses by ten.
-PIECE = 1.0
+LONGEST_DATE = 10
+#: Powers of ten: each further piece, a capital, a word in figures, a date.
+PIECE, UPPER, LEETED, DATES = 1.0, 0.3, 0.6, math.log10(36500)
+#: A run of equal characters or neighbours in the alphabet: where it begins, its first three
+#: characters, each further one. A keyboard walk: where it begins, each key.
+RUN, THREE, LONGER = 1.0, math.log10(3), 0.03
+WALK, KEY = 1.5, 0.5
 
 
 def _alphabet(char: str) -> float:
@@ -88,62 +93,58 @@ def _neighbours() -> dict[str, set[str]]:
 NEAR = _neighbours()
 
 
-def _runs(text: str, follows) -> list[int]:
-    """For each place, where the longest run that begins there ends."""
-    ends = [len(text)] * len(text)
-    for i in range(len(text) - 2, -1, -1):
-        if not follows(i):
-            ends[i] = i + 1
-        else:
-            ends[i] = ends[i + 1]
-    return ends
+def _longer(short: float, long: float, step: float) -> float:
+    """Cost of a piece of three characters or more, from the same one character shorter."""
+    return min(short, long + step)
 
 
 def guess_cost(value: str) -> float:
     """log10 of the guesses of the cheapest way to put ``value`` together.
 
-    Linear in its length: words have a longest length, and of a run only the longest piece
-    from each place is looked at.
+    Every word, date, run of three or more equal characters, neighbours in the alphabet or
+    neighbours on the keyboard, wherever it begins and ends, may be a piece, and so may any
+    span of single characters. Words and dates have a longest length; the cost of a run grows
+    by the same amount with each character, so an open run is one number that is carried on
+    from place to place. That makes the exact minimum linear in the length.
     """
-    n = len(value)
+    n, infinite = len(value), math.inf
     low = value.lower()
     if len(low) != n:  # a letter whose lower case has two
         low = value
     plain = low.translate(LEET)
     upper = [c != d for c, d in zip(value, low, strict=True)]
-    repeat = _runs(low, lambda i: low[i] == low[i + 1])
-    jump = [ord(b) - ord(a) for a, b in zip(low, low[1:], strict=False)]
-    sequence = _runs(low, lambda i: abs(jump[i]) == 1 and (i + 1 >= len(jump) or jump[i + 1] == jump[i]))
-    walk = _runs(low, lambda i: low[i + 1] in NEAR.get(low[i], ()))
-    dates: dict[int, set[int]] = {}
-    for i in range(n):
-        if (found := DATE.match(value, i)) is not None:
-            dates.setdefault(i, set()).add(found.end())
-    best = [0.0] + [math.inf] * n  # cost up to a place, a piece ending there
-    single = [math.inf] * (n + 1)  # the same, with a span of single characters open
+    best = [0.0] + [infinite] * n  # cost up to a place, a piece ending there
+    single = infinite  # the same, with a span of single characters open
+    # Open runs of one, two and more characters: equal ones, up and down the alphabet, keys.
+    equal1 = equal2 = equal = infinite
+    up1 = up2 = up = down2 = down = infinite
+    walk1 = walk2 = walk = infinite
     for i in range(n):
-        here = min(best[i], single[i])
-        start = here + (PIECE if i else 0)
-
-        def offer(end: int, cost: float, start: float = start) -> None:
-            best[end] = min(best[end], start + cost)
-
-        single[i + 1] = min(single[i], start) + _alphabet(low[i]) + 0.3 * upper[i]
+        char, each = low[i], _alphabet(low[i])
+        start = min(best[i], single) + (PIECE if i else 0)
+        jump = ord(char) - ord(low[i - 1]) if i else 0
+        if i and jump == 0:
+            equal, equal2 = _longer(equal2, equal, LONGER), equal1
+        else:
+            equal = equal2 = infinite
+        up, up2 = (_longer(up2, up, LONGER), up1) if jump == 1 else (infinite, infinite)
+        down, down2 = (_longer(down2, down, LONGER), up1) if jump == -1 else (infinite, infinite)
+        if i and char in NEAR.get(low[i - 1], ()):
+            walk, walk2 = min(walk2, walk) + KEY, walk1 + KEY
+        else:
+            walk = walk2 = infinite
+        equal1, up1, walk1 = start + each + THREE, start + RUN + THREE, start + WALK + KEY
+        single = min(single, start) + each + UPPER * upper[i]
+        best[i + 1] = min(best[i + 1], equal, up, down, walk)
         for end in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            rank = min(WORDS.get(low[i:end], 99.0), WORDS.get(plain[i:end], 99.0) + 0.6)
+            rank = min(WORDS.get(low[i:end], 99.0), WORDS.get(plain[i:end], 99.0) + LEETED)
             if rank < 99:
-                offer(end, rank + 0.3 * min(2, sum(upper[i:end])))
-        if repeat[i] - i >= 3:
-            offer(repeat[i], _alphabet(low[i]) + math.log10(repeat[i] - i))
-        if sequence[i] + 1 - i >= 3 and sequence[i] < n:
-            offer(sequence[i] + 1, 1.0 + math.log10(sequence[i] + 1 - i))
-        if sequence[i] - i >= 3:
-            offer(sequence[i], 1.0 + math.log10(sequence[i] - i))
-        if walk[i] - i >= 3:
-            offer(walk[i], 1.5 + 0.5 * (walk[i] - i))
-        for end in dates.get(i, ()):
-            offer(end, math.log10(36500))
-    return min(best[n], single[n])
+                best[end] = min(best[end], start + rank + UPPER * min(2, sum(upper[i:end])))
+        if char.isdigit():
+            for end in range(i + 4, min(n, i + LONGEST_DATE) + 1):
+                if DATE.fullmatch(value, i, end):
+                    best[end] = min(best[end], start + DATES)
+    return min(best[n], single)
 
 
 def find_secrets(text: str) -> list[tuple[str, int, int, float | None]]:
