@@ -15,7 +15,7 @@ import json
 import re
 import unicodedata
 from collections import Counter
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +32,12 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 LEXICON_WORDS = 40_000
 LEXICON_BYTES = 24
 #: Words a Python worker remembers beside the automaton.
-MEMO_WORDS = 150_000
+MEMO_WORDS = 400_000
 #: Distinct words that a task counts before it hands its counts over.
 COUNTED_WORDS = 100_000
 
+#: Words or tokens whose ids or bytes are put together at a time.
+GATHERED = 1 << 17
 #: Widths in bytes of words that are merged side by side; longer ones go alone.
 MERGED_TOGETHER = (4, 8, 12, 16, 24, 40)
 NO_MERGE, ID_MASK = 1 << 62, (1 << 20) - 1
@@ -82,24 +84,33 @@ class Vocabulary:
         known = (self.pairs[at] == pairs) & (left >= 0) & (right >= 0)
         return np.where(known, self.best[at], NO_MERGE)
 
-    def merge_all(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """``merge`` of many words: one step of all words of like length at a time."""
-        result: list[tuple[int, ...]] = [()] * len(words)
+    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``merge`` of many words, one step of all words of like length at a time.
+
+        Gives the words' places in the order they were merged in, how many ids each has, and
+        all ids side by side.
+        """
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        low = 0
+        none = np.zeros(0, np.int64)
+        order, counts, ids, low = [none], [none], [none], -1
         for width in MERGED_TOGETHER:
             group = np.flatnonzero((sizes > low) & (sizes <= width))
             low = width
             for at in range(0, len(group), 20_000):
                 part = group[at : at + 20_000]
                 rows = self._merge_rows([words[k] for k in part.tolist()], sizes[part], width)
-                for k, row in zip(part.tolist(), rows, strict=True):
-                    result[k] = row
+                order.append(part)
+                counts.append((rows >= 0).sum(1))
+                ids.append(rows[rows >= 0])
         for k in np.flatnonzero(sizes > low).tolist():
-            result[k] = self.merge(words[k])
-        return result
-
-    def _merge_rows(self, words: list[bytes], sizes: np.ndarray, width: int) -> list[tuple]:
+            own = self.merge(words[k])
+            order.append(np.array([k], np.int64))
+            counts.append(np.array([len(own)], np.int64))
+            ids.append(np.array(own, np.int64))
+        return np.concatenate(order), np.concatenate(counts), np.concatenate(ids)
+
+    def _merge_rows(self, words: list[bytes], sizes: np.ndarray, width: int) -> np.ndarray:
+        """A row of ids a word, those in use first, then -1."""
         raw = b"".join([w.ljust(width, b"\0") for w in words])
         ids = self.byte_table[np.frombuffer(raw, np.uint8)].reshape(-1, width)
         columns = np.arange(width)
@@ -130,8 +141,7 @@ class Vocabulary:
             found[rows, place] = self._found(new, after)
             inner = place > 0
             found[rows[inner], place[inner] - 1] = self._found(before[inner], new[inner])
-        lengths = (done >= 0).sum(1).tolist()
-        return [tuple(row[:n]) for row, n in zip(done.tolist(), lengths, strict=True)]
+        return done
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Ids of a word: the lowest-ranked pair is merged first, the leftmost of equals."""
@@ -212,6 +222,89 @@ class Splitter:
             yield self.pieces(text[at:] if at else text)
 
 
+def gathered(
+    values: np.ndarray, starts: np.ndarray, sizes: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of ``values`` one after the other, and where each of them ends."""
+    ends = np.cumsum(sizes)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, values.dtype)
+    for low in range(0, len(starts), GATHERED):
+        size, end = sizes[low : low + GATHERED], ends[low : low + GATHERED]
+        first = int(end[0] - size[0])
+        at = np.repeat(starts[low : low + GATHERED] - (end - size - first), size)
+        at += np.arange(len(at))
+        out[first : first + len(at)] = values[at]
+    return out, ends
+
+
+def texts_of(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Strings from their bytes; what is no UTF-8 is replaced."""
+    raw = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(),
+        len(bounds) - 1,
+        [None, pa.py_buffer(np.ascontiguousarray(bounds, np.int64)), pa.py_buffer(data)],
+    )
+    try:
+        return raw.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
+
+
+class TokenBytes:
+    """Bytes of all ids side by side; the last entry stands for ids that there are not."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        every = [vocabulary.bytes_of.get(i, b"") for i in range(max(vocabulary.bytes_of, default=-1) + 2)]
+        self.bytes = np.frombuffer(b"".join(every), np.uint8)
+        self.sizes = np.array([len(x) for x in every], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+
+class Memo:
+    """Words a Python worker has met, numbered, and their ids side by side."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary = vocabulary
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str | int, int] = {}
+        self.ids = np.zeros(0, np.int32)
+        self.starts = self.sizes = np.zeros(0, np.int64)
+
+    def add(self, words: list[str | int], sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+
+    def learn(self, words: list[str], lexicon: Lexicon) -> None:
+        """The automaton's words get their ids from it, the others are merged."""
+        raw = [w.encode() for w in words]
+        known = lexicon.numbers(raw, LEXICON_BYTES)
+        there = np.flatnonzero(known >= 0)
+        starts, sizes = lexicon.spans(known[there])
+        self.add([words[k] for k in there.tolist()], sizes, gathered(lexicon.all_ids, starts, sizes)[0])
+        rest = np.flatnonzero(known < 0).tolist()
+        order, sizes, ids = self.vocabulary.merge_all([raw[k] for k in rest])
+        self.add([words[rest[k]] for k in order.tolist()], sizes, ids)
+
+    def numbers(self, pieces: list[str | int], lexicon: Lexicon) -> np.ndarray:
+        """Numbers of words and of the ids of special texts; new ones are learned first."""
+        if len(self.number) > MEMO_WORDS:
+            self.clear()
+        found = np.fromiter(map(self.number.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new = [pieces[k] for k in missing.tolist()]
+            fresh = set(new)
+            special = [x for x in fresh if isinstance(x, int)]
+            self.add(special, np.ones(len(special), np.int64), np.array(special, np.int64))
+            self.learn(list(fresh.difference(special)), lexicon)
+            found[missing] = np.fromiter(map(self.number.__getitem__, new), np.int64, len(new))
+        return found
+
+
 _kept: dict[str, object] = {}
 
 
@@ -226,7 +319,7 @@ def word_counts(docs: DataFrame, vocabulary_file: str, text_col: str = "text") -
     """(word, count) over all texts, of words of up to ``LEXICON_BYTES`` bytes.
 
     A task counts on its own and hands over what it has whenever it holds ``COUNTED_WORDS``
-    distinct words; words it met once since then are left out, so counts are lower bounds.
+    distinct words.
     """
     content = docs.sparkSession.sparkContext.broadcast(vocabulary_file)
 
@@ -235,12 +328,12 @@ def word_counts(docs: DataFrame, vocabulary_file: str, text_col: str = "text") -
         counts: Counter[str] = Counter()
 
         def hand_over():
-            kept = {w: n for w, n in counts.items() if n > 1 and len(w.encode()) <= LEXICON_BYTES}
+            kept = [(raw, n) for w, n in counts.items() if len(raw := w.encode()) <= LEXICON_BYTES]
             counts.clear()
             return pa.RecordBatch.from_pydict(
                 {
-                    "word": pa.array([w.encode() for w in kept], pa.binary()),
-                    "count": pa.array(list(kept.values()), pa.int64()),
+                    "word": pa.array([w for w, _ in kept], pa.binary()),
+                    "count": pa.array([n for _, n in kept], pa.int64()),
                 }
             )
 
@@ -285,32 +378,21 @@ def encode(
         vocabulary = _once("vocabulary", content.value, lambda: Vocabulary(content.value))
         splitter = _once("splitter", content.value, lambda: Splitter(vocabulary))
         known = _once("lexicon", block.value, lambda: Lexicon(block.value))
-        memo: dict[str, tuple[int, ...]] = _once("memo", content.value, dict)
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        texts = [list(splitter.parts(text)) if text else [] for text in batch.column(1).to_pylist()]
-        fresh = {w for parts in texts for part in parts if not isinstance(part, int) for w in part}
-        unseen: list[str] = []
-        for word in fresh.difference(memo):
-            raw = word.encode()
-            got = known.get(raw) if len(raw) <= LEXICON_BYTES else None
-            if got is None:
-                unseen.append(word)
-            else:
-                memo[word] = got
-        memo.update(zip(unseen, vocabulary.merge_all([w.encode() for w in unseen]), strict=True))
-        rows = []
-        for parts in texts:
-            ids: list[int] = []
-            for part in parts:
+        memo = _once("memo", content.value, lambda: Memo(vocabulary))
+        pieces: list[str | int] = []
+        ends = [0]
+        for text in batch.column(1).to_pylist():
+            for part in splitter.parts(text) if text else ():
                 if isinstance(part, int):
-                    ids.append(part)
+                    pieces.append(part)
                 else:
-                    ids += chain.from_iterable(map(memo.__getitem__, part))
-            rows.append(ids)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=[id_col, "ids"]
-        )
+                    pieces += part
+            ends.append(len(pieces))
+        numbers = memo.numbers(pieces, known)
+        ids, id_ends = gathered(memo.ids, memo.starts[numbers], memo.sizes[numbers])
+        offsets = np.concatenate([[0], id_ends])[ends]
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[id_col, "ids"])
 
     return map_arrow(docs.select(id_col, text_col), step, f"`{id_col}` {kind}, ids array<int>")
 
@@ -325,17 +407,15 @@ def decode(encoded: DataFrame, vocabulary_file: str, id_col: str = "doc_id") ->
 
     def step(batch):
         vocabulary = _once("vocabulary", content.value, lambda: Vocabulary(content.value))
-        get = vocabulary.bytes_of.get
+        table = _once("table", content.value, lambda: TokenBytes(vocabulary))
         ids = batch.column(1)
-        ends = np.concatenate([[0], np.cumsum(pc.fill_null(ids.value_lengths(), 0))]).tolist()
-        flat = ids.flatten().to_pylist() if ids.values.null_count else ids.flatten().to_numpy().tolist()
-        pieces = [get(i, b"") for i in flat]
-        texts = [
-            b"".join(pieces[a:b]).decode("utf-8", "replace")
-            for a, b in zip(ends, ends[1:], strict=False)
-        ]
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(ids.value_lengths(), 0))]).astype(np.int64)
+        flat = pc.fill_null(ids.flatten(), -1).to_numpy().astype(np.int64)
+        known = np.where((flat >= 0) & (flat < len(table.sizes) - 1), flat, len(table.sizes) - 1)
+        data, byte_ends = gathered(table.bytes, table.starts[known], table.sizes[known])
+        bounds = np.concatenate([[0], byte_ends])[ends]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), ids, pa.array(texts, pa.string())], names=[id_col, "ids", "decoded"]
+            [batch.column(0), ids, texts_of(data, bounds)], names=[id_col, "ids", "decoded"]
         )
 
     schema = f"`{id_col}` {kind}, ids array<int>, decoded string"

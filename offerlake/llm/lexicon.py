@@ -107,6 +107,47 @@ class Lexicon:
         self.labels = self.map[at : at + edges]
         self.final = self.map[at + edges :]
         self.root, self.states = states - 1, states
+        # The same tables for walks of many words side by side.
+        firsts = np.frombuffer(self.starts, np.uint32).astype(np.int64)
+        owner = np.repeat(np.arange(states), np.diff(firsts))
+        self.edges = owner << 8 | np.frombuffer(self.labels, np.uint8)
+        self.all_targets, self.all_skips, self.all_ends, self.all_ids = (
+            np.frombuffer(x, np.uint32) for x in (self.targets, self.skips, self.ends, self.ids)
+        )
+        self.all_final = np.frombuffer(self.final, np.uint8)
+
+    def numbers(self, words: list[bytes], longest: int) -> np.ndarray:
+        """Number of each word, -1 for those that are not there; none is longer than ``longest``.
+
+        Every step takes one byte of all words that are still on a path.
+        """
+        found = np.full(len(words), -1, np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        which = np.flatnonzero(sizes <= longest)
+        if not len(which) or not len(self.edges):
+            return found
+        raw = b"".join([words[k].ljust(longest, b"\0") for k in which.tolist()])
+        letters = np.frombuffer(raw, np.uint8).reshape(-1, longest).astype(np.int64)
+        row = np.arange(len(which))
+        state, number = np.full(len(row), self.root), np.zeros(len(row), np.int64)
+        for step in range(longest + 1):
+            over = sizes[which[row]] == step
+            ended = over & (self.all_final[state] > 0)
+            found[which[row[ended]]] = number[ended]
+            row, state, number = (x[~over] for x in (row, state, number))
+            if not len(row):
+                break
+            edge = state << 8 | letters[row, step]
+            at = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
+            on = self.edges[at] == edge
+            row, at = row[on], at[on]
+            state, number = self.all_targets[at].astype(np.int64), number[on] + self.all_skips[at]
+        return found
+
+    def spans(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of numbered words begin in ``all_ids``, and how many they are."""
+        starts = self.all_ends[numbers].astype(np.int64)
+        return starts, self.all_ends[numbers + 1].astype(np.int64) - starts
 
     def get(self, word: bytes) -> tuple[int, ...] | None:
         state, number = self.root, 0

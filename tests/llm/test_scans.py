@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -316,7 +317,10 @@ def test_bpe_of_any_characters():
             ids += [part] if isinstance(part, int) else [i for w in part for i in vocabulary.merge(w.encode())]
         assert ids == library.encode(text, add_special_tokens=False).ids
     words = [w.encode() for t in texts for part in splitter.parts(t) if not isinstance(part, int) for w in part]
-    assert vocabulary.merge_all(words) == [vocabulary.merge(w) for w in words]
+    order, sizes, ids = vocabulary.merge_all(words)
+    ends = np.cumsum(sizes).tolist()
+    merged = {k: tuple(ids[end - n : end].tolist()) for k, n, end in zip(order.tolist(), sizes.tolist(), ends, strict=True)}
+    assert merged == {k: vocabulary.merge(w) for k, w in enumerate(words)}
 
 
 def test_decoding_any_ids(spark):
@@ -334,5 +338,12 @@ def test_lexicon_holds_its_words_only():
         assert known.get(word) == tuple(ids)
         assert known.get(word + b"z") is None
     assert known.get(b"zz") is None and known.get(b"") is None
+    # Side by side, with words that are not there, too long, empty or the start of another.
+    asked = [*words, b"", b"zz", b"a" * 30, *(w[:-1] for w in words), *(w + b"b" for w in words)]
+    numbers = known.numbers(asked, 8)
+    starts, sizes = known.spans(numbers[numbers >= 0])
+    found = {w: known.all_ids[a : a + n].tolist() for w, a, n in zip([w for w, k in zip(asked, numbers, strict=True) if k >= 0], starts, sizes, strict=True)}
+    assert found == {w: list(known.get(w)) for w in asked if len(w) <= 8 and known.get(w) is not None}
+    assert bpe.Lexicon(bpe.compile_lexicon({})).numbers([b"a"], 8).tolist() == [-1]
     tails = bpe.compile_lexicon({p + b"common-ending": [1] for p in (b"a", b"b", b"c", b"d")})
     assert bpe.Lexicon(tails).states < 20
