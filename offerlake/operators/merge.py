@@ -53,14 +53,21 @@ class RunStamp:
 
 
 def latest_per_key(rows: DataFrame, key: list[str], order: Column) -> DataFrame:
-    """The last row of each key under a total order.
+    """The last row of each key; ``order`` differs between the rows of a key, none is null.
 
-    An aggregation rather than a window: every task reduces its own rows first, so a key
-    that holds a third of the table reaches the final task as one row per task.
+    Two phases, so that wide rows are not sorted to be aggregated. The last order of each key is
+    found on the key and the order alone, in hash tables where the order is a number, each task
+    reducing its own rows first. Then it is joined back to the rows: they are dealt by key and
+    order, so a key that holds a third of the table is spread like any other.
     """
-    values = [name for name in rows.columns if name not in key]
-    last = F.max_by(F.struct(*values), order).alias("last")
-    return rows.groupBy(*key).agg(last).select(*key, "last.*")
+    ordered = rows.withColumn("_order", order)
+    last = ordered.groupBy(*key).agg(F.max("_order").alias("_order"))
+    return ordered.join(last, [*key, "_order"]).drop("_order")
+
+
+def place_in_run(seq: Column, pos: Column) -> Column:
+    """Page and place on it as one number, of which hash tables can keep the largest."""
+    return seq.cast("decimal(20,0)") * F.lit(1 << 31) + pos
 
 
 def latest_products(accepted: DataFrame) -> DataFrame:
@@ -72,8 +79,10 @@ def latest_variants(accepted: DataFrame) -> DataFrame:
     """Variants of all pages of the run, values from the last place they were listed."""
     rows = explode_items(accepted, "variants", "v", "source_url", "seq")
     flat = rows.select("source_url", "v.source_key", "seq", "pos", *(f"v.{c}" for c in VARIANT_VALUES))
-    key = ["source_url", "source_key"]
-    return latest_per_key(flat, key, F.struct("seq", "pos")).drop("pos")
+    seq, pos = F.col("seq"), F.col("pos")
+    numbered = dict(flat.dtypes)["seq"] in ("int", "bigint")
+    order = place_in_run(seq, pos) if numbered else F.struct(seq, pos)
+    return latest_per_key(flat, ["source_url", "source_key"], order).drop("pos")
 
 
 def _pick(present: Column, incoming: str, stored: str, names: tuple[str, ...]) -> list[Column]:

@@ -122,6 +122,9 @@ ACCEPTED = T.StructType(
     ]
 )
 
+# The same in the batches of a stream: ``row`` tells pages of equal ``seq`` apart.
+STREAMED = T.StructType([*ACCEPTED.fields, T.StructField("row", T.LongType())])
+
 # What became of the pages of a run.
 OUTCOMES = T.StructType(
     [

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from offerlake.operators import extract, ledger, quality
 from offerlake.operators.merge import RunStamp, apply_run
-from offerlake.schemas import ACCEPTED, OUTCOMES
+from offerlake.schemas import OUTCOMES, STREAMED
 from offerlake.session import materialize
 from offerlake.sources.snapshots import Snapshot, SnapshotStore, part_of
 
@@ -33,7 +33,8 @@ def save_pages(
             return
         checked = quality.checked(extract.extract_products(batch)).persist()
         try:
-            store.write_batch(quality.accepted(checked), run.run_id, "accepted", batch_id)
+            accepted = quality.accepted(checked).withColumn("row", F.monotonically_increasing_id())
+            store.write_batch(accepted, run.run_id, "accepted", batch_id)
             store.write_batch(
                 checked.select("seq", "url", "reasons"), run.run_id, "outcomes", batch_id
             )
@@ -49,12 +50,15 @@ def save_pages(
 
 
 def _saved(store: SnapshotStore, run: RunStamp) -> DataFrame:
-    """Accepted pages of the open run; later batches come after earlier ones."""
+    """Accepted pages of the open run; later batches come after earlier ones.
+
+    Pages that a batch gives the same number come in the order they were written in.
+    """
     outcomes = _outcomes(store, run).select("batch").distinct()
-    saved = store.read_batches(run.run_id, "accepted", ACCEPTED)
+    saved = store.read_batches(run.run_id, "accepted", STREAMED)
     # Pages of a batch that broke before its outcomes were written do not count yet.
     whole = saved.join(outcomes, "batch", "left_semi")
-    return whole.withColumn("seq", F.struct("batch", "seq")).drop("batch")
+    return whole.withColumn("seq", F.struct("batch", "seq", "row")).drop("batch", "row")
 
 
 def _outcomes(store: SnapshotStore, run: RunStamp) -> DataFrame:

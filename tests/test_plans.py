@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from checks.oracle import ORACLE
 from checks.queries import QUERIES
 from offerlake.operators import extract, links, merge
+from offerlake.schemas import ACCEPTED
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -38,10 +39,25 @@ def test_listing_pages_go_to_python_once(spark, folder):
     assert plan.split("\n\n")[0].count("ArrowEvalPython") == 1 and "Exchange" not in plan
 
 
-def test_latest_per_key_reduces_before_the_shuffle(spark):
+def test_latest_per_key_sorts_no_wide_rows_to_aggregate_them(spark):
     rows = spark.range(10).select((F.col("id") % 2).alias("k"), "id", F.lit("x").alias("v"))
     plan = physical(merge.latest_per_key(rows, ["k"], F.col("id")))
-    assert "partial_max_by" in plan and "Window" not in plan
+    assert "partial_max" in plan and "SortAggregate" not in plan and "Window" not in plan
+    accepted = spark.createDataFrame([], ACCEPTED)
+    assert "SortAggregate" not in physical(merge.latest_variants(accepted))
+    assert "SortAggregate" not in physical(merge.latest_products(accepted))
+
+
+def test_latest_per_key_with_a_key_of_a_third_of_the_rows(spark):
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("k"),
+        F.expr("(id * 7919) % 3001").alias("seq"), F.concat(F.lit("v"), "id").alias("v"),
+    )
+    got = {r["k"]: (r["seq"], r["v"]) for r in merge.latest_per_key(rows, ["k"], F.col("seq")).collect()}
+    expected = {}
+    for r in rows.collect():
+        expected[r["k"]] = max(expected.get(r["k"], (-1, "")), (r["seq"], r["v"]))
+    assert got == expected
 
 
 @needs_data
