@@ -32,7 +32,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 LEXICON_WORDS = 40_000
 LEXICON_BYTES = 24
 #: Words a Python worker remembers beside the automaton.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 #: Distinct words that a task counts before it hands its counts over.
 COUNTED_WORDS = 100_000
 

@@ -375,7 +375,7 @@ def keep_one_of_each(
 ) -> DataFrame:
     """The rows of ``docs``, all columns, with the texts that are left."""
     names = docs.columns
-    at = names.index(text_col)
+    at, numbers = names.index(text_col), [f"c{k}" for k in range(len(names))]
 
     def run(batches):
         for batch in batches:
@@ -384,7 +384,10 @@ def keep_one_of_each(
             columns[at] = pa.array([without(t, d) for t, d in pairs], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return with_lines_to_drop(docs, id_col, text_col).mapInArrow(run, docs.schema)
+    # The columns of the documents may bear any name, also those of the results.
+    numbered = docs.toDF(*numbers)
+    joined = with_lines_to_drop(numbered, numbers[names.index(id_col)], numbers[at])
+    return joined.mapInArrow(run, docs.schema)
 
 
 def without_repeated_lines(

@@ -18,8 +18,8 @@ OFFSETS = tuple(
     (a, b, DECAY ** (b - 2)) for b in range(2, 3 + GAPS) for a in range(1, b)
 )
 SYMBOLS = 32
-#: Letters of words that are compared at a time.
-LETTERS = 1 << 17
+#: Letters of words that are compared at a time, and words whose triples are weighed at a time.
+LETTERS, WEIGHED = 1 << 16, 512
 #: Likeness under which a word counts as unlike a landmark, whatever its chance triples are.
 FLOOR = 0.45
 
@@ -141,12 +141,12 @@ class Landmarks:
         # Fewer than two of a landmark's triples are chance.
         many = np.diff(np.concatenate([starts, [len(who)]])) >= 2
         result: dict[int, np.ndarray] = {}
-        for at in range(0, len(starts), 4096):
-            part = starts[at : at + 4096]
-            end = starts[at + 4096] if at + 4096 < len(starts) else len(who)
+        for at in range(0, len(starts), WEIGHED):
+            part = starts[at : at + WEIGHED]
+            end = starts[at + WEIGHED] if at + WEIGHED < len(starts) else len(who)
             values = self.table[triple[part[0] : end]] * weight[part[0] : end, None]
             sums = np.minimum(1.0, np.add.reduceat(values, part - part[0]) / self.own)
             sums = np.where(sums < FLOOR, 0, sums**2)
-            for k in np.flatnonzero(sums.any(1) & many[at : at + 4096]):
+            for k in np.flatnonzero(sums.any(1) & many[at : at + WEIGHED]):
                 result[int(who[part[k]])] = sums[k].astype(np.float32)
         return result
