@@ -4,9 +4,8 @@ Each stage reads what the one before it wrote, works on all of it, and returns t
 ``documents``, the last one the tokens' digests per document.
 
 Defined results: a null text is clean, has no lines, shares the fingerprint of empty texts and has
-no tokens; a document with a null id is kept unless a group of near copies has another; repeated
-rows are one group of near copies; an empty table gives no rows; further columns of any name are
-kept as they are until the last stage.
+no tokens; near copies without an id all stay; rows of one id stay or go together; an empty table
+gives no rows; further columns of any name are kept as they are until the last stage.
 """
 
 from __future__ import annotations
