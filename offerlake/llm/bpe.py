@@ -15,7 +15,7 @@ import json
 import re
 import unicodedata
 from collections import Counter
-from itertools import chain, repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,9 @@ MEMO_WORDS = 250_000
 #: Distinct words that a task counts before it hands its counts over.
 COUNTED_WORDS = 100_000
 
+#: Words of a task that are turned into ids at a time, and characters from which the words of a
+#: text come in several lists.
+PUT_TOGETHER, LONG_TEXT = 1 << 17, 1 << 20
 #: Words or tokens whose ids or bytes are put together at a time.
 GATHERED = 1 << 17
 #: Widths in bytes of words that are merged side by side; longer ones go alone.
@@ -209,17 +212,26 @@ class Splitter:
             self.library = ByteLevel(add_prefix_space=False, use_regex=True)
         return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
 
+    def lists(self, text: str):
+        """The words of a text, those of a long one in several lists."""
+        if len(text) <= LONG_TEXT or not self.unsure.isdisjoint(text):
+            yield self.pieces(text)
+            return
+        words = (found.group() for found in self.words.finditer(text))
+        while some := list(islice(words, PUT_TOGETHER)):
+            yield some
+
     def parts(self, text: str):
         """Lists of words and, between them, ids of special texts."""
         at = 0
         if self.cut:
             for found in self.cut.finditer(text):
                 if found.start() > at:
-                    yield self.pieces(text[at : found.start()])
+                    yield from self.lists(text[at : found.start()])
                 yield self.special[found.group()]
                 at = found.end()
         if at < len(text):
-            yield self.pieces(text[at:] if at else text)
+            yield from self.lists(text[at:] if at else text)
 
 
 def gathered(
@@ -362,6 +374,37 @@ def build_lexicon(words: list[bytes], vocabulary_file: str) -> bytes:
     return compile_lexicon({w: list(vocabulary.merge(w)) for w in words if w})
 
 
+def ids_of(
+    texts: list[str | None], splitter: Splitter, memo: Memo, lexicon: Lexicon
+) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts side by side, and the bounds of each text's ids in them."""
+    pieces: list[str | int] = []
+    marks: list[int] = []  # where texts end in ``pieces``
+    parts, ends, done = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
+
+    def put_together():
+        nonlocal done
+        numbers = memo.numbers(pieces, lexicon)
+        ids, piece_ends = gathered(memo.ids, memo.starts[numbers], memo.sizes[numbers])
+        ends.append(done + np.concatenate([[0], piece_ends])[marks].astype(np.int64))
+        parts.append(ids)
+        done += len(ids)
+        pieces.clear()
+        marks.clear()
+
+    for text in texts:
+        for part in splitter.parts(text) if text else ():
+            if isinstance(part, int):
+                pieces.append(part)
+            else:
+                pieces += part
+            if len(pieces) >= PUT_TOGETHER:
+                put_together()
+        marks.append(len(pieces))
+    put_together()
+    return np.concatenate(parts), np.concatenate(ends)
+
+
 def encode(
     docs: DataFrame,
     vocabulary_file: str,
@@ -379,18 +422,7 @@ def encode(
         splitter = _once("splitter", content.value, lambda: Splitter(vocabulary))
         known = _once("lexicon", block.value, lambda: Lexicon(block.value))
         memo = _once("memo", content.value, lambda: Memo(vocabulary))
-        pieces: list[str | int] = []
-        ends = [0]
-        for text in batch.column(1).to_pylist():
-            for part in splitter.parts(text) if text else ():
-                if isinstance(part, int):
-                    pieces.append(part)
-                else:
-                    pieces += part
-            ends.append(len(pieces))
-        numbers = memo.numbers(pieces, known)
-        ids, id_ends = gathered(memo.ids, memo.starts[numbers], memo.sizes[numbers])
-        offsets = np.concatenate([[0], id_ends])[ends]
+        ids, offsets = ids_of(batch.column(1).to_pylist(), splitter, memo, known)
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
         yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[id_col, "ids"])
 

@@ -168,14 +168,14 @@ def blocks(rows: DataFrame) -> DataFrame:
     ).withColumn("cell", F.xxhash64("key", "one", "two"))
 
 
-def meets_here(keys: np.ndarray, i: np.ndarray, j: np.ndarray, key: np.uint64) -> np.ndarray:
-    """Whether ``key`` is the smallest key that rows i and j of ``keys`` have in common."""
+def meets_here(keys: np.ndarray, i: np.ndarray, j: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether a pair's ``key`` is the smallest key that rows i and j of ``keys`` have in common."""
     here = np.empty(len(i), bool)
     most = np.uint64(2**64 - 1)
     for at in range(0, len(i), 4096):
         one, two = keys[i[at : at + 4096]], keys[j[at : at + 4096]]
         common = (one[:, :, None] == two[:, None, :]).any(2)
-        here[at : at + 4096] = np.where(common, one, most).min(1) == key
+        here[at : at + 4096] = np.where(common, one, most).min(1) == key[at : at + 4096]
     return here
 
 
@@ -191,46 +191,67 @@ def lowest_reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return lowest
 
 
+def linked_pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of rows of one cell that link."""
+    vectors = _matrix(rows.column("vector"))
+    own = rows.column("own").to_numpy()
+    one, two = rows.column("one")[0].as_py(), rows.column("two")[0].as_py()
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    left, right = np.flatnonzero(own == one), np.flatnonzero(own == two)
+    i, j = np.nonzero(unit[left] @ unit[right].T >= THRESHOLD)
+    i, j = left[i], right[j]
+    return (i[i < j], j[i < j]) if one == two else (i, j)
+
+
+def keys_of(rows: pa.Table) -> np.ndarray:
+    """All keys of each row, vectors of one length at a time."""
+    sizes = rows.column("vector").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+    keys = np.empty((len(sizes), TABLES * PROBES), np.uint64)
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        part = rows.take(pa.array(at))
+        keys[at] = with_place(bucket_keys(_matrix(part.column("vector"))), part.column("place").to_numpy(), size)
+    return keys
+
+
 def compared(cells: DataFrame) -> DataFrame:
-    """(u, n, v): links counted for u in one cell, and a vector v that they connect it with."""
-
-    def one_cell(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        vectors = _matrix(rows.column("vector"))
-        u, m, own = (rows.column(c).to_numpy() for c in ("u", "m", "own"))
-        one, two = rows.column("one")[0].as_py(), rows.column("two")[0].as_py()
-        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        left, right = np.flatnonzero(own == one), np.flatnonzero(own == two)
-        i, j = np.nonzero(unit[left] @ unit[right].T >= THRESHOLD)
-        i, j = left[i], right[j]
-        if one == two:
-            i, j = i[i < j], j[i < j]
+    """(u, n, v): links counted for u in one cell, and a vector v that they connect it with.
+
+    A pair counts in the cell of the smallest key it has in common. The keys of all rows with
+    links are made anew for many cells at a time, rather than sent along with every row.
+    """
+
+    def counted(table: pa.Table, bounds: list[tuple[int, int]]) -> pa.RecordBatch | None:
+        found = [(a, *linked_pairs(table.slice(a, b - a))) for a, b in bounds if b - a > 1]
+        i = np.concatenate([a + one for a, one, _ in found] or [np.zeros(0, np.int64)])
+        j = np.concatenate([a + two for a, _, two in found] or [np.zeros(0, np.int64)])
         if not len(i):
             return None
-        place = rows.column("place").to_numpy()
-        keys = with_place(bucket_keys(vectors), place, vectors.shape[1])
-        here = meets_here(keys, i, j, rows.column("key").to_numpy().view(np.uint64)[0])
+        used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+        table = table.take(pa.array(used))
+        i, j = place[: len(i)], place[len(i) :]
+        key = table.column("key").to_numpy().view(np.uint64)
+        here = meets_here(keys_of(table), i, j, key[i])
         i, j = i[here], j[here]
+        u, m = (table.column(c).to_numpy() for c in ("u", "m"))
         counts = np.zeros(len(u), np.int64)
         np.add.at(counts, i, m[j])
         np.add.at(counts, j, m[i])
         linked = np.flatnonzero(counts)
-        return u[linked], counts[linked], u[lowest_reached(len(u), i, j)][linked]
+        lowest = u[lowest_reached(len(u), i, j)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(u[linked]), pa.array(counts[linked]), pa.array(lowest[linked])],
+            names=["u", "n", "v"],
+        )
 
     def run(batches):
         for table in whole_groups(batches, "cell", GROUP_ROWS):
             cell, key = table.column("cell").to_numpy(), table.column("key").to_numpy()
             changes = (cell[1:] != cell[:-1]) | (key[1:] != key[:-1])
-            edges = np.flatnonzero(np.concatenate([[True], changes, [True]]))
-            found = [
-                got
-                for a, b in zip(edges[:-1], edges[1:], strict=True)
-                if b - a > 1 and (got := one_cell(table.slice(a, b - a))) is not None
-            ]
-            if found:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in zip(*found, strict=True)],
-                    names=["u", "n", "v"],
-                )
+            edges = np.flatnonzero(np.concatenate([[True], changes, [True]])).tolist()
+            got = counted(table, list(zip(edges[:-1], edges[1:], strict=True)))
+            if got is not None:
+                yield got
 
     dealt = cells.repartition("cell").sortWithinPartitions("cell", "key", "one", "two")
     return dealt.mapInArrow(run, "u bigint, n bigint, v bigint")

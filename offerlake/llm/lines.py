@@ -44,6 +44,8 @@ BINS = BANDS * BAND_BINS
 CELLS = 128
 MOST = np.iinfo(np.uint8).max
 GROUP_ROWS = 100_000
+#: Lines of a block of a large bucket.
+BUCKET_BLOCK = 2000
 #: Lines of a bucket whose counts are compared with all others of it at a time.
 COMPARED = 128
 #: Characters of lines that a task hashes together, and lines: each takes ``BINS`` bins several
@@ -218,46 +220,81 @@ def counts_of(texts: DataFrame) -> DataFrame:
     return texts.select("line", "text").mapInArrow(run, "line bigint, cells binary, size bigint")
 
 
+def block_pairs(rows: DataFrame) -> DataFrame:
+    """The rows with a cell each time: a whole bucket, or two blocks of a large one.
+
+    ``one`` and ``two`` are the blocks of the cell, ``own`` the block of the row.
+    """
+    large = (
+        rows.groupBy("key")
+        .agg(F.count("*").alias("n"))
+        .where(F.col("n") > BUCKET_BLOCK)
+        .select("key", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("parts"))
+    )
+    placed = rows.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.hash("line"), F.col("parts")).alias("own")
+    cells = placed.select(
+        *rows.columns, own, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    )
+    return cells.select(
+        *rows.columns, "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two")
+    ).withColumn("cell", F.xxhash64("key", "one", "two"))
+
+
 def maybe_alike(rows: DataFrame) -> DataFrame:
     """(a, b): lines of one bucket and different components that may be alike.
 
-    All pairs with the similarity asked for are among them. A bucket is compared a block of
-    its lines at a time; only pairs that may be links leave the task.
+    All pairs with the similarity asked for are among them. A bucket of very many lines is
+    dealt out as pairs of its blocks; a cell is compared ``COMPARED`` of its lines at a time,
+    and only pairs that may be links leave the task.
     """
 
-    def pairs_of(lines: np.ndarray, components: np.ndarray, cells: np.ndarray, sizes: np.ndarray):
-        # Shingles that a full cell does not count may all be common ones.
-        beyond = sizes - cells.sum(axis=1, dtype=np.int64)
-        columns = np.ascontiguousarray(cells.T)
-        for at in range(0, len(lines), COMPARED):
-            block = slice(at, at + COMPARED)
-            common = np.zeros((len(lines[block]), len(lines)), np.int32)
-            for column in columns:
-                common += np.minimum(column[block, None], column[None, :])
-            common += np.minimum(beyond[block, None], beyond[None, :]).astype(np.int32)
-            least = SIMILARITY / (1 + SIMILARITY) * (sizes[block, None] + sizes[None, :])
-            near = (common >= least - 1e-6) & (components[block, None] != components[None, :])
-            i, j = np.nonzero(near & (lines[block, None] < lines[None, :]))
-            yield lines[at + i], lines[j]
+    def pairs_of(left: dict[str, np.ndarray], right: dict[str, np.ndarray], same: bool):
+        columns = np.ascontiguousarray(right["cells"].T)
+        for at in range(0, len(left["line"]), COMPARED):
+            block = {name: values[at : at + COMPARED, None] for name, values in left.items() if name != "cells"}
+            cells = left["cells"][at : at + COMPARED]
+            common = np.zeros((len(cells), len(right["line"])), np.int32)
+            for k, column in enumerate(columns):
+                common += np.minimum(cells[:, k, None], column[None, :])
+            # Shingles that a full cell does not count may all be common ones.
+            common += np.minimum(block["beyond"], right["beyond"]).astype(np.int32)
+            least = SIMILARITY / (1 + SIMILARITY) * (block["size"] + right["size"])
+            near = (common >= least - 1e-6) & (block["component"] != right["component"])
+            if same:
+                near &= block["line"] < right["line"]
+            i, j = np.nonzero(near)
+            one, two = left["line"][at + i], right["line"][j]
+            yield np.minimum(one, two), np.maximum(one, two)
 
     def run(batches):
-        for table in whole_groups(batches, "key", GROUP_ROWS // 10):
-            keys, lines, components, sizes = (
-                table.column(c).to_numpy() for c in ("key", "line", "component", "size")
-            )
+        for table in whole_groups(batches, "cell", GROUP_ROWS // 10):
+            values = {
+                c: table.column(c).to_numpy()
+                for c in ("cell", "key", "line", "component", "size", "own", "one", "two")
+            }
             raw = b"".join(table.column("cells").to_pylist())
-            cells = np.frombuffer(raw, np.uint8).reshape(-1, CELLS)
-            edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
-            found = [
-                pair
-                for a, b in zip(edges[:-1], edges[1:], strict=True)
-                for pair in pairs_of(lines[a:b], components[a:b], cells[a:b], sizes[a:b])
-            ]
-            one, two = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], names=["a", "b"])
-
-    dealt = rows.select("key", "line", "component", "cells", "size").repartition("key")
-    return dealt.sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
+            values["cells"] = np.frombuffer(raw, np.uint8).reshape(-1, CELLS)
+            values["beyond"] = values["size"] - values["cells"].sum(axis=1, dtype=np.int64)
+            changes = np.zeros(len(table) - 1, bool)
+            for name in ("cell", "key", "one", "two"):
+                changes |= values[name][1:] != values[name][:-1]
+            edges = np.flatnonzero(np.concatenate([[True], changes, [True]])).tolist()
+            found = []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                part = {name: column[a:b] for name, column in values.items()}
+                one, two = part["one"][0], part["two"][0]
+                left, right = (
+                    {n: c[part["own"] == block] for n, c in part.items()} for block in (one, two)
+                )
+                found += pairs_of(left, right, one == two)
+            if found:
+                one, two = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], names=["a", "b"])
+
+    dealt = block_pairs(rows.select("key", "line", "component", "cells", "size")).repartition("cell")
+    ordered = dealt.sortWithinPartitions("cell", "key", "one", "two")
+    return ordered.mapInArrow(run, "a bigint, b bigint")
 
 
 @lru_cache(maxsize=4)

@@ -76,6 +76,26 @@ def test_lines_of_tangled_texts(spark):
     assert len(got ^ expected) <= 2, got ^ expected  # a pair may share no band
 
 
+def test_line_query(spark, tmp_path):
+    rnd = random.Random(8)
+    bases = ["".join(rnd.choices("abcdefgh ", k=80)) for _ in range(12)]
+    rows = []
+    for k in range(60):
+        text = [rnd.choice(["", " "]) + rnd.choice(bases) + rnd.choice(["", "", "x"]) for _ in range(rnd.randrange(6))]
+        rows.append((k, "\n".join([*text, f"own line {k} " * 9, "***"])))
+    rows += [(100, None), (101, ""), (102, "\n"), (None, bases[0])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    expected = []
+    for (i, text), (_, kept) in zip(sorted(rows, key=str), sorted(brute_lines(rows), key=lambda r: str((r[0],))), strict=True):
+        assert i == _
+        n, left = (len(t.split("\n")) if t else 0 for t in (text, kept))
+        # A text without any line left has one fewer than its parts say.
+        gone = n if text and not kept and n - left == n - 1 and text.strip() else n - left
+        expected.append((i, n, gone, hashlib.sha256((kept or "").encode()).hexdigest()))
+    got = [tuple(r) for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+
+
 def test_repeated_rows_and_empty_tables(spark):
     frame = spark.createDataFrame([(1, "one line\none line")] * 2, "doc_id long, text string")
     assert [r.text for r in lines.keep_one_of_each(frame).collect()] == ["one line"] * 2
@@ -115,9 +135,11 @@ def pairs_of(df):
     return sorted((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
 
 
-def test_short_lines_of_one_bucket_are_all_compared(spark):
+@pytest.mark.parametrize("block", [2000, 3])
+def test_short_lines_of_one_bucket_are_all_compared(spark, monkeypatch, block):
     """Every pair that shares a bucket and is similar is in one component, also where few
-    shingles leave most bins empty."""
+    shingles leave most bins empty, and where a bucket is dealt out in blocks."""
+    monkeypatch.setattr(lines, "BUCKET_BLOCK", block)
     rnd = random.Random(12)
     texts = set()
     for _ in range(250):

@@ -323,6 +323,31 @@ def test_bpe_of_any_characters():
     assert merged == {k: vocabulary.merge(w) for k, w in enumerate(words)}
 
 
+def test_bpe_a_few_words_at_a_time(monkeypatch):
+    """The memo is forgotten, texts end, and long texts go on, in the middle of a batch."""
+    for name, value in (("PUT_TOGETHER", 7), ("LONG_TEXT", 40), ("GATHERED", 3), ("MEMO_WORDS", 20)):
+        monkeypatch.setattr(bpe, name, value)
+    file = bpe.tokenizer_file()
+    vocabulary = bpe.Vocabulary(file)
+    splitter, memo = bpe.Splitter(vocabulary), bpe.Memo(vocabulary)
+    lexicon = bpe.Lexicon(bpe.build_lexicon([b" the", b" gate", b"s"], file))
+    rnd = random.Random(9)
+    words = [" the", " gate", "s", " unseen", "<|endoftext|>", "\n", " é漢", " 12"]
+    texts = [None, "", *("".join(rnd.choices(words, k=rnd.randrange(60))) for _ in range(80)), ""]
+    for _ in range(2):
+        ids, bounds = bpe.ids_of(texts, splitter, memo, lexicon)
+        assert len(bounds) == len(texts) + 1
+        for text, a, b in zip(texts, bounds, bounds[1:], strict=False):
+            wanted = []
+            for part in splitter.parts(text or ""):
+                wanted += [part] if isinstance(part, int) else [i for w in part for i in vocabulary.merge(w.encode())]
+            assert ids[a:b].tolist() == wanted
+    table = bpe.TokenBytes(vocabulary)
+    data, ends = bpe.gathered(table.bytes, table.starts[ids], table.sizes[ids])
+    assert data.tobytes().decode() == "".join(t or "" for t in texts)
+    assert bpe.gathered(table.bytes, np.zeros(0, np.int64), np.zeros(0, np.int64))[0].size == 0
+
+
 def test_decoding_any_ids(spark):
     rows = [(1, [15496, 50256, None, 99999, 222]), (2, None), (3, []), (4, [15496])]
     frame = spark.createDataFrame(rows, "doc_id long, ids array<int>")
