@@ -30,6 +30,10 @@ from offerlake.schemas import BRAND_LABEL, GROUP_TYPE, SINGLE_TYPE, VARIANT
 # are flattened by a Python function instead, so depth is no limit on the result.
 NESTING = 4
 
+# Marks of a description: the attribute with its value, or with a value that has a character
+# reference and may be read as it.
+_DESCRIPTION = r"""itemprop\s*=\s*["']?(?:description|[^"'>\s]*&)"""
+
 _NODE = "struct<node:variant,type:variant,more:boolean>"
 _NODE_FIELDS = (
     "name",
@@ -250,7 +254,7 @@ def extract_products(pages: DataFrame) -> DataFrame:
     projections it depends on and would evaluate them twice.
     """
     kept = [name for name in pages.columns if name != "html"]
-    dom = dom_fields(F.col("html"), "itemprop", "product-specification")
+    dom = dom_fields(F.col("html"), _DESCRIPTION, "product-specification")
     fields = with_variants(pages.withColumn("dom", dom)).select(
         *kept,
         "node",
