@@ -405,17 +405,10 @@ def ids_of(
     return np.concatenate(parts), np.concatenate(ends)
 
 
-def encode(
-    docs: DataFrame,
-    vocabulary_file: str,
-    lexicon: bytes,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """(id, ids array<int>) of every row; ``lexicon`` as ``build_lexicon`` gives it."""
+def _encoding(docs: DataFrame, vocabulary_file: str, lexicon: bytes, id_col: str):
+    """A step from a batch (id, text) to one (id, ids)."""
     context = docs.sparkSession.sparkContext
     content, block = context.broadcast(vocabulary_file), context.broadcast(lexicon)
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def step(batch):
         vocabulary = _once("vocabulary", content.value, lambda: Vocabulary(content.value))
@@ -426,16 +419,12 @@ def encode(
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
         yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[id_col, "ids"])
 
-    return map_arrow(docs.select(id_col, text_col), step, f"`{id_col}` {kind}, ids array<int>")
-
+    return step
 
-def decode(encoded: DataFrame, vocabulary_file: str, id_col: str = "doc_id") -> DataFrame:
-    """(id, ids, decoded): bytes of the ids put together and read as UTF-8.
 
-    Bytes that are no UTF-8 become U+FFFD, as other lists of ids than a text's may give.
-    """
-    content = encoded.sparkSession.sparkContext.broadcast(vocabulary_file)
-    kind = encoded.schema[id_col].dataType.simpleString()
+def _decoding(docs: DataFrame, vocabulary_file: str, id_col: str):
+    """A step from a batch (id, ids) to one (id, ids, decoded)."""
+    content = docs.sparkSession.sparkContext.broadcast(vocabulary_file)
 
     def step(batch):
         vocabulary = _once("vocabulary", content.value, lambda: Vocabulary(content.value))
@@ -450,10 +439,53 @@ def decode(encoded: DataFrame, vocabulary_file: str, id_col: str = "doc_id") ->
             [batch.column(0), ids, texts_of(data, bounds)], names=[id_col, "ids", "decoded"]
         )
 
+    return step
+
+
+def encode(
+    docs: DataFrame,
+    vocabulary_file: str,
+    lexicon: bytes,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """(id, ids array<int>) of every row; ``lexicon`` as ``build_lexicon`` gives it."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    step = _encoding(docs, vocabulary_file, lexicon, id_col)
+    return map_arrow(docs.select(id_col, text_col), step, f"`{id_col}` {kind}, ids array<int>")
+
+
+def decode(encoded: DataFrame, vocabulary_file: str, id_col: str = "doc_id") -> DataFrame:
+    """(id, ids, decoded): bytes of the ids put together and read as UTF-8.
+
+    Bytes that are no UTF-8 become U+FFFD, as other lists of ids than a text's may give.
+    """
+    kind = encoded.schema[id_col].dataType.simpleString()
+    step = _decoding(encoded, vocabulary_file, id_col)
     schema = f"`{id_col}` {kind}, ids array<int>, decoded string"
     return map_arrow(encoded.select(id_col, "ids"), step, schema)
 
 
+def round_trip(
+    docs: DataFrame,
+    vocabulary_file: str,
+    lexicon: bytes,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """``decode`` of ``encode`` in one Python worker, which needs the vocabulary once."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    encoding = _encoding(docs, vocabulary_file, lexicon, id_col)
+    decoding = _decoding(docs, vocabulary_file, id_col)
+
+    def step(batch):
+        for encoded in encoding(batch):
+            yield from decoding(encoded)
+
+    schema = f"`{id_col}` {kind}, ids array<int>, decoded string"
+    return map_arrow(docs.select(id_col, text_col), step, schema)
+
+
 def tokenizer_file(path: str | None = None) -> str:
     """Content of a tokenizer file; without a path, the installed byte-level vocabulary."""
     if path is None:

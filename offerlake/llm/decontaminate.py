@@ -3,7 +3,7 @@
 A shard is one batch of documents inside a task; documents are not shuffled. Words that no
 item has cannot be part of a window and only separate passages, so they are left out of the
 index. The items come in blocks of bounded size; each block is one more pass over the shard
-in the same stage, and is sent to the tasks.
+in the same worker, and is sent to the tasks.
 
 Defined results: a null or empty text has no words and no hits; an item without words (or a
 null text) has no windows; an item of fewer words than a window is one window; windows of a
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlake.llm.common import ALNUM_WORD, bound_batches, lower_bytes, map_arrow
+from offerlake.llm.common import ALNUM_WORD, lower_bytes, map_arrow
 from offerlake.llm.fm_index import FMIndex
 
 WINDOW = 10
@@ -140,67 +140,37 @@ def without_words(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     return b"".join([*kept, raw[at:]]).decode()
 
 
-def _passes(
+def _finder(
     docs: DataFrame,
-    text_col: str,
     benchmark: DataFrame,
     item_col: str,
     item_text_col: str,
     window: int,
     block_words: int,
-) -> DataFrame:
-    """All columns of ``docs``, and last n_words, spans and items; one map per block."""
-    bound_batches(docs.sparkSession)
-    at, lead = docs.columns.index(text_col), len(docs.columns)
-    columns = [*docs.columns, "_n_words", "_spans", "_items"]
-    base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    schema = (
-        f"{base}, _n_words bigint, _spans array<struct<start:bigint,end:bigint>>, "
-        "_items array<string>"
-    )
-
-    def passing(sent):
-        def step(batch):
-            texts = [ALNUM_WORD.findall(lower_bytes(t)) for t in batch.column(at).to_pylist()]
-            spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-            items: list[set[str]] = [set() for _ in texts]
-            if batch.num_columns > lead:
-                before = zip(
-                    batch.column(lead + 1).to_pylist(),
-                    batch.column(lead + 2).to_pylist(),
-                    strict=True,
-                )
-                for k, (s, i) in enumerate(before):
-                    spans[k] = [(x["start"], x["end"]) for x in s]
-                    items[k] = set(i)
-            if sent is not None:
-                block = sent.value
-                starts, ends, pairs = find(block, texts)
-                limits = np.cumsum([0] + [len(w) + 1 for w in texts])
-                owners = np.searchsorted(limits, starts, side="right") - 1
-                for k, a, b in zip(owners.tolist(), starts.tolist(), ends.tolist(), strict=True):
-                    spans[k].append((a - int(limits[k]), b - int(limits[k])))
-                for k, i in pairs.tolist():
-                    items[k].add(block.names[i])
-            merged = [[{"start": a, "end": b} for a, b in merge_spans(s)] for s in spans]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns[:lead],
-                    pa.array([len(w) for w in texts], pa.int64()),
-                    pa.array(merged, SPANS),
-                    pa.array([list(i) for i in items], pa.list_(pa.string())),
-                ],
-                names=columns,
-            )
-
-        return step
-
+):
+    """A function from texts to their words, merged spans and items, one block after the other
+    in the same worker."""
     context = docs.sparkSession.sparkContext
-    found, blocks = docs, 0
-    for block in item_blocks(benchmark, item_col, item_text_col, window, block_words):
-        found = map_arrow(found, passing(context.broadcast(block)), schema)
-        blocks += 1
-    return found if blocks else map_arrow(found, passing(None), schema)
+    sent = [
+        context.broadcast(block)
+        for block in item_blocks(benchmark, item_col, item_text_col, window, block_words)
+    ]
+
+    def run(column: pa.Array) -> tuple[list[int], list[list[tuple[int, int]]], list[list[str]]]:
+        texts = [ALNUM_WORD.findall(lower_bytes(t)) for t in column.to_pylist()]
+        spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+        items: list[set[str]] = [set() for _ in texts]
+        limits = np.cumsum([0] + [len(w) + 1 for w in texts])
+        for block in (x.value for x in sent):
+            starts, ends, pairs = find(block, texts)
+            owners = np.searchsorted(limits, starts, side="right") - 1
+            for k, a, b in zip(owners.tolist(), starts.tolist(), ends.tolist(), strict=True):
+                spans[k].append((a - int(limits[k]), b - int(limits[k])))
+            for k, i in pairs.tolist():
+                items[k].add(block.names[i])
+        return [len(w) for w in texts], [merge_spans(s) for s in spans], [list(i) for i in items]
+
+    return run
 
 
 def contamination(
@@ -218,14 +188,26 @@ def contamination(
     Spans count words from 0, ends are exclusive; they do not touch each other. Items are the
     distinct ids of items with a window in the text, as strings in no given order.
     """
-    rows = docs.select(id_col, text_col)
-    found = _passes(rows, text_col, benchmark, item_col, item_text_col, window, block_words)
-    return found.select(
-        id_col,
-        F.col("_n_words").alias("n_words"),
-        F.col("_spans").alias("spans"),
-        F.col("_items").alias("items"),
+    kind = docs.schema[id_col].dataType.simpleString()
+    found_in = _finder(docs, benchmark, item_col, item_text_col, window, block_words)
+
+    def step(batch):
+        sizes, spans, items = found_in(batch.column(1))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0),
+                pa.array(sizes, pa.int64()),
+                pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], SPANS),
+                pa.array(items, pa.list_(pa.string())),
+            ],
+            names=[id_col, "n_words", "spans", "items"],
+        )
+
+    schema = (
+        f"`{id_col}` {kind}, n_words bigint, spans array<struct<start:bigint,end:bigint>>, "
+        "items array<string>"
     )
+    return map_arrow(docs.select(id_col, text_col), step, schema)
 
 
 def decontaminate(
@@ -239,19 +221,14 @@ def decontaminate(
 ) -> DataFrame:
     """The rows of ``docs``, all columns, with texts without the words that windows cover."""
     names = docs.columns
-    at, lead = names.index(text_col), len(names)
-    # The columns of the documents may bear any name, also those of the results.
-    numbered = docs.toDF(*(f"c{k}" for k in range(lead)))
-    found = _passes(numbered, f"c{at}", benchmark, item_col, item_text_col, window, block_words)
+    at = names.index(text_col)
+    found_in = _finder(docs, benchmark, item_col, item_text_col, window, block_words)
 
     def step(batch):
-        spans = batch.column(lead + 1).to_pylist()
-        texts = [
-            without_words(t, [(x["start"], x["end"]) for x in s])
-            for t, s in zip(batch.column(at).to_pylist(), spans, strict=True)
-        ]
-        columns = batch.columns[:lead]
-        columns[at] = pa.array(texts, pa.string())
+        _, spans, _ = found_in(batch.column(at))
+        columns = batch.columns
+        texts = zip(columns[at].to_pylist(), spans, strict=True)
+        columns[at] = pa.array([without_words(t, s) for t, s in texts], pa.string())
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return map_arrow(found, step, docs.schema)
+    return map_arrow(docs, step, docs.schema)

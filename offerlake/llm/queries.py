@@ -86,7 +86,7 @@ def token_digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Every text as ids and back: their number and digests."""
     file = bpe.tokenizer_file(tokenizer)
     lexicon = bpe.build_lexicon(bpe.frequent_words(docs, file), file)
-    coded = bpe.decode(bpe.encode(docs, file, lexicon), file)
+    coded = bpe.round_trip(docs, file, lexicon)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
