@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from offerlake.llm.common import map_arrow
 from offerlake.llm.lexicon import Lexicon, compile_lexicon
+from offerlake.session import discard, materialize
 
 #: Fixed: the pattern byte-level vocabularies of this kind split words by.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -364,9 +365,20 @@ def word_counts(docs: DataFrame, vocabulary_file: str, text_col: str = "text") -
 
 def frequent_words(docs: DataFrame, vocabulary_file: str, text_col: str = "text") -> list[bytes]:
     """The ``LEXICON_WORDS`` most frequent words: what the automaton is to hold, at most."""
-    counts = word_counts(docs, vocabulary_file, text_col)
-    top = counts.orderBy(F.desc("count"), "word").limit(LEXICON_WORDS)
-    return [bytes(r.word) for r in top.select("word").collect()]
+    counts = materialize(word_counts(docs, vocabulary_file, text_col), "word-counts")
+    # At most 63 rows: how many words there are of each order of magnitude of two. Only words
+    # of an order that can matter are ranked, so tasks do not send as many words each.
+    size = F.floor(F.log2("count")).cast("int")
+    orders = counts.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect()
+    least, words = 0, 0
+    for row in orders:
+        least, words = row["size"], words + row["count"]
+        if words >= LEXICON_WORDS:
+            break
+    top = counts.where(size >= least).orderBy(F.desc("count"), "word").limit(LEXICON_WORDS)
+    found = [bytes(r.word) for r in top.select("word").collect()]
+    discard(counts)
+    return found
 
 
 def build_lexicon(words: list[bytes], vocabulary_file: str) -> bytes:
