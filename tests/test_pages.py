@@ -252,3 +252,43 @@ def test_links_do_not_depend_on_partitions(spark, partitions):
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(partitions)
     got = links.page_links(frame).orderBy("page_id", "pos").collect()
     assert [(r["page_id"], r["href"]) for r in got] == [(i, h) for i in range(20) for h in ("/a", "b?x=1&y=2")]
+
+
+def test_kinds_are_read_only_where_they_matter(spark):
+    """Most texts are their own value; only those that may be rendered or dropped ask for a kind."""
+    from offerlake.functions import variant
+
+    values = [
+        '""', '"0"', '"false"', '"[]"', '" "', '"\\n"', '"-"', '"a\\n1"', '"Item 3"', '"12\\n"', "0", "-0", "0.0",
+        "-0.0", "0e5", "12", "-7", "12.0", "12.50", "1e3", "123456789012345678", "1234567890123456789.0",
+        "true", "false", "null", "[]", "{}", "[1]", '{"a":0}', "99999999999999999999999999999999999999999",
+    ]
+    rows = spark.createDataFrame([(v,) for v in values], "t string").selectExpr("t", "parse_json(t) AS v")
+    always = {
+        "text": variant.let("read", variant._read("v"), variant._RENDERED),
+        "truthy": variant.let(
+            "read", variant._read("v"), f"CASE WHEN NOT ({variant._FALSY}) THEN {variant._RENDERED} END"
+        ),
+    }
+    found = rows.selectExpr(
+        "t",
+        f"{variant.text_of('v')} AS text",
+        f"{variant.truthy_text('v')} AS truthy",
+        *(f"{e} AS always_{n}" for n, e in always.items()),
+    ).collect()
+    for row in found:
+        assert (row["text"], row["truthy"]) == (row["always_text"], row["always_truthy"]), row["t"]
+    for read in (variant.text_of("v"), variant.truthy_text("v")):
+        assert read.index("RLIKE") < read.index("schema_of_variant")
+
+
+def test_script_bodies_are_taken_in_runs(spark):
+    from offerlake.functions import markup
+
+    assert "(.*?)" not in markup._JSON_LD
+    open_tag = '<script type="application/ld+json">'
+    bodies = ['{"a":"<b>x</b><"}', "{}</scriptx>{}", "<" * 50_000, 'a</Script', "{\n}"]
+    pages = [f"{open_tag}{b}</SCRIPT ><p></script>" for b in bodies] + [f"{open_tag}{b}" for b in bodies]
+    rows = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    found = rows.select("i", markup.jsonld_blocks(F.col("html")).alias("b")).orderBy("i").collect()
+    assert [r["b"] for r in found] == [[b] for b in bodies + bodies]
