@@ -84,3 +84,12 @@ def test_queries_match_sql(spark, name):
     from checks.compare import differences
 
     assert differences(spark, SF, name) == ""
+
+
+def test_lines_are_not_dealt_out_before_the_merges(spark, folder):
+    """The merges read the lines several times; a shuffle of the table would be made each time."""
+    from checks.queries import lines_table
+
+    spark.range(100).selectExpr("id AS l_orderkey", "id AS l_linenumber").write.parquet(f"{folder}/lineitem.parquet")
+    plan = lines_table(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
