@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checks.whole_runs import dealt_parts
 from offerlake.operators.ledger import open_run
 from offerlake.operators.merge import RunStamp
 from offerlake.session import scratch_path
@@ -38,7 +39,7 @@ def part_page(url: Column) -> Column:
 
 def stream_parts(spark: SparkSession, sf_dir: str, run: RunStamp) -> DataFrame:
     """Catalog after a stream over all parts; every third part repeats an address."""
-    parts = (
+    parts = dealt_parts(
         spark.readStream.schema(PART_SCHEMA)
         .option("pathGlobFilter", "part.parquet")
         .parquet(sf_dir)

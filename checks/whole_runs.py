@@ -22,6 +22,15 @@ LISTED = 50
 FIRST, SECOND, END = datetime(2024, 1, 1), datetime(2024, 2, 1), datetime(2024, 3, 1)
 
 
+def dealt_parts(part: DataFrame) -> DataFrame:
+    """``part`` dealt to all cores before its rows become pages.
+
+    The table is small and may be read as one split; a page takes far longer to extract than its
+    part to move.
+    """
+    return part.repartition(part.sparkSession.sparkContext.defaultParallelism, "p_partkey")
+
+
 def product_url(key: Column) -> Column:
     return F.concat(F.lit(f"{SHOP}/p/"), key)
 
@@ -115,7 +124,7 @@ def two_catalog_runs(spark: SparkSession, sf_dir: str) -> tuple[SnapshotStore, s
     The second, in three slices, finds three quarters of the products, all sound, at twice the
     price; it is a complete scan.
     """
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = dealt_parts(spark.read.parquet(f"{sf_dir}/part.parquet"))
     root = scratch_path(spark, "runs")
     store, export = SnapshotStore(spark, f"{root}/store"), f"{root}/export"
     odd = F.when(F.col("p_partkey") % 50 == 11, "EURO").otherwise("USD")
@@ -165,7 +174,7 @@ def stream_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch's number when it comes again. The second run lists three quarters of the products and
     is complete, so closing it switches off the others, which the first run has left.
     """
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = dealt_parts(spark.read.parquet(f"{sf_dir}/part.parquet"))
     root = scratch_path(spark, "streams")
     store, key = SnapshotStore(spark, f"{root}/store"), F.col("p_partkey")
     rest = left_in_second(part)

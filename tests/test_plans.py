@@ -93,3 +93,17 @@ def test_lines_are_not_dealt_out_before_the_merges(spark, folder):
     spark.range(100).selectExpr("id AS l_orderkey", "id AS l_linenumber").write.parquet(f"{folder}/lineitem.parquet")
     plan = lines_table(spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_parts_are_dealt_before_they_become_pages(spark, folder):
+    """A part table of one split gives pages in several tasks."""
+    from checks.whole_runs import dealt_parts, product_pages
+
+    rows = spark.range(200).selectExpr(
+        "id AS p_partkey", "'a' AS p_name", "'b' AS p_brand", "1 AS p_size", "2.0D AS p_retailprice"
+    )
+    rows.coalesce(1).write.parquet(f"{folder}/part.parquet")
+    part = spark.read.parquet(f"{folder}/part.parquet")
+    pages = product_pages(dealt_parts(part))
+    assert pages.select(F.spark_partition_id()).distinct().count() > 1
+    assert sorted(r["key"] for r in pages.collect()) == list(range(200))
