@@ -6,8 +6,9 @@ bins are bucket keys. Equal lines are one row from the start. In each bucket, li
 compared with one line of it, by the exact Jaccard similarity of their shingles; what that
 connects is one component. Then lines of one bucket that are still in different components are
 compared with each other: counts of their shingles bound what two lines can have in common,
-and all pairs that may reach the similarity asked for are compared exactly, so no candidate
-pair goes unanswered. Links of both passes become components by distributed union-find.
+and pairs that may reach the similarity asked for are compared exactly, unless links connect
+them already, so no candidate pair goes unanswered. Of a bucket only a forest of links leaves
+the task. Links of both passes become components by distributed union-find.
 
 A component keeps its line in the document with the smallest id, there the first one; all
 others go, with their line ends. Lines are compared without white space at their ends and as
@@ -27,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from offerlake.llm.common import bound_batches, connected, mix, signed
 from offerlake.llm.groups import whole_groups
@@ -48,6 +50,8 @@ GROUP_ROWS = 100_000
 BUCKET_BLOCK = 2000
 #: Lines of a bucket whose counts are compared with all others of it at a time.
 COMPARED = 128
+#: Shingles of lines of one bucket that are kept for further comparisons.
+HELD = 200_000
 #: Characters of lines that a task hashes together, and lines: each takes ``BINS`` bins several
 #: times over, however short it is.
 HASHED, HASHED_LINES = 1 << 19, 1 << 12
@@ -154,7 +158,8 @@ def bands_of(docs: DataFrame) -> DataFrame:
 
 
 def buckets_of(bands: DataFrame) -> DataFrame:
-    """(key, line): distinct rows of keys that several lines have."""
+    """(key, first, line): the smallest line of each key that several lines have, beside each
+    of the others."""
 
     def run(batches):
         for table in whole_groups(batches, "key", GROUP_ROWS):
@@ -162,15 +167,16 @@ def buckets_of(bands: DataFrame) -> DataFrame:
             same_key = keys[1:] == keys[:-1]
             fresh = np.concatenate([[True], ~(same_key & (lines[1:] == lines[:-1]))])
             keys, lines = keys[fresh], lines[fresh]
-            same_key = keys[1:] == keys[:-1]
-            several = np.concatenate([same_key, [False]]) | np.concatenate([[False], same_key])
-            if several.any():
+            begins = np.concatenate([[True], keys[1:] != keys[:-1]])
+            firsts = lines[begins][np.cumsum(begins) - 1]
+            if not begins.all():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[several]), pa.array(lines[several])], names=["key", "line"]
+                    [pa.array(x[~begins]) for x in (keys, firsts, lines)],
+                    names=["key", "first", "line"],
                 )
 
     dealt = bands.repartition("key").sortWithinPartitions("key", "line")
-    return dealt.mapInArrow(run, "key bigint, line bigint")
+    return dealt.mapInArrow(run, "key bigint, first bigint, line bigint")
 
 
 def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -202,57 +208,58 @@ def shingle_counts(line: str) -> tuple[np.ndarray, int]:
     return np.minimum(counts, MOST).astype(np.uint8), len(values)
 
 
-def counts_of(texts: DataFrame) -> DataFrame:
-    """(line, cells, size): the counts of a line's shingles, one byte a cell."""
+def with_counts(rows: DataFrame) -> DataFrame:
+    """``rows`` with the counts of the shingles of their ``text``, one byte a cell, and how many
+    shingles there are."""
 
     def run(batches):
         for batch in batches:
-            found = [shingle_counts(x) for x in batch.column(1).to_pylist()]
+            found = [shingle_counts(x) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    *batch.columns,
                     pa.array([cells.tobytes() for cells, _ in found], pa.binary()),
                     pa.array([size for _, size in found], pa.int64()),
                 ],
-                names=["line", "cells", "size"],
+                names=[*batch.schema.names, "cells", "size"],
             )
 
-    return texts.select("line", "text").mapInArrow(run, "line bigint, cells binary, size bigint")
+    schema = T.StructType([*rows.schema.fields, T.StructField("cells", T.BinaryType()), T.StructField("size", T.LongType())])
+    return rows.mapInArrow(run, schema)
 
 
 def block_pairs(rows: DataFrame) -> DataFrame:
-    """The rows with a cell each time: a whole bucket, or two blocks of a large one.
+    """The rows with a cell each time: a whole bucket, or two of the ``parts`` of a large one.
 
     ``one`` and ``two`` are the blocks of the cell, ``own`` the block of the row.
     """
-    large = (
-        rows.groupBy("key")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") > BUCKET_BLOCK)
-        .select("key", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("parts"))
-    )
-    placed = rows.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.hash("line"), F.col("parts")).alias("own")
-    cells = placed.select(
-        *rows.columns, own, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    cells = rows.select(
+        "*", own, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    )
+    return (
+        cells.withColumn("one", F.least("own", "other"))
+        .withColumn("two", F.greatest("own", "other"))
+        .withColumn("cell", F.xxhash64("key", "one", "two"))
+        .drop("other", "parts")
     )
-    return cells.select(
-        *rows.columns, "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two")
-    ).withColumn("cell", F.xxhash64("key", "one", "two"))
 
 
-def maybe_alike(rows: DataFrame) -> DataFrame:
-    """(a, b): lines of one bucket and different components that may be alike.
+def crossing_links(rows: DataFrame) -> DataFrame:
+    """(a, b): links between lines of one bucket that were in different components.
 
-    All pairs with the similarity asked for are among them. A bucket of very many lines is
-    dealt out as pairs of its blocks; a cell is compared ``COMPARED`` of its lines at a time,
-    and only pairs that may be links leave the task.
+    ``rows``: line, component, keys, text, cells, size, key, parts; ``keys`` are all buckets
+    of the line. A bucket of very many lines is dealt out as pairs of its blocks; a cell is
+    compared ``COMPARED`` of its lines at a time. Pairs that the counts do not rule out are
+    compared exactly where they meet, each in the first bucket that it shares, and not if
+    links of the cell connect it already: what leaves a cell is a forest of links, fewer than
+    it has lines, whatever the number of pairs.
     """
 
-    def pairs_of(left: dict[str, np.ndarray], right: dict[str, np.ndarray], same: bool):
+    def near_pairs(left: dict[str, np.ndarray], right: dict[str, np.ndarray], same: bool):
         columns = np.ascontiguousarray(right["cells"].T)
         for at in range(0, len(left["line"]), COMPARED):
-            block = {name: values[at : at + COMPARED, None] for name, values in left.items() if name != "cells"}
+            block = {name: left[name][at : at + COMPARED, None] for name in ("line", "component", "size", "beyond")}
             cells = left["cells"][at : at + COMPARED]
             common = np.zeros((len(cells), len(right["line"])), np.int32)
             for k, column in enumerate(columns):
@@ -264,8 +271,35 @@ def maybe_alike(rows: DataFrame) -> DataFrame:
             if same:
                 near &= block["line"] < right["line"]
             i, j = np.nonzero(near)
-            one, two = left["line"][at + i], right["line"][j]
-            yield np.minimum(one, two), np.maximum(one, two)
+            yield from zip(left["at"][at + i].tolist(), right["at"][j].tolist(), strict=True)
+
+    def links_of(part: dict[str, np.ndarray], keys: list[list[int]], texts: list[str]):
+        key, one, two = part["key"][0], part["one"][0], part["two"][0]
+        left, right = ({n: c[part["own"] == block] for n, c in part.items()} for block in (one, two))
+        place = np.unique(part["component"], return_inverse=True)[1].tolist()
+        parent = list(range(len(place)))
+
+        def root(k: int) -> int:
+            while parent[k] != k:
+                parent[k] = k = parent[parent[k]]
+            return k
+
+        held: dict[int, set[str]] = {}
+        held_size = 0
+        for i, j in near_pairs(left, right, one == two):
+            x, y = root(place[i]), root(place[j])
+            if x == y or min(set(keys[i]).intersection(keys[j])) != key:
+                continue
+            if held_size > HELD:
+                held.clear()
+                held_size = 0
+            for k in (i, j):
+                if k not in held:
+                    held[k] = shingles(texts[k])
+                    held_size += len(held[k])
+            if jaccard(held[i], held[j]) >= SIMILARITY:
+                parent[max(x, y)] = min(x, y)
+                yield part["line"][i], part["line"][j]
 
     def run(batches):
         for table in whole_groups(batches, "cell", GROUP_ROWS // 10):
@@ -283,17 +317,16 @@ def maybe_alike(rows: DataFrame) -> DataFrame:
             found = []
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 part = {name: column[a:b] for name, column in values.items()}
-                one, two = part["one"][0], part["two"][0]
-                left, right = (
-                    {n: c[part["own"] == block] for n, c in part.items()} for block in (one, two)
-                )
-                found += pairs_of(left, right, one == two)
+                part["at"] = np.arange(b - a)
+                keys, texts = (table.column(c).slice(a, b - a).to_pylist() for c in ("keys", "text"))
+                found += links_of(part, keys, texts)
             if found:
-                one, two = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], names=["a", "b"])
+                one, two = np.array(found, np.int64).T
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"]
+                )
 
-    dealt = block_pairs(rows.select("key", "line", "component", "cells", "size")).repartition("cell")
-    ordered = dealt.sortWithinPartitions("cell", "key", "one", "two")
+    ordered = block_pairs(rows).repartition("cell").sortWithinPartitions("cell", "key", "one", "two")
     return ordered.mapInArrow(run, "a bigint, b bigint")
 
 
@@ -309,6 +342,10 @@ def similarity(one: str, two: str) -> float:
     x, y = shingles(one), shingles(two)
     if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
         return 0.0
+    return jaccard(x, y)
+
+
+def jaccard(x: set[str], y: set[str]) -> float:
     common = len(x & y)
     return common / (len(x) + len(y) - common)
 
@@ -316,31 +353,47 @@ def similarity(one: str, two: str) -> float:
 def line_components(docs: DataFrame) -> DataFrame:
     """(line, component) of all lines that are linked to another one."""
     buckets = materialize(buckets_of(bands_of(docs)), "buckets")
-    suspects = buckets.select("line").distinct()
+    suspects = buckets.select("line").union(buckets.select("first")).distinct()
     texts = materialize(
         line_rows(docs).join(suspects, "line", "left_semi").groupBy("line").agg(F.min("text").alias("text")),
         "lines",
     )
-    firsts = buckets.groupBy("key").agg(F.min("line").alias("a"))
-    stars = buckets.join(firsts, "key").where("a <> line").select("a", F.col("line").alias("b"))
-    links = materialize(alike(stars.distinct(), texts), "star-links")
-    vertices = texts.select(F.col("line").alias("v"))
-    first = materialize(connected(vertices, links, "stars"), "stars")
-    # What a bucket still has in several components.
-    placed = buckets.join(first, buckets["line"] == first["v"]).select("key", "line", "component")
+    stars = buckets.select(F.col("first").alias("a"), F.col("line").alias("b")).distinct()
+    links = materialize(alike(stars, texts), "star-links")
+    # Lines known to be in one component: the smallest line within two links of each.
+    nearest = links.groupBy("b").agg(F.min("a").alias("low")).withColumnRenamed("b", "a")
+    known = links.join(nearest, "a", "left").groupBy("b").agg(F.min(F.coalesce("low", "a")).alias("known"))
+    placed = buckets.join(known, buckets["line"] == known["b"], "left").select(
+        "key", "line", F.coalesce("known", "line").alias("component")
+    )
+    # What a bucket has in several components, its first line, which all others have been
+    # compared with, left out. Buckets of the same lines are one.
     open_keys = (
         placed.groupBy("key")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .agg(
+            F.min("component").alias("low"),
+            F.max("component").alias("high"),
+            F.ceil(F.count("*") / BUCKET_BLOCK).cast("int").alias("parts"),
+            F.bit_xor(F.xxhash64("line")).alias("mark"),
+            F.bit_xor(F.xxhash64("line", F.lit(1))).alias("mark2"),
+        )
         .where("low < high")
-        .select("key")
+        .groupBy("mark", "mark2", "parts")
+        .agg(F.min("key").alias("key"))
+        .select("key", "parts")
+    )
+    rest = (
+        placed.join(open_keys, "key")
+        .groupBy("line")
+        .agg(
+            F.min("component").alias("component"),
+            F.collect_list("key").alias("keys"),
+            F.collect_list(F.struct("key", "parts")).alias("places"),
+        )
     )
-    rest = materialize(placed.join(open_keys, "key"), "open-buckets")
-    crossing = maybe_alike(rest.join(counts_of(texts), "line")).distinct()
-    # Pairs that the first pass has answered do not come again.
-    answered = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    crossing = crossing.join(answered.distinct(), ["a", "b"], "left_anti")
-    more = alike(crossing, texts)
-    whole = connected(vertices, links.union(more), "lines")
+    described = with_counts(rest.join(texts, "line"))
+    more = crossing_links(described.select("*", F.inline("places")).drop("places"))
+    whole = connected(texts.select(F.col("line").alias("v")), links.union(more), "lines")
     return whole.select(F.col("v").alias("line"), "component")
 
 

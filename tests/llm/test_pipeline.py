@@ -162,6 +162,19 @@ def test_short_lines_of_one_bucket_are_all_compared(spark, monkeypatch, block):
     assert len(set(zip(mine, root, strict=True))) == len(set(mine)) == len(set(root))
 
 
+def test_links_of_a_bucket_are_a_forest(spark):
+    """A bucket of lines that are all alike sends one link for each, not one for each pair."""
+    base = " ".join(f"word{k}" for k in range(40))
+    texts = [f"{base} {k:03d}" for k in range(150)] + [f"{k:03d} {base[::-1]}" for k in range(50)]
+    placed = [(k, k, [7], text, 7, parts) for parts in (1, 2) for k, text in enumerate(texts)]
+    columns = "line long, component long, keys array<long>, text string, key long, parts int"
+    for parts in (1, 2):
+        rows = spark.createDataFrame([r for r in placed if r[-1] == parts], columns)
+        found = lines.crossing_links(lines.with_counts(rows)).collect()
+        assert len(found) < parts * (parts + 1) // 2 * len(texts)
+        assert roots(len(texts), [(r.a, r.b) for r in found]) == [0] * 150 + [150] * 50
+
+
 def test_counts_bound_what_lines_have_in_common():
     rnd = random.Random(3)
     for size in (1, 8, 30, 2000, 60_000):
