@@ -3,9 +3,9 @@
 A line is described by its character shingles. One hash per shingle fills ``BINS`` bins, each
 with the smallest hash that falls into it; empty bins borrow from the next full one. Bands of
 bins are bucket keys. Equal lines are one row from the start. In each bucket, lines are first
-compared with one line of it, by the exact Jaccard similarity of their shingles; what that
-connects is one component. Then lines of one bucket that are still in different components are
-compared with each other: counts of their shingles bound what two lines can have in common,
+compared with one line of it, by the exact Jaccard similarity of their shingles, which 54 bits
+of a hash tell apart; what that connects is one component. Then lines of one bucket that are
+still in different components are compared with each other: counts of their shingles bound what two lines can have in common,
 and pairs that may reach the similarity asked for are compared exactly, unless links connect
 them already, so no candidate pair goes unanswered. Of a bucket only a forest of links leaves
 the task. Links of both passes become components by distributed union-find.
@@ -21,7 +21,7 @@ document and keep the same lines.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -45,16 +45,25 @@ BINS = BANDS * BAND_BINS
 #: than the sum of the smaller counts, so a pair under the bound is no link, whatever its length.
 CELLS = 128
 MOST = np.iinfo(np.uint8).max
+#: Bits of the shingles' hashes that lines are compared by; those above number up to 1,024 lines.
+SHINGLE_BITS = np.uint64(54)
+SHINGLE_MASK = (np.uint64(1) << SHINGLE_BITS) - np.uint64(1)
 GROUP_ROWS = 100_000
 #: Lines of a block of a large bucket.
 BUCKET_BLOCK = 2000
 #: Lines of a bucket whose counts are compared with all others of it at a time.
 COMPARED = 128
-#: Shingles of lines of one bucket that are kept for further comparisons.
-HELD = 200_000
+#: Lines up to which the pairs of a bucket are listed, together with those of other buckets, and
+#: pairs whose counts are compared at a time.
+LISTED, LISTED_PAIRS = 64, 1 << 13
+#: Cells that the keys of lines are dealt to, and blocks of keys that a task sorts together.
+KEY_CELLS, KEY_BLOCKS = 4096, 2000
+#: Shingles of lines of a bucket that are held to be compared.
+HELD = 1_000_000
 #: Characters of lines that a task hashes together, and lines: each takes ``BINS`` bins several
-#: times over, however short it is.
-HASHED, HASHED_LINES = 1 << 19, 1 << 12
+#: times over, however short it is. Arrays of this size are used again, larger ones are mapped
+#: anew by every step.
+HASHED, HASHED_LINES = 1 << 16, 1 << 9
 
 
 def split_lines(text: str | None) -> list[str]:
@@ -129,32 +138,50 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "line bigint, text string")
 
 
+def hashed_together(lines: list[str]):
+    """The lines in stretches of at most ``HASHED`` characters, or one line."""
+    at = 0
+    while at < len(lines):
+        end, size = at, 0
+        while (
+            end < len(lines)
+            and end - at < HASHED_LINES
+            and (end == at or size + len(lines[end]) <= HASHED)
+        ):
+            size += len(lines[end])
+            end += 1
+        yield lines[at:end]
+        at = end
+
+
 def bands_of(docs: DataFrame) -> DataFrame:
-    """(key, line): the lines of ``docs`` under their keys, equal lines of one batch once."""
+    """(cell, keys, lines): the lines of ``docs`` under their keys, equal lines of one batch once.
+
+    ``keys`` and ``lines`` are blocks of 64-bit numbers side by side, one pair of blocks for the
+    keys of a batch that belong to one cell.
+    """
 
     def run(batches):
         for batch in batches:
             lines = list({c: None for t in batch.column(0).to_pylist() for x in split_lines(t) if (c := comparable(x))})
-            at = 0
-            while at < len(lines):
-                end, size = at, 0
-                while (
-                    end < len(lines)
-                    and end - at < HASHED_LINES
-                    and (end == at or size + len(lines[end]) <= HASHED)
-                ):
-                    size += len(lines[end])
-                    end += 1
-                part = lines[at:end]
-                keys = band_keys(part)
-                own = np.array([line_key(x) for x in part], np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(keys.ravel())), pa.array(signed(np.repeat(own, BANDS)))],
-                    names=["key", "line"],
-                )
-                at = end
+            if not lines:
+                continue
+            keys = np.concatenate([band_keys(part).ravel() for part in hashed_together(lines)])
+            own = np.repeat(np.array([line_key(x) for x in lines], np.uint64), BANDS)
+            cells = (keys % np.uint64(KEY_CELLS)).astype(np.uint16)
+            order = np.argsort(cells, kind="stable")
+            cells = cells[order]
+            firsts = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+            bounds = pa.py_buffer((np.append(firsts, len(cells)) * 8).astype(np.int32))
+            blocks = [
+                pa.BinaryArray.from_buffers(pa.binary(), len(firsts), [None, bounds, pa.py_buffer(x[order])])
+                for x in (keys, own)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cells[firsts].astype(np.int32)), *blocks], names=["cell", "keys", "lines"]
+            )
 
-    return docs.select("text").mapInArrow(run, "key bigint, line bigint")
+    return docs.select("text").mapInArrow(run, "cell int, keys binary, lines binary")
 
 
 def buckets_of(bands: DataFrame) -> DataFrame:
@@ -162,50 +189,88 @@ def buckets_of(bands: DataFrame) -> DataFrame:
     of the others."""
 
     def run(batches):
-        for table in whole_groups(batches, "key", GROUP_ROWS):
-            keys, lines = table.column("key").to_numpy(), table.column("line").to_numpy()
+        for table in whole_groups(batches, "cell", KEY_BLOCKS):
+            keys, lines = (
+                np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("keys", "lines")
+            )
+            order = np.argsort(keys)
+            keys = keys[order]
             same_key = keys[1:] == keys[:-1]
-            fresh = np.concatenate([[True], ~(same_key & (lines[1:] == lines[:-1]))])
+            met = np.concatenate([[False], same_key]) | np.concatenate([same_key, [False]])
+            keys, lines = keys[met], lines[order[met]]
+            order = np.lexsort((lines, keys))
+            keys, lines = keys[order], lines[order]
+            fresh = np.ones(len(keys), bool)
+            fresh[1:] = (keys[1:] != keys[:-1]) | (lines[1:] != lines[:-1])
             keys, lines = keys[fresh], lines[fresh]
-            begins = np.concatenate([[True], keys[1:] != keys[:-1]])
-            firsts = lines[begins][np.cumsum(begins) - 1]
+            begins = np.ones(len(keys), bool)
+            begins[1:] = keys[1:] != keys[:-1]
             if not begins.all():
+                firsts = lines[begins][np.cumsum(begins) - 1]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x[~begins]) for x in (keys, firsts, lines)],
                     names=["key", "first", "line"],
                 )
 
-    dealt = bands.repartition("key").sortWithinPartitions("key", "line")
+    dealt = bands.repartition("cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(run, "key bigint, first bigint, line bigint")
 
 
 def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those rows (a, b) of ``pairs`` whose lines' similarity is large enough. The second join
-    leaves them in the order of b, so the shingles of a line are mostly at hand."""
-    left = texts.select(F.col("line").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("line").alias("b"), F.col("text").alias("right"))
+    leaves them in the order of b, so the lines of a batch are fewer than its pairs. ``texts`` has
+    the counts of the lines' shingles, which rule out most of the pairs that are not alike."""
+    names = ("text", "cells", "size")
+    left = texts.select(F.col("line").alias("a"), *(F.col(c).alias(f"left_{c}") for c in names))
+    right = texts.select(F.col("line").alias("b"), *(F.col(c).alias(f"right_{c}") for c in names))
 
     def run(batches):
         for batch in batches:
-            one, two = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            (x, n), (y, m) = (
+                (counts_in(batch.column(f"{side}_cells")), batch.column(f"{side}_size").to_numpy())
+                for side in ("left", "right")
+            )
+            near = np.flatnonzero(may_be_alike(x, n, y, m))
+            part = batch.take(pa.array(near))
+            one, two = part.column("left_text").to_pylist(), part.column("right_text").to_pylist()
+            held = shingles_of(one + two)
             kept = [
                 k
                 for k, (x, y) in enumerate(zip(one, two, strict=True))
-                if similarity(x, y) >= SIMILARITY
+                if jaccard(held[x], held[y]) >= SIMILARITY
             ]
-            yield batch.select([0, 1]).take(pa.array(kept, pa.int64()))
+            yield part.select([0, 1]).take(pa.array(kept, pa.int64()))
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    columns = [f"{side}_{c}" for c in names for side in ("left", "right")]
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", *columns)
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
-def shingle_counts(line: str) -> tuple[np.ndarray, int]:
-    """How many different shingles of a line fall into each cell, at most ``MOST``, and how
+def different_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the different shingles of each line, ascending, side by side, and the line each
+    belongs to. The lines stand in the highest bits while all are sorted at once, so ``SHINGLE_BITS``
+    of a hash are kept."""
+    values, counts = shingle_hashes(lines)
+    owner = np.repeat(np.arange(len(lines), dtype=np.uint64), counts) << SHINGLE_BITS
+    values = owner | mix(values) & SHINGLE_MASK
+    values.sort()
+    values = values[np.concatenate([[True], values[1:] != values[:-1]])]
+    return values & SHINGLE_MASK, (values >> SHINGLE_BITS).astype(np.int64)
+
+
+def counts_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How many different shingles of each line fall into each cell, at most ``MOST``, and how
     many there are."""
-    values = np.unique(shingle_hashes([line])[0])
-    cells = (mix(values) >> np.uint64(32)) % np.uint64(CELLS)
-    counts = np.bincount(cells.astype(np.int64), minlength=CELLS)
-    return np.minimum(counts, MOST).astype(np.uint8), len(values)
+    values, owner = different_shingles(lines)
+    cells = ((values >> np.uint64(32)) % np.uint64(CELLS)).astype(np.int64)
+    found = np.bincount(owner * CELLS + cells, minlength=len(lines) * CELLS).reshape(-1, CELLS)
+    return np.minimum(found, MOST).astype(np.uint8), found.sum(1)
+
+
+def shingle_counts(line: str) -> tuple[np.ndarray, int]:
+    """``counts_of`` a single line."""
+    cells, sizes = counts_of([line])
+    return cells[0], int(sizes[0])
 
 
 def with_counts(rows: DataFrame) -> DataFrame:
@@ -214,12 +279,12 @@ def with_counts(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [shingle_counts(x) for x in batch.column("text").to_pylist()]
+            found = [counts_of(part) for part in hashed_together(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns,
-                    pa.array([cells.tobytes() for cells, _ in found], pa.binary()),
-                    pa.array([size for _, size in found], pa.int64()),
+                    pa.array([x.tobytes() for cells, _ in found for x in cells], pa.binary()),
+                    pa.array(np.concatenate([np.zeros(0, np.int64), *(sizes for _, sizes in found)])),
                 ],
                 names=[*batch.schema.names, "cells", "size"],
             )
@@ -228,6 +293,19 @@ def with_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def counts_in(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The counts of ``with_counts`` as a row of numbers for each line."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CELLS)
+
+
+def may_be_alike(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether counts and numbers of shingles leave it open that the lines of a pair are alike."""
+    common = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+    # Shingles that a full cell does not count may all be common ones.
+    common += np.minimum(n - x.sum(axis=1, dtype=np.int64), m - y.sum(axis=1, dtype=np.int64))
+    return common >= SIMILARITY / (1 + SIMILARITY) * (n + m) - 1e-6
+
+
 def block_pairs(rows: DataFrame) -> DataFrame:
     """The rows with a cell each time: a whole bucket, or two of the ``parts`` of a large one.
 
@@ -256,50 +334,83 @@ def crossing_links(rows: DataFrame) -> DataFrame:
     it has lines, whatever the number of pairs.
     """
 
-    def near_pairs(left: dict[str, np.ndarray], right: dict[str, np.ndarray], same: bool):
-        columns = np.ascontiguousarray(right["cells"].T)
-        for at in range(0, len(left["line"]), COMPARED):
-            block = {name: left[name][at : at + COMPARED, None] for name in ("line", "component", "size", "beyond")}
-            cells = left["cells"][at : at + COMPARED]
-            common = np.zeros((len(cells), len(right["line"])), np.int32)
+    def listed_pairs(values: dict[str, np.ndarray], begins: np.ndarray, ends: np.ndarray):
+        # All pairs of rows of these buckets, each row with those behind it.
+        sizes = ends - begins
+        rows = np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        behind = np.repeat(ends, sizes) - 1 - rows
+        passed = np.cumsum(behind) - behind
+        for at in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(passed // LISTED_PAIRS)) + 1):
+            i = np.repeat(rows[at], behind[at])
+            j = i + 1 + np.arange(len(i)) - np.repeat(passed[at] - passed[at[:1]], behind[at])
+            met = values["component"][i] != values["component"][j]
+            met &= (values["one"][i] == values["two"][i]) | (values["own"][i] != values["own"][j])
+            i, j = i[met], j[met]
+            cells, size = values["cells"], values["size"]
+            near = may_be_alike(cells[i], size[i], cells[j], size[j])
+            yield i[near], j[near]
+
+    def crossed_pairs(values: dict[str, np.ndarray], begin: int, end: int):
+        # The pairs of a large bucket or of two of its blocks.
+        own = values["own"][begin:end]
+        one, two = values["one"][begin], values["two"][begin]
+        left, right = (begin + np.flatnonzero(own == block) for block in (one, two))
+        columns = np.ascontiguousarray(values["cells"][right].T)
+        for at in range(0, len(left), COMPARED):
+            block = left[at : at + COMPARED]
+            cells = values["cells"][block]
+            common = np.zeros((len(block), len(right)), np.int32)
             for k, column in enumerate(columns):
                 common += np.minimum(cells[:, k, None], column[None, :])
             # Shingles that a full cell does not count may all be common ones.
-            common += np.minimum(block["beyond"], right["beyond"]).astype(np.int32)
-            least = SIMILARITY / (1 + SIMILARITY) * (block["size"] + right["size"])
-            near = (common >= least - 1e-6) & (block["component"] != right["component"])
-            if same:
-                near &= block["line"] < right["line"]
+            common += np.minimum(values["beyond"][block, None], values["beyond"][right]).astype(np.int32)
+            least = SIMILARITY / (1 + SIMILARITY) * (values["size"][block, None] + values["size"][right])
+            near = (common >= least - 1e-6) & (values["component"][block, None] != values["component"][right])
+            if one == two:
+                near &= block[:, None] < right
             i, j = np.nonzero(near)
-            yield from zip(left["at"][at + i].tolist(), right["at"][j].tolist(), strict=True)
-
-    def links_of(part: dict[str, np.ndarray], keys: list[list[int]], texts: list[str]):
-        key, one, two = part["key"][0], part["one"][0], part["two"][0]
-        left, right = ({n: c[part["own"] == block] for n, c in part.items()} for block in (one, two))
-        place = np.unique(part["component"], return_inverse=True)[1].tolist()
-        parent = list(range(len(place)))
-
-        def root(k: int) -> int:
-            while parent[k] != k:
-                parent[k] = k = parent[parent[k]]
-            return k
-
-        held: dict[int, set[str]] = {}
-        held_size = 0
-        for i, j in near_pairs(left, right, one == two):
-            x, y = root(place[i]), root(place[j])
-            if x == y or min(set(keys[i]).intersection(keys[j])) != key:
-                continue
-            if held_size > HELD:
-                held.clear()
-                held_size = 0
-            for k in (i, j):
-                if k not in held:
-                    held[k] = shingles(texts[k])
-                    held_size += len(held[k])
-            if jaccard(held[i], held[j]) >= SIMILARITY:
-                parent[max(x, y)] = min(x, y)
-                yield part["line"][i], part["line"][j]
+            for low in range(0, len(i), LISTED_PAIRS):
+                yield block[i[low : low + LISTED_PAIRS]], right[j[low : low + LISTED_PAIRS]]
+
+    def near_pairs(values: dict[str, np.ndarray], edges: np.ndarray):
+        begins, ends = edges[:-1], edges[1:]
+        small = ends - begins <= LISTED
+        if small.any():
+            yield from listed_pairs(values, begins[small], ends[small])
+        for begin, end in zip(begins[~small].tolist(), ends[~small].tolist(), strict=True):
+            yield from crossed_pairs(values, begin, end)
+
+    def taken(table: pa.Table, name: str, i: np.ndarray, j: np.ndarray) -> dict[int, object]:
+        met = np.unique(np.concatenate([i, j]))
+        return dict(zip(met.tolist(), table.column(name).take(pa.array(met)).to_pylist(), strict=True))
+
+    def links_of(table: pa.Table, values: dict[str, np.ndarray], edges: np.ndarray):
+        bucket = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        inside, parent = -1, {}
+
+        def root(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                parent[c] = c = parent.get(up, up)
+            return c
+
+        for i, j in near_pairs(values, edges):
+            keys = taken(table, "keys", i, j)
+            keys = {k: set(own) for k, own in keys.items()}
+            least = [min(keys[x] & keys[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+            first = np.array(least, np.int64) == values["key"][i]
+            i, j = i[first], j[first]
+            # As many pairs at a time as have not too many shingles to hold.
+            size = np.cumsum(values["size"][i] + values["size"][j]) // HELD
+            for at in np.split(np.arange(len(i)), np.flatnonzero(np.diff(size)) + 1):
+                texts = taken(table, "text", i[at], j[at])
+                held = shingles_of(texts.values())
+                for x, y in zip(i[at].tolist(), j[at].tolist(), strict=True):
+                    if bucket[x] != inside:
+                        inside, parent = bucket[x], {}
+                    c, d = root(int(values["component"][x])), root(int(values["component"][y]))
+                    if c != d and jaccard(held[texts[x]], held[texts[y]]) >= SIMILARITY:
+                        parent[max(c, d)] = min(c, d)
+                        yield int(values["line"][x]), int(values["line"][y])
 
     def run(batches):
         for table in whole_groups(batches, "cell", GROUP_ROWS // 10):
@@ -307,19 +418,13 @@ def crossing_links(rows: DataFrame) -> DataFrame:
                 c: table.column(c).to_numpy()
                 for c in ("cell", "key", "line", "component", "size", "own", "one", "two")
             }
-            raw = b"".join(table.column("cells").to_pylist())
-            values["cells"] = np.frombuffer(raw, np.uint8).reshape(-1, CELLS)
+            values["cells"] = counts_in(table.column("cells"))
             values["beyond"] = values["size"] - values["cells"].sum(axis=1, dtype=np.int64)
             changes = np.zeros(len(table) - 1, bool)
             for name in ("cell", "key", "one", "two"):
                 changes |= values[name][1:] != values[name][:-1]
-            edges = np.flatnonzero(np.concatenate([[True], changes, [True]])).tolist()
-            found = []
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                part = {name: column[a:b] for name, column in values.items()}
-                part["at"] = np.arange(b - a)
-                keys, texts = (table.column(c).slice(a, b - a).to_pylist() for c in ("keys", "text"))
-                found += links_of(part, keys, texts)
+            edges = np.flatnonzero(np.concatenate([[True], changes, [True]]))
+            found = list(links_of(table, values, edges))
             if found:
                 one, two = np.array(found, np.int64).T
                 yield pa.RecordBatch.from_arrays(
@@ -330,23 +435,28 @@ def crossing_links(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "a bigint, b bigint")
 
 
-@lru_cache(maxsize=4)
-def shingles(line: str) -> set[str]:
-    return {line[k : k + SHINGLE] for k in range(max(1, len(line) - SHINGLE + 1))}
+def shingles_of(lines: Iterable[str]) -> dict[str, np.ndarray]:
+    """Hashes of the different shingles of each line, ascending."""
+    found = {}
+    for part in hashed_together(list(dict.fromkeys(lines))):
+        values, owner = different_shingles(part)
+        ends = np.cumsum(np.bincount(owner, minlength=len(part)))
+        found.update(zip(part, np.split(values, ends[:-1]), strict=True))
+    return found
 
 
 def similarity(one: str, two: str) -> float:
-    """Jaccard similarity of the lines' shingles, 0 where their lengths already say so."""
-    if one == two:
-        return 1.0
-    x, y = shingles(one), shingles(two)
-    if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
-        return 0.0
-    return jaccard(x, y)
+    """Jaccard similarity of the lines' shingles, 0 where their numbers already say so."""
+    held = shingles_of([one, two])
+    return jaccard(held[one], held[two])
 
 
-def jaccard(x: set[str], y: set[str]) -> float:
-    common = len(x & y)
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
+        return 0.0
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
     return common / (len(x) + len(y) - common)
 
 
@@ -354,10 +464,8 @@ def line_components(docs: DataFrame) -> DataFrame:
     """(line, component) of all lines that are linked to another one."""
     buckets = materialize(buckets_of(bands_of(docs)), "buckets")
     suspects = buckets.select("line").union(buckets.select("first")).distinct()
-    texts = materialize(
-        line_rows(docs).join(suspects, "line", "left_semi").groupBy("line").agg(F.min("text").alias("text")),
-        "lines",
-    )
+    texts = line_rows(docs).join(suspects, "line", "left_semi").groupBy("line").agg(F.min("text").alias("text"))
+    texts = materialize(with_counts(texts), "lines")
     stars = buckets.select(F.col("first").alias("a"), F.col("line").alias("b")).distinct()
     links = materialize(alike(stars, texts), "star-links")
     # Lines known to be in one component: the smallest line within two links of each.
@@ -391,7 +499,7 @@ def line_components(docs: DataFrame) -> DataFrame:
             F.collect_list(F.struct("key", "parts")).alias("places"),
         )
     )
-    described = with_counts(rest.join(texts, "line"))
+    described = rest.join(texts, "line")
     more = crossing_links(described.select("*", F.inline("places")).drop("places"))
     whole = connected(texts.select(F.col("line").alias("v")), links.union(more), "lines")
     return whole.select(F.col("v").alias("line"), "component")

@@ -175,6 +175,22 @@ def test_links_of_a_bucket_are_a_forest(spark):
         assert roots(len(texts), [(r.a, r.b) for r in found]) == [0] * 150 + [150] * 50
 
 
+def test_keys_of_lines_travel_in_blocks(spark):
+    """A batch sends one row for each cell of keys, not one for each key, and none is lost."""
+    texts = [f"line number {k} of {k * k}" for k in range(600)]
+    docs = spark.createDataFrame([(1, "\n".join(texts))], "doc_id long, text string")
+    found = lines.bands_of(docs).collect()
+    assert len({r.cell for r in found}) == len(found) < len(texts) * lines.BANDS / 2
+    got = []
+    for r in found:
+        keys, own = (np.frombuffer(x, np.uint64) for x in (r["keys"], r["lines"]))
+        assert set((keys % np.uint64(lines.KEY_CELLS)).tolist()) == {r.cell}
+        got += zip(keys.tolist(), own.tolist(), strict=True)
+    keys = lines.band_keys(texts).tolist()
+    wanted = [(key, lines.line_key(x)) for x, row in zip(texts, keys, strict=True) for key in row]
+    assert sorted(got) == sorted(wanted)
+
+
 def test_counts_bound_what_lines_have_in_common():
     rnd = random.Random(3)
     for size in (1, 8, 30, 2000, 60_000):
