@@ -372,3 +372,17 @@ def test_lexicon_holds_its_words_only():
     assert bpe.Lexicon(bpe.compile_lexicon({})).numbers([b"a"], 8).tolist() == [-1]
     tails = bpe.compile_lexicon({p + b"common-ending": [1] for p in (b"a", b"b", b"c", b"d")})
     assert bpe.Lexicon(tails).states < 20
+
+
+def test_words_of_the_basic_plane_are_cut_as_by_the_pattern():
+    """The classes that are written out hold the same characters as those by property."""
+    splitter = bpe.Splitter(bpe.Vocabulary(bpe.tokenizer_file()))
+    rnd = random.Random(8)
+    every = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    texts = [x for c in every for x in (f"{c}a{c}1 {c}", f"a{c} '{c}s")]
+    common = [" ", "  ", "\n", "'", "s", "'re", "'ll", "'v", "e", "7", "\x1c", "\x85", "\u3000"]
+    texts += ["".join(rnd.choice([*common, rnd.choice(every)]) for _ in range(60)) for _ in range(2000)]
+    for text in texts:
+        assert splitter.pattern(text) is splitter.basic_words
+        assert splitter.basic_words.findall(text) == splitter.words.findall(text)
+    assert splitter.pattern("a \U0001f600 b") is splitter.words
