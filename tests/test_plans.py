@@ -2,7 +2,9 @@
 
 import io
 import os
+import re
 from contextlib import redirect_stdout
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,8 @@ from pyspark.sql import functions as F
 from checks.oracle import ORACLE
 from checks.queries import QUERIES
 from offerlake.operators import extract, links, merge
-from offerlake.schemas import ACCEPTED
+from offerlake.schemas import ACCEPTED, PRODUCT_VARIANTS, PRODUCTS
+from offerlake.session import joins_in_place
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -107,3 +110,141 @@ def test_parts_are_dealt_before_they_become_pages(spark, folder):
     pages = product_pages(dealt_parts(part))
     assert pages.select(F.spark_partition_id()).distinct().count() > 1
     assert sorted(r["key"] for r in pages.collect()) == list(range(200))
+
+
+@pytest.fixture()
+def without_broadcast(spark):
+    """Joins as large tables have them."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield
+    spark.conf.set(name, before)
+
+
+BY_KEY = r"hashpartitioning\(source_url#\d+, source_key#\d+"
+BY_URL = r"hashpartitioning\(source_url#\d+, \d+\)"
+
+
+def listed_pages(spark, pages, variants=2, urls=50):
+    """Accepted pages with an integer ``run_no``; variants differ from page to page."""
+    keys = "concat('k', (id + v) % 5)"
+    variant = (
+        f"named_struct('source_key', {keys}, 'sku', 's', 'name', concat('n', id, '-', v), "
+        "'price', CAST(id AS decimal(12,2)), 'currency', 'USD', 'available', true)"
+    )
+    return spark.range(pages).selectExpr(
+        "id AS seq", "CAST(id % 3 AS int) AS run_no", f"concat('u', CASE WHEN id % 10 < 9 THEN 0 ELSE id % {urls} END) AS source_url",
+        "'n' AS name", "CAST(NULL AS string) AS brand", "'' AS description", "CAST(id AS decimal(12,2)) AS price",
+        "'USD' AS currency", "true AS available", "CAST(map() AS map<string,string>) AS characteristics",
+        "CAST(NULL AS string) AS image_url", "'h' AS content_hash",
+        f"transform(sequence(1, {variants}), v -> {variant}) AS variants",
+    )
+
+
+def test_replayed_variants_are_not_shuffled_again(spark, without_broadcast):
+    runs = spark.createDataFrame(
+        [(n, f"r{n}", "s", "c", datetime(2024, 1, 1 + n), True) for n in range(3)],
+        "run_no long, run_id string, source string, category string, at timestamp, complete boolean",
+    )
+    plan = physical(merge.replay(listed_pages(spark, 100), runs)[1])
+    assert not re.search(BY_KEY, plan) and re.search(BY_URL, plan)
+
+
+def last_listed(pages):
+    """The value of the last place of each key, by a loop."""
+    last = {}
+    for page in sorted(pages.collect(), key=lambda r: r["seq"]):
+        for variant in page["variants"]:
+            last[page["source_url"], variant["source_key"]] = (page["seq"], variant["name"])
+    return last
+
+
+def test_an_address_with_most_of_the_pages_is_split(spark, without_broadcast):
+    """Adaptive execution deals its pages to several tasks, and the result stays."""
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        pages = listed_pages(spark, 6000)
+        latest = merge.latest_variants(pages)
+        got = {(r["source_url"], r["source_key"]): (r["seq"], r["name"]) for r in latest.collect()}
+        assert "SortMergeJoin(skew=true)" in latest._jdf.queryExecution().executedPlan().toString()
+        assert got == last_listed(pages)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def stored_variants(pages):
+    """Variants as the tables hold them."""
+    value = {"created_at": "timestamp'2024-01-01'", "updated_at": "timestamp'2024-01-01'"}
+    latest = merge.latest_variants(pages)
+    return latest.selectExpr(*(f"{value.get(n, n)} AS {n}" for n in PRODUCT_VARIANTS.names))
+
+
+def test_merged_variants_are_shuffled_by_address_only(spark, folder, without_broadcast):
+    stored_variants(listed_pages(spark, 100)).write.parquet(folder + "/v")
+    pages = listed_pages(spark, 300)
+    run = merge.RunStamp("r", "s", "c", datetime(2024, 2, 1))
+    stored = spark.read.schema(PRODUCT_VARIANTS).parquet(folder + "/v")
+    with joins_in_place(spark):
+        merged = merge.apply_run(spark.createDataFrame([], PRODUCTS), stored, pages, run, False)[1]
+        plan = physical(merged)
+        rows = merged.collect()
+    assert not re.search(BY_KEY, plan) and re.search(BY_URL, plan)
+    got = {(r["source_url"], r["source_key"]): r["name"] for r in rows}
+    assert len(rows) == len(got) and got == {k: v[1] for k, v in last_listed(pages).items()}
+
+
+def test_products_are_reduced_before_they_are_shuffled(spark):
+    """Of an address with most of the pages a task sends its last one."""
+    pages = listed_pages(spark, 4000)
+    latest = merge.latest_products(pages)
+    plan = physical(latest)
+    assert plan.count("WindowGroupLimit") >= 2
+    got = {r["source_url"]: r["seq"] for r in latest.collect()}
+    expected = {}
+    for r in pages.collect():
+        expected[r["source_url"]] = max(expected.get(r["source_url"], -1), r["seq"])
+    assert got == expected
+
+
+def test_places_that_come_twice_stay_and_rows_without_a_key_go(spark):
+    twice = listed_pages(spark, 20).unionByName(listed_pages(spark, 20))
+    assert merge.latest_variants(twice).count() == 2 * merge.latest_variants(listed_pages(spark, 20)).count()
+    assert merge.latest_products(twice).count() == 2 * merge.latest_products(listed_pages(spark, 20)).count()
+    for column in ("source_url", "seq"):
+        gone = twice.withColumn(column, F.lit(None).cast(dict(twice.dtypes)[column]))
+        assert merge.latest_variants(gone).count() == 0 and merge.latest_products(gone).count() == 0
+    unkeyed = twice.withColumn("variants", F.transform("variants", lambda v: v.withField("source_key", F.lit(None).cast("string"))))
+    assert merge.latest_variants(unkeyed).count() == 0
+
+
+def test_few_unseen_products_are_not_met_by_a_shuffle_of_all_variants(spark, folder):
+    stored_variants(listed_pages(spark, 100)).write.parquet(folder + "/v")
+    names = [f"`{f.name}`" for f in PRODUCTS.fields]
+    # Large enough for Spark to shuffle, before it knows that few of them were not seen.
+    run = merge.RunStamp("r", "s", "c", datetime(2024, 2, 1))
+    seen = "CASE WHEN id % 10000 = 0 THEN 'older' ELSE 'r' END"
+    given = {"source_url": "concat('u', id)", "source": "'s'", "category": "'c'", "last_seen_run_id": seen}
+    rows = spark.range(200_000).selectExpr(
+        *(f"CAST({given.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS {n}" for f, n in zip(PRODUCTS.fields, names, strict=True))
+    )
+    rows.write.parquet(folder + "/p")
+    variants = spark.read.schema(PRODUCT_VARIANTS).parquet(folder + "/v")
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "20k")
+        off = merge.deactivate_variants(variants, spark.read.schema(PRODUCTS).parquet(folder + "/p"), run)
+        assert "SortMergeJoin" not in physical(off)
+        switched = {r["source_url"] for r in off.where("NOT available").collect()}
+        assert switched == {"u0"}
+    finally:
+        spark.conf.set(name, before)

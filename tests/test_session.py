@@ -32,3 +32,17 @@ def test_tasks_are_cut_by_what_they_read_not_by_the_number_of_shuffle_parts(spar
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
         configure(spark)
+
+
+def test_tables_are_read_in_small_splits(spark, folder):
+    """What a task reads of a table grows as it is read, so a split is far below Spark's 128 MB."""
+    configure(spark)
+    big = spark.range(0, 9_000_000, 1, 1).selectExpr("sha2(string(id), 256) AS k")
+    big.write.option("compression", "none").option("parquet.block.size", 4 << 20).parquet(folder + "/t")
+    table = spark.read.parquet(folder + "/t")
+    before = spark.conf.get("spark.sql.files.minPartitionNum", "1")
+    try:
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        assert table.rdd.getNumPartitions() > 30
+    finally:
+        spark.conf.set("spark.sql.files.minPartitionNum", before)
